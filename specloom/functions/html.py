@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -73,8 +74,7 @@ class PageParser(HTMLParser):
         self.data.append(html.unescape(f"&#{name};"))
 
     def handle_entityref(self, name):
-        text = html.unescape(f"&{name};")
-        self.data.append(text if text != f"&{name};" else f"&{name}")
+        self.data.append(html5.get(f"{name};", f"&{name}"))
 
     def _other_node(self, data):
         self.end_text()
