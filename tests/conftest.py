@@ -4,7 +4,11 @@ import sys
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+# Workers import the package and the extraction functions of the tests.
+HERE = os.path.dirname(os.path.abspath(__file__))
+FOLDERS = [os.path.dirname(HERE), HERE]
+sys.path[:0] = FOLDERS
+os.environ["PYTHONPATH"] = os.pathsep.join([*FOLDERS, os.environ.get("PYTHONPATH", "")])
 
 
 @pytest.fixture(scope="session")
