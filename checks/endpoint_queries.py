@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from checks.page_queries import DISCOVERED
 from checks.registry import query
-from checks.views import endpoints, pages, records, view
+from checks.views import endpoints, pages, records, table, view
 from specloom import schemas
 from specloom.functions import jsontext as j
 from specloom.functions import specs as sp
 from specloom.functions.records import parse_endpoints
 from specloom.operators import cache, coverage, discovery, extraction, merge, relevance
 from specloom.plans.generate import generate_specs
+from specloom.workspace import materialize
 
 c = F.col
 
@@ -83,7 +84,7 @@ VALID = "seq % 17 <> 0 AND seq % 19 <> 0"
   CASE WHEN seq % 3 = 0 THEN 'http' ELSE 'apiKey' END AS type FROM record_pages WHERE {VALID}""",
 )
 def number_security_schemes(spark, folder):
-    results = extraction.parse_records(records(spark, folder))
+    results = materialize(extraction.parse_records(records(spark, folder)), "results")
     numbered = merge.number_security_schemes(merge.flatten_security_schemes(results))
     return numbered.select("site", "url", "scheme_name", "type")
 
@@ -259,7 +260,7 @@ def page_confidence(spark, folder):
   CAST(sum(CASE WHEN {VALID} THEN 2 ELSE 0 END) AS BIGINT) AS endpoints FROM record_pages r GROUP BY r.site""",
 )
 def run_summary(spark, folder):
-    results = extraction.parse_records(records(spark, folder))
+    results = materialize(extraction.parse_records(records(spark, folder)), "results")
     report = coverage.coverage_report(merge.flatten_endpoints(results), results)
     return coverage.run_summary(results, results, report).drop("quality")
 
@@ -449,7 +450,7 @@ SELECT doc_id, payload FROM @documents d LEFT JOIN fresh f ON md5(concat('doc-',
 )
 def cache_lookup(spark, folder):
     key = F.when(c("doc_id") % 3 == 0, 7).otherwise(c("doc_id") % 200)
-    documents = spark.read.parquet(f"{folder}/documents.parquet").select(
+    documents = table(spark, folder, "documents").select(
         "doc_id", F.md5(F.concat(F.lit("doc-"), key)).alias("content_hash")
     )
     entries = view(spark, folder, "cache_rows")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import doc_url, is_doc, keyword_count, literal, matches_any, query, strip
-from checks.views import pages, view
+from checks.views import pages, table, view
 from specloom import patterns as p
 from specloom.functions import auth
 from specloom.functions import jsontext as j
@@ -16,11 +16,6 @@ from specloom.functions.relevance import keywords
 from specloom.operators import content, discovery, robots
 
 c = F.col
-DOCUMENTS = "@documents"
-
-
-def table(spark, folder, name):
-    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def text_lines(spark, folder):

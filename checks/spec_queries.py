@@ -11,6 +11,7 @@ from specloom import schemas
 from specloom.functions import jsontext as j
 from specloom.functions import specs as sp
 from specloom.operators import build, extraction, merge, relevance, specs
+from specloom.workspace import materialize
 
 c = F.col
 
@@ -316,7 +317,7 @@ def build_paths(spark, folder):
 FROM record_pages WHERE {VALID}""",
 )
 def build_components(spark, folder):
-    results = extraction.parse_records(records(spark, folder))
+    results = materialize(extraction.parse_records(records(spark, folder)), "results")
     numbered = merge.number_security_schemes(merge.flatten_security_schemes(results))
     return numbered.select("site", "scheme_name", build.build_security_scheme().alias("scheme_json"))
 
@@ -359,7 +360,7 @@ LEFT JOIN k ON s.site = k.site LEFT JOIN t ON s.site = t.site""",
 )
 def build_spec(spark, folder):
     rows = endpoints(spark, folder)
-    results = extraction.parse_records(records(spark, folder))
+    results = materialize(extraction.parse_records(records(spark, folder)), "results")
     built = build.build_specs(
         rows.select("site").distinct(), results, rows, merge.flatten_security_schemes(results)
     )

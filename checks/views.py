@@ -196,9 +196,18 @@ def oracle(sql: str, *views: str) -> str:
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.sql(
+    """A derived table, spread over the cores: the test tables are one small file each, which Spark
+    reads in one task. Tables of many files need no such step."""
+    frame = spark.sql(
         _with(f"SELECT * FROM {name}", [name], lambda t: f"parquet.`{folder}/{t}.parquet`")
     )
+    return frame.repartition(spark.sparkContext.defaultParallelism)
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table, spread over the cores like the derived ones."""
+    frame = spark.read.parquet(f"{folder}/{name}.parquet")
+    return frame.repartition(spark.sparkContext.defaultParallelism)
 
 
 def endpoints(spark: SparkSession, folder: str) -> DataFrame:

@@ -62,60 +62,83 @@ def non_empty(text: Column) -> Column:
 
 
 def _is_strict(text: Column) -> Column:
-    # The JVM parser stops at the end of the first value. Wrapped in an array and in an object, a
-    # text with something behind its value cannot pass both.
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return (
-        listed.isNotNull()
-        & F.try_variant_get(listed, "$[1]", "variant").isNull()
-        & F.try_variant_get(listed, "$[0]", "variant").isNotNull()
-        & member.isNotNull()
-    )
+    # The JVM parser stops at the end of the first value. Listed in front of its own digest, a text
+    # with something behind its value cannot leave the digest in second place.
+    digest = F.md5(text)
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), digest, F.lit('"]')))
+    return F.coalesce(F.try_variant_get(listed, "$[1]", "string") == digest, F.lit(False))
 
 
 def _reencoded(text):
+    if text is None:
+        return None
     try:
         return json.dumps(json.loads(text), ensure_ascii=False)
     except (ValueError, RecursionError):
-        return None
+        return ""
+
+
+@F.pandas_udf(T.StringType())
+def _reencode(texts: pd.Series) -> pd.Series:
+    """Last of equal keys wins; empty for what is no JSON."""
+    return pd.Series([_reencoded(t) for t in texts], dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _reencode(lists: pd.Series) -> pd.Series:
-    """Last of equal keys wins; null for what is no JSON."""
+def _reencode_list(lists: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else [_reencoded(t) for t in v] for v in lists])
 
 
-def canonical_list(texts: Column) -> Column:
-    """JSON texts that parse strictly and have no repeated key; null for those that do not parse.
+def canonical(text: Column) -> Column:
+    """JSON text that parses strictly and has no repeated key, else null.
 
-    Valid texts stay as they are. Only a list with a text that the JVM parser turns down (repeated
-    keys, or no JSON at all) takes the Arrow path, where the last of equal keys wins.
+    Valid texts stay as they are. Only the few that the JVM parser turns down (repeated keys, or
+    no JSON at all) take the Arrow path, where the last of equal keys wins.
     """
-    strict = F.forall(texts, lambda t: F.coalesce(_is_strict(t), F.lit(False)))
-    return F.coalesce(F.when(strict, texts), _reencode(F.when(~strict, texts)))
+    again = _reencode(F.when(~_is_strict(text), text))
+    return F.when(again.isNull(), text).otherwise(non_empty(again))
 
 
-def canonical(text: Column) -> Column:
-    """``canonical_list`` for one text."""
-    return F.get(canonical_list(F.when(text.isNotNull(), F.array(text))), F.lit(0))
+def canonical_list(texts: Column) -> Column:
+    """``canonical`` for every text of a list; one that fails sends the list down the Arrow path."""
+    again = _reencode_list(F.when(~F.forall(texts, _is_strict), texts))
+    return F.when(again.isNull(), texts).otherwise(F.transform(again, non_empty))
 
 
-# Typed reads of a VARIANT. `kind` is null when the member is absent and VOID when it is null.
+# Typed reads of VARIANT values. An absent member is null; a member that is JSON null is a value of
+# kind VOID. Each read costs, so callers take all members of an object once, with `members`.
 
 
 def member(value: Column, name: str) -> Column:
     return F.try_variant_get(value, f"$['{name}']", "variant")
 
 
+def members(value: Column, *names: str) -> Column:
+    """Struct of the named members of an object."""
+    return F.struct(*[member(value, name).alias(name) for name in names])
+
+
+def variants(*names: str) -> str:
+    """Schema reading the named members of an object text as VARIANT."""
+    return ", ".join(f"`{name}` VARIANT" for name in names)
+
+
 def kind(value: Column) -> Column:
-    """STRING, BIGINT, BOOLEAN, VOID ... ; objects and arrays without their element types."""
-    return F.regexp_extract(F.schema_of_variant(value), r"^([A-Z]+)", 1)
+    """STRING, BIGINT, BOOLEAN, VOID ...; OBJECT and ARRAY with their element types."""
+    return F.schema_of_variant(value)
+
+
+def is_string(value: Column) -> Column:
+    return F.coalesce(kind(value) == "STRING", F.lit(False))
 
 
 def is_object(value: Column) -> Column:
-    return F.coalesce(kind(value) == "OBJECT", F.lit(False))
+    return F.coalesce(kind(value).startswith("OBJECT"), F.lit(False))
+
+
+def is_other_than_object(value: Column) -> Column:
+    """Present, but no object."""
+    return F.coalesce(~kind(value).startswith("OBJECT"), F.lit(False))
 
 
 def is_optional_string(value: Column) -> Column:
@@ -123,9 +146,14 @@ def is_optional_string(value: Column) -> Column:
     return F.coalesce(kind(value).isin("STRING", "VOID"), F.lit(True))
 
 
+def text(value: Column) -> Column:
+    """A string as it is, other values as JSON text, null for null."""
+    return F.try_variant_get(value, "$", "string")
+
+
 def as_string(value: Column) -> Column:
     """The string, or null when the value is anything else."""
-    return F.when(kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return F.when(kind(value) == "STRING", text(value))
 
 
 def as_array(value: Column) -> Column:
@@ -138,7 +166,7 @@ def as_map(value: Column) -> Column:
 
 def as_text(value: Column) -> Column:
     """JSON text of a value; null for absent and null."""
-    return F.when(kind(value) != "VOID", F.to_json(value))
+    return F.when(~F.is_variant_null(value), F.to_json(value))
 
 
 # Spellings a flag may have.
@@ -148,11 +176,10 @@ FALSE_WORDS = ("0", "false", "f", "no", "n", "off")
 
 def as_flag(value: Column) -> Column:
     """A boolean, or a number or word that stands for one; false when absent, else null."""
-    word = F.lower(F.try_variant_get(value, "$", "string"))
-    word = F.regexp_replace(word, r"^([01])\.0+$", "$1")
+    word = F.regexp_replace(F.lower(text(value)), r"^([01])\.0+$", "$1")
     return (
         F.when(value.isNull(), False)
-        .when(kind(value) == "VOID", None)
+        .when(kind(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
         .when(word.isin(*TRUE_WORDS), True)
         .when(word.isin(*FALSE_WORDS), False)
     )
@@ -160,10 +187,11 @@ def as_flag(value: Column) -> Column:
 
 def is_string_list(value: Column) -> Column:
     """Absent, null or an array of strings only."""
-    listed = as_array(value)
-    strings = F.forall(listed, lambda e: F.coalesce(kind(e) == "STRING", F.lit(False)))
-    return F.coalesce(kind(value) == "VOID", F.lit(True)) | F.coalesce(strings, F.lit(False))
+    return (
+        F.when(value.isNull() | F.is_variant_null(value), True)
+        .otherwise(F.coalesce(F.forall(as_array(value), is_string), F.lit(False)))
+    )
 
 
 def as_string_list(value: Column) -> Column:
-    return F.transform(as_array(value), as_string)
+    return F.transform(as_array(value), text)

@@ -18,10 +18,40 @@ METADATA_RECORD = "record_api_metadata"
 JSON_TYPE = "application/json"
 
 
+ENDPOINT_INPUT = j.variants(
+    "path",
+    "method",
+    "summary",
+    "description",
+    "tags",
+    "parameters",
+    "request_body",
+    "responses",
+    "confidence",
+)
+SECURITY_INPUT = j.variants("type", "name", "location", "scheme", "bearer_format", "description")
+METADATA_INPUT = j.variants("title", "description", "base_url")
+PARAMETER_INPUT = ("name", "location", "description", "required", "type", "example")
+BODY_INPUT = ("description", "required", "content_type", "schema_properties", "example")
+RESPONSE_INPUT = ("status_code", "description", "content_type", "schema_properties", "example")
+
+PARAMETER_FIELDS = ("name", "location", "description", "required", "type", "example", "schema")
+BODY_FIELDS = ("description", "required", "content_type", "schema", "example")
+RESPONSE_FIELDS = ("status_code", "description", "content_type", "schema", "example")
+
+
 def _in(value: Column, allowed) -> Column:
     return F.coalesce(value.isin(*allowed), F.lit(False))
 
 
+def _null(type_: str) -> Column:
+    return F.lit(None).cast(type_)
+
+
+def _fields(e: Column, names) -> Column:
+    return F.struct(*[e[n].alias(n) for n in names])
+
+
 def _string_or_default(value: Column, default: str) -> Column:
     """The default when absent; null when the value is no string."""
     return F.when(value.isNull(), default).otherwise(j.as_string(value))
@@ -29,204 +59,192 @@ def _string_or_default(value: Column, default: str) -> Column:
 
 def schema_from_properties(holder: Column) -> Column:
     """An object schema when ``schema_properties`` is given, with the holder's description."""
-    properties = j.member(holder, "schema_properties")
+    properties = holder["schema_properties"]
     schema = F.struct(
         F.lit("object").alias("type"),
-        j.as_string(j.member(holder, "description")).alias("description"),
+        j.text(holder["description"]).alias("description"),
         j.as_text(properties).alias("properties"),
-        F.lit(None).cast("string").alias("items"),
-        F.lit(None).cast("array<string>").alias("required"),
-        F.lit(None).cast("string").alias("example"),
-        F.lit(None).cast("boolean").alias("additional_properties"),
+        _null("string").alias("items"),
+        _null("array<string>").alias("required"),
+        _null("string").alias("example"),
+        _null("boolean").alias("additional_properties"),
     )
     return F.when(properties.isNotNull(), schema)
 
 
 def _schema_ok(holder: Column) -> Column:
-    kind = j.kind(j.member(holder, "schema_properties"))
-    return F.coalesce(kind.isin("OBJECT", "VOID"), F.lit(True))
+    properties = holder["schema_properties"]
+    return F.when(properties.isNull() | F.is_variant_null(properties), True).otherwise(
+        j.is_object(properties)
+    )
 
 
-def _parameter(v: Column) -> Column:
+def _parameter(q: Column) -> Column:
+    """Typed parameter out of the struct of its members; ``type_ok`` is half of the check."""
     return F.struct(
-        j.as_string(j.member(v, "name")).alias("name"),
-        j.as_string(j.member(v, "location")).alias("location"),
-        j.as_string(j.member(v, "description")).alias("description"),
-        j.as_flag(j.member(v, "required")).alias("required"),
-        _string_or_default(j.member(v, "type"), "string").alias("type"),
-        j.as_text(j.member(v, "example")).alias("example"),
-        F.lit(None).cast("string").alias("schema"),
-        j.is_optional_string(j.member(v, "description")).alias("ok"),
+        j.text(q["name"]).alias("name"),
+        j.text(q["location"]).alias("location"),
+        j.text(q["description"]).alias("description"),
+        j.as_flag(q["required"]).alias("required"),
+        F.when(q["type"].isNull(), "string").otherwise(j.text(q["type"])).alias("type"),
+        j.as_text(q["example"]).alias("example"),
+        _null("string").alias("schema"),
+        (j.is_string(q["name"]) & j.is_optional_string(q["description"])).alias("type_ok"),
     )
 
 
 def _parameter_ok(e: Column) -> Column:
     return (
-        e["ok"]
-        & e["name"].isNotNull()
+        e["type_ok"]
         & e["required"].isNotNull()
         & _in(e["location"], schemas.PARAMETER_LOCATIONS)
         & _in(e["type"], schemas.DATA_TYPES)
     )
 
 
-def _body(v: Column) -> Column:
+def _body(q: Column) -> Column:
     return F.struct(
-        j.as_string(j.member(v, "description")).alias("description"),
-        j.as_flag(j.member(v, "required")).alias("required"),
-        _string_or_default(j.member(v, "content_type"), JSON_TYPE).alias("content_type"),
-        schema_from_properties(v).alias("schema"),
-        j.as_text(j.member(v, "example")).alias("example"),
-        (j.is_optional_string(j.member(v, "description")) & _schema_ok(v)).alias("ok"),
+        j.text(q["description"]).alias("description"),
+        j.as_flag(q["required"]).alias("required"),
+        _string_or_default(q["content_type"], JSON_TYPE).alias("content_type"),
+        schema_from_properties(q).alias("schema"),
+        j.as_text(q["example"]).alias("example"),
+        (j.is_optional_string(q["description"]) & _schema_ok(q)).alias("type_ok"),
     )
 
 
-def _response(v: Column) -> Column:
-    return F.struct(
-        j.as_string(j.member(v, "status_code")).alias("status_code"),
-        j.as_string(j.member(v, "description")).alias("description"),
-        _string_or_default(j.member(v, "content_type"), JSON_TYPE).alias("content_type"),
-        schema_from_properties(v).alias("schema"),
-        j.as_text(j.member(v, "example")).alias("example"),
-        _schema_ok(v).alias("ok"),
-    )
+def _body_ok(e: Column) -> Column:
+    return e["type_ok"] & e["required"].isNotNull() & e["content_type"].isNotNull()
 
 
-def _response_ok(e: Column) -> Column:
-    return (
-        e["ok"]
-        & e["status_code"].isNotNull()
-        & e["description"].isNotNull()
-        & e["content_type"].isNotNull()
+def _response(q: Column) -> Column:
+    return F.struct(
+        j.text(q["status_code"]).alias("status_code"),
+        j.text(q["description"]).alias("description"),
+        _string_or_default(q["content_type"], JSON_TYPE).alias("content_type"),
+        schema_from_properties(q).alias("schema"),
+        j.as_text(q["example"]).alias("example"),
+        (j.is_string(q["status_code"]) & j.is_string(q["description"]) & _schema_ok(q)).alias(
+            "type_ok"
+        ),
     )
 
 
-def _fields(e: Column, names) -> Column:
-    return F.struct(*[e[n].alias(n) for n in names])
-
-
-PARAMETER_FIELDS = ("name", "location", "description", "required", "type", "example", "schema")
-BODY_FIELDS = ("description", "required", "content_type", "schema", "example")
-RESPONSE_FIELDS = ("status_code", "description", "content_type", "schema", "example")
+def _response_ok(e: Column) -> Column:
+    return e["type_ok"] & e["content_type"].isNotNull()
 
 
-def _listed(v: Column, name: str) -> Column:
-    """Elements of a list member; none when absent, null when it is no list."""
-    value = j.member(v, name)
+def _listed(value: Column, names) -> Column:
+    """Members of the elements of a list; none when absent, null when it is no list."""
     nothing = F.array().cast("array<variant>")
-    empty = value.isNull() | F.to_json(value).isin("{}", '""')
-    return F.when(empty, nothing).otherwise(j.as_array(value))
+    empty = F.when(F.to_json(value).isin("{}", '""'), nothing)
+    values = F.when(value.isNull(), nothing).otherwise(F.coalesce(j.as_array(value), empty))
+    return F.transform(values, lambda v: j.members(v, *names))
 
 
 def parse_endpoints(records: Column, source_url: Column) -> Column:
-    """Array of (ok, endpoint) for the endpoint records, in order."""
+    """Array of (ok, endpoint) for the endpoint records, in order.
+
+    Four passes, each binding what the next one needs, so that no value is read twice.
+    """
     named = F.filter(records, lambda r: r["name"] == ENDPOINT_RECORD)
-    parsed = F.transform(named, lambda r: F.struct(F.try_parse_json(r["input"]).alias("v")))
+    members = F.transform(named, lambda r: F.from_json(r["input"], ENDPOINT_INPUT))
 
     def parts(e):
-        v, body = e["v"], j.member(e["v"], "request_body")
-        given = j.is_truthy(j.as_text(body))
+        body = e["request_body"]
+        given = F.when(body.isNotNull(), j.is_truthy(j.as_text(body))).otherwise(False)
         return F.struct(
-            v.alias("v"),
-            F.transform(_listed(v, "parameters"), _parameter).alias("parameters"),
-            F.when(given, _body(body)).alias("body"),
-            (given & ~j.is_object(body)).alias("bad_body"),
-            F.transform(_listed(v, "responses"), _response).alias("responses"),
+            e.alias("e"),
+            _listed(e["parameters"], PARAMETER_INPUT).alias("parameters"),
+            F.when(given, j.members(body, *BODY_INPUT)).alias("body"),
+            F.when(given, ~j.is_object(body)).otherwise(False).alias("bad_body"),
+            _listed(e["responses"], RESPONSE_INPUT).alias("responses"),
         )
 
-    def read(e):
-        v, body, tags = e["v"], e["body"], j.member(e["v"], "tags")
-        method = j.as_string(j.member(v, "method"))
-        confidence = _string_or_default(j.member(v, "confidence"), "medium")
-        body_ok = body.isNull() | (
-            body["ok"] & body["required"].isNotNull() & body["content_type"].isNotNull()
+    def typed(e):
+        return F.struct(
+            e["e"].alias("e"),
+            e["bad_body"].alias("bad_body"),
+            F.transform(e["parameters"], _parameter).alias("parameters"),
+            F.when(e["body"].isNotNull(), _body(e["body"])).alias("body"),
+            F.transform(e["responses"], _response).alias("responses"),
+            j.text(e["e"]["method"]).alias("method"),
+            F.when(e["e"]["confidence"].isNull(), "medium")
+            .otherwise(j.text(e["e"]["confidence"]))
+            .alias("confidence"),
         )
+
+    def checked(q):
+        e, body, tags = q["e"], q["body"], q["e"]["tags"]
         ok = (
-            j.is_object(v)
-            & (j.kind(j.member(v, "path")) == "STRING")
-            & _in(method, schemas.HTTP_METHODS)
-            & _in(confidence, schemas.CONFIDENCE_LEVELS)
-            & j.is_optional_string(j.member(v, "summary"))
-            & j.is_optional_string(j.member(v, "description"))
+            j.is_string(e["path"])
+            & _in(q["method"], schemas.HTTP_METHODS)
+            & _in(q["confidence"], schemas.CONFIDENCE_LEVELS)
+            & j.is_optional_string(e["summary"])
+            & j.is_optional_string(e["description"])
             & j.is_string_list(tags)
-            & F.forall(e["parameters"], _parameter_ok)
-            & F.forall(e["responses"], _response_ok)
-            & ~e["bad_body"]
-            & body_ok
+            & F.forall(q["parameters"], _parameter_ok)
+            & F.forall(q["responses"], _response_ok)
+            & ~q["bad_body"]
+            & F.when(body.isNull(), True).otherwise(_body_ok(body))
         )
         no_list = F.array().cast("array<string>")
         values = {
-            "path": j.as_string(j.member(v, "path")),
-            "method": method,
-            "summary": j.as_string(j.member(v, "summary")),
-            "description": j.as_string(j.member(v, "description")),
-            "operation_id": F.lit(None).cast("string"),
+            "path": j.text(e["path"]),
+            "method": q["method"],
+            "summary": j.text(e["summary"]),
+            "description": j.text(e["description"]),
+            "operation_id": _null("string"),
             "tags": F.when(tags.isNull(), no_list).otherwise(j.as_string_list(tags)),
-            "parameters": F.transform(e["parameters"], lambda q: _fields(q, PARAMETER_FIELDS)),
+            "parameters": F.transform(q["parameters"], lambda v: _fields(v, PARAMETER_FIELDS)),
             "request_body": F.when(body.isNotNull(), _fields(body, BODY_FIELDS)),
-            "responses": F.transform(e["responses"], lambda q: _fields(q, RESPONSE_FIELDS)),
+            "responses": F.transform(q["responses"], lambda v: _fields(v, RESPONSE_FIELDS)),
             "deprecated": F.lit(False),
-            "confidence": confidence,
+            "confidence": q["confidence"],
             "source_url": source_url,
         }
         endpoint = F.struct(*[value.alias(name) for name, value in values.items()])
         return F.struct(
-            F.coalesce(ok, F.lit(False)).alias("ok"),
-            endpoint.cast(schemas.ENDPOINT).alias("endpoint"),
+            F.coalesce(ok, F.lit(False)).alias("ok"), endpoint.alias("endpoint")
         )
 
-    return F.transform(F.transform(parsed, parts), read)
+    return F.transform(F.transform(F.transform(members, parts), typed), checked)
 
 
 def parse_security_schemes(records: Column) -> Column:
     """Array of (ok, scheme) for the security records, in order."""
     named = F.filter(records, lambda r: r["name"] == SECURITY_RECORD)
-    parsed = F.transform(named, lambda r: F.struct(F.try_parse_json(r["input"]).alias("v")))
-    names = ("name", "scheme", "bearer_format", "description")
+    members = F.transform(named, lambda r: F.from_json(r["input"], SECURITY_INPUT))
+    texts = ("name", "scheme", "bearer_format", "description")
+    order = ("type", "name", "location", "scheme", "bearer_format", "description")
 
     def read(e):
-        v, location = e["v"], j.member(e["v"], "location")
-        type_ = j.as_string(j.member(v, "type"))
-        ok = _in(type_, schemas.SECURITY_TYPES) & (
-            F.coalesce(j.kind(location) == "VOID", F.lit(True))
-            | _in(j.as_string(location), schemas.SECURITY_LOCATIONS)
-        )
-        for name in names:
-            ok = ok & j.is_optional_string(j.member(v, name))
-        scheme = F.struct(
-            type_.alias("type"),
-            j.as_string(j.member(v, "name")).alias("name"),
-            j.as_string(location).alias("location"),
-            j.as_string(j.member(v, "scheme")).alias("scheme"),
-            j.as_string(j.member(v, "bearer_format")).alias("bearer_format"),
-            j.as_string(j.member(v, "description")).alias("description"),
-        )
-        return F.struct(
-            F.coalesce(ok, F.lit(False)).alias("ok"),
-            scheme.cast(schemas.SECURITY_SCHEME).alias("scheme"),
-        )
+        location = e["location"]
+        ok = _in(j.text(e["type"]), schemas.SECURITY_TYPES) & F.when(
+            location.isNull() | F.is_variant_null(location), True
+        ).otherwise(_in(j.text(location), schemas.SECURITY_LOCATIONS))
+        for name in texts:
+            ok = ok & j.is_optional_string(e[name])
+        scheme = F.struct(*[j.text(e[name]).alias(name) for name in order])
+        return F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), scheme.alias("scheme"))
 
-    return F.transform(parsed, read)
+    return F.transform(members, read)
 
 
 def last_metadata(records: Column) -> Column:
     """(ok, title, description, base_url) of the last metadata record, also when it resets them."""
     named = F.filter(records, lambda r: r["name"] == METADATA_RECORD)
-    parsed = F.transform(named, lambda r: F.struct(F.try_parse_json(r["input"]).alias("v")))
+    last = F.slice(named, F.greatest(F.size(named), F.lit(1)), F.lit(1))
+    members = F.transform(last, lambda r: F.from_json(r["input"], METADATA_INPUT))
+    names = ("title", "description", "base_url")
 
     def read(e):
-        v = e["v"]
-        ok = j.is_object(v)
-        for name in ("title", "description", "base_url"):
-            ok = ok & j.is_optional_string(j.member(v, name))
-        return F.struct(
-            ok.alias("ok"),
-            j.as_string(j.member(v, "title")).alias("title"),
-            j.as_string(j.member(v, "description")).alias("description"),
-            j.as_string(j.member(v, "base_url")).alias("base_url"),
-        )
+        ok = F.lit(True)
+        for name in names:
+            ok = ok & j.is_optional_string(e[name])
+        return F.struct(ok.alias("ok"), *[j.text(e[name]).alias(name) for name in names])
 
-    return F.try_element_at(F.transform(parsed, read), F.lit(-1))
+    return F.get(F.transform(members, read), F.lit(0))
 
 
 def page_confidence(endpoints: Column) -> Column:

@@ -36,71 +36,73 @@ def paths_text(spec: Column) -> Column:
     return F.when(_is_object_text(paths), paths)
 
 
+# The members of an operation anything here looks at.
+OPERATION = j.variants(
+    "summary", "description", "operationId", "tags", "parameters", "requestBody", "responses"
+)
+
+
 def operations(spec: Column, methods=schemas.SPEC_METHODS, any_case: bool = True) -> Column:
     """(path, method, text, op) of every operation of a description, in document order.
 
-    ``text`` is the operation as JSON text, ``op`` the same as VARIANT. Path items that are no
-    objects and members that are no method are passed over; operations that are no objects stay,
-    with a null ``op``.
+    ``text`` is the operation as JSON text, ``op`` the struct of its members as VARIANT. Path items
+    that are no objects and members that are no method are passed over; operations that are no
+    objects stay, with a null ``op``.
     """
     items = F.filter(_entries(paths_text(spec)), lambda e: _is_object_text(e["value"]))
-    found = F.flatten(
+
+    def counted(e):
+        name = F.lower(e["key"]) if any_case else e["key"]
+        return name.isin(*methods)
+
+    return F.flatten(
         F.transform(
             items,
             lambda item: F.transform(
-                _entries(item["value"]),
+                F.filter(_entries(item["value"]), counted),
                 lambda e: F.struct(
-                    item["key"].alias("path"), e["key"].alias("method"), e["value"].alias("text")
+                    item["key"].alias("path"),
+                    e["key"].alias("method"),
+                    e["value"].alias("text"),
+                    F.when(_is_object_text(e["value"]), F.from_json(e["value"], OPERATION)).alias(
+                        "op"
+                    ),
                 ),
             ),
         )
     )
 
-    def counted(e):
-        name = F.lower(e["method"]) if any_case else e["method"]
-        return name.isin(*methods)
-
-    return F.transform(
-        F.filter(found, counted),
-        lambda e: F.struct(
-            e["path"].alias("path"),
-            e["method"].alias("method"),
-            e["text"].alias("text"),
-            F.when(_is_object_text(e["text"]), F.try_parse_json(e["text"])).alias("op"),
-        ),
-    )
-
 
 def _null(type_: str) -> Column:
     return F.lit(None).cast(type_)
 
 
-def _parameters(op: Column) -> Column:
+def _parameters(given: Column) -> Column:
     """Valid parameters of an operation; each invalid one is passed over alone."""
-    given = F.filter(j.as_array(j.member(op, "parameters")), j.is_object)
+    names = ("name", "in", "description", "required", "schema", "type")
+    objects = F.filter(j.as_array(given), j.is_object)
+    members = F.transform(objects, lambda v: j.members(v, *names))
 
-    def read(v):
-        schema, type_ = j.member(v, "schema"), j.member(v, "type")
+    def read(q):
+        schema, type_ = q["schema"], q["type"]
         inner = j.member(schema, "type")
         declared = F.when(
-            j.is_object(schema),
-            F.when(inner.isNull(), "string").otherwise(j.as_string(inner)),
-        ).otherwise(F.when(type_.isNull(), "string").otherwise(j.as_string(type_)))
-        name, place = j.member(v, "name"), j.member(v, "in")
-        description = j.member(v, "description")
+            F.when(schema.isNotNull(), j.is_object(schema)).otherwise(False),
+            F.when(inner.isNull(), "string").otherwise(j.text(inner)),
+        ).otherwise(F.when(type_.isNull(), "string").otherwise(j.text(type_)))
         return F.struct(
-            F.when(name.isNull(), "unknown").otherwise(j.as_string(name)).alias("name"),
-            F.when(place.isNull(), "query").otherwise(j.as_string(place)).alias("location"),
-            j.as_string(description).alias("description"),
-            j.as_flag(j.member(v, "required")).alias("required"),
+            F.when(q["name"].isNull(), "unknown").otherwise(j.as_string(q["name"])).alias("name"),
+            F.when(q["in"].isNull(), "query").otherwise(j.text(q["in"])).alias("location"),
+            j.text(q["description"]).alias("description"),
+            j.as_flag(q["required"]).alias("required"),
             declared.alias("type"),
             _null("string").alias("example"),
             _null("string").alias("schema"),
-            j.is_optional_string(description).alias("ok"),
+            j.is_optional_string(q["description"]).alias("ok"),
         )
 
     valid = F.filter(
-        F.transform(given, read),
+        F.transform(members, read),
         lambda e: e["ok"]
         & e["name"].isNotNull()
         & e["required"].isNotNull()
@@ -113,17 +115,17 @@ def _parameters(op: Column) -> Column:
 
 def _responses(text: Column) -> Column:
     """Status and description, in document order; responses without a text are passed over."""
-    entries = F.filter(
-        _entries(F.from_json(text, "responses STRING")["responses"], VALUE_MAP),
-        lambda e: j.is_object(e["value"]),
+    listed = F.map_entries(F.from_json(text, f"responses {VALUE_MAP}")["responses"])
+    entries = F.filter(listed, lambda e: j.is_object(e["value"]))
+    described = F.transform(
+        entries,
+        lambda e: F.struct(e["key"].alias("k"), j.member(e["value"], "description").alias("d")),
     )
     read = F.transform(
-        entries,
+        described,
         lambda e: F.struct(
-            e["key"].alias("status_code"),
-            F.when(j.member(e["value"], "description").isNull(), "")
-            .otherwise(j.as_string(j.member(e["value"], "description")))
-            .alias("description"),
+            e["k"].alias("status_code"),
+            F.when(e["d"].isNull(), "").otherwise(j.as_string(e["d"])).alias("description"),
             F.lit("application/json").alias("content_type"),
             _null(schemas.SCHEMA).alias("schema"),
             _null("string").alias("example"),
@@ -134,21 +136,21 @@ def _responses(text: Column) -> Column:
 
 def _is_usable(op: Column) -> Column:
     """Whether an operation makes an endpoint: its parts have the types they must have."""
-    parameters, responses = j.member(op, "parameters"), j.member(op, "responses")
-    summary = j.member(op, "summary")
-    iterable = j.kind(parameters).isin("ARRAY", "OBJECT", "STRING")
+    parameters, responses = op["parameters"], op["responses"]
+    kind = j.kind(parameters)
+    iterable = kind.startswith("ARRAY") | kind.startswith("OBJECT") | (kind == "STRING")
     return (
-        F.coalesce(iterable, F.lit(True))
-        & F.coalesce(j.kind(responses) == "OBJECT", F.lit(True))
-        & j.is_optional_string(summary)
-        & j.is_optional_string(j.member(op, "description"))
-        & j.is_string_list(j.member(op, "tags"))
+        F.when(parameters.isNull(), True).otherwise(iterable)
+        & ~j.is_other_than_object(responses)
+        & j.is_optional_string(op["summary"])
+        & j.is_optional_string(op["description"])
+        & j.is_string_list(op["tags"])
     )
 
 
 def _as_body(op: Column) -> Column:
     """Request body of an operation: first media type, its schema type and its example."""
-    body = j.member(op, "requestBody")
+    body = op["requestBody"]
     media = F.element_at(F.map_entries(j.as_map(j.member(body, "content"))), 1)
     body_schema = j.member(media["value"], "schema")
     struct = F.struct(
@@ -182,27 +184,33 @@ def spec_endpoints(spec: Column, source_url: Column, carry_body: bool = False) -
     """
     usable = F.filter(operations(spec), lambda e: e["op"].isNotNull() & _is_usable(e["op"]))
 
+    no_list = F.array().cast("array<string>")
+    no_parameters = F.array().cast(f"array<{schemas.PARAMETER}>")
+    no_responses = F.array().cast(f"array<{schemas.RESPONSE}>")
+
     def read(e):
         op = e["op"]
         body = _as_body(op) if carry_body else _null(schemas.REQUEST_BODY)
-        no_list = F.array().cast("array<string>")
-        tags, summary = j.member(op, "tags"), j.member(op, "summary")
-        empty_parameters = F.array().cast(f"array<{schemas.PARAMETER}>")
-        empty_responses = F.array().cast(f"array<{schemas.RESPONSE}>")
+        tags, summary, responses = op["tags"], op["summary"], op["responses"]
         values = {
             "path": e["path"],
             "method": F.lower(e["method"]),
-            "summary": F.when(summary.isNull(), "").otherwise(j.as_string(summary)),
-            "description": j.as_string(j.member(op, "description")),
+            "summary": F.when(summary.isNull(), "").otherwise(j.text(summary)),
+            "description": j.text(op["description"]),
             "operation_id": _null("string"),
             "tags": F.when(tags.isNull(), no_list).otherwise(j.as_string_list(tags)),
-            "parameters": F.coalesce(_parameters(op), empty_parameters),
+            "parameters": F.when(
+                op["parameters"].isNotNull(),
+                F.coalesce(_parameters(op["parameters"]), no_parameters),
+            ).otherwise(no_parameters),
             "request_body": body,
-            "responses": F.coalesce(_responses(e["text"]), empty_responses),
+            "responses": F.when(
+                responses.isNotNull(), F.coalesce(_responses(e["text"]), no_responses)
+            ).otherwise(no_responses),
             "deprecated": F.lit(False),
             "confidence": F.lit("high"),
             "source_url": source_url,
         }
-        return F.struct(*[v.alias(name) for name, v in values.items()]).cast(schemas.ENDPOINT)
+        return F.struct(*[v.alias(name) for name, v in values.items()])
 
     return F.transform(usable, read)

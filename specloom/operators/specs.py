@@ -113,12 +113,13 @@ def _has_media_example(holder: Column) -> Column:
 
 
 def _has_response_example(op: Column) -> Column:
-    responses = F.map_values(j.as_map(j.member(op, "responses")))
+    responses = F.map_values(j.as_map(op["responses"]))
     return F.coalesce(F.exists(responses, _has_media_example), F.lit(False))
 
 
 def _given(op: Column, name: str) -> Column:
-    return j.is_truthy(j.as_text(j.member(op, name)))
+    value = op[name]
+    return F.when(value.isNotNull(), j.is_truthy(j.as_text(value))).otherwise(False)
 
 
 def _count(flags: Column, field: str) -> Column:
@@ -132,23 +133,29 @@ def _lacks_security(spec: Column) -> Column:
 
 def _malformed_content(holder: Column) -> Column:
     content = j.member(holder, "content")
-    values = F.map_values(j.as_map(content))
-    scalar = F.exists(values, lambda m: ~j.kind(m).isin("OBJECT", "ARRAY", "STRING"))
-    return F.coalesce(j.kind(content) != "OBJECT", F.lit(False)) | F.coalesce(scalar, F.lit(False))
+
+    def is_scalar(media):
+        kind = j.kind(media)
+        return ~(kind.startswith("OBJECT") | kind.startswith("ARRAY") | (kind == "STRING"))
+
+    scalar = F.exists(F.map_values(j.as_map(content)), is_scalar)
+    return j.is_other_than_object(content) | F.coalesce(scalar, F.lit(False))
 
 
 def _malformed(op: Column) -> Column:
     """Parts of an operation that a walk through it would stumble over."""
-    body, responses = j.member(op, "requestBody"), j.member(op, "responses")
+    body, responses = op["requestBody"], op["responses"]
     bad_response = F.exists(
         F.map_values(j.as_map(responses)), lambda r: ~j.is_object(r) | _malformed_content(r)
     )
     return (
         op.isNull()
-        | F.coalesce(j.kind(body) != "OBJECT", F.lit(False))
-        | _malformed_content(body)
-        | F.coalesce(j.kind(responses) != "OBJECT", F.lit(False))
-        | F.coalesce(bad_response, F.lit(False))
+        | F.when(body.isNull(), False).otherwise(
+            j.is_other_than_object(body) | _malformed_content(body)
+        )
+        | F.when(responses.isNull(), False).otherwise(
+            j.is_other_than_object(responses) | F.coalesce(bad_response, F.lit(False))
+        )
     )
 
 
@@ -163,7 +170,7 @@ def spec_coverage(specs: DataFrame, key: str = "spec_id") -> DataFrame:
             _given(e["op"], "parameters").alias("parameters"),
             _given(e["op"], "requestBody").alias("request_body"),
             _given(e["op"], "responses").alias("responses"),
-            (_has_media_example(j.member(e["op"], "requestBody")) | _has_response_example(e["op"]))
+            (_has_media_example(e["op"]["requestBody"]) | _has_response_example(e["op"]))
             .alias("examples"),
         ),
     )
@@ -248,9 +255,9 @@ def _violation(rule: str, broken: Column, location: Column) -> Column:
 def _operation_violations(item_parameters: Column, e: Column) -> Column:
     op = e["op"]
     where = F.concat(F.upper(e["method"]), F.lit(" "), e["path"])
-    responses = j.as_map(j.member(op, "responses"))
+    responses = j.as_map(op["responses"])
     parameters = F.concat(
-        F.coalesce(j.as_array(j.member(op, "parameters")), F.array().cast("array<variant>")),
+        F.coalesce(j.as_array(op["parameters"]), F.array().cast("array<variant>")),
         F.coalesce(item_parameters, F.array().cast("array<variant>")),
     )
     inline = F.filter(parameters, lambda v: j.member(v, "$ref").isNull())
@@ -273,7 +280,7 @@ def _operation_violations(item_parameters: Column, e: Column) -> Column:
 
     def bad_type(v):
         given = j.member(j.member(v, "schema"), "type")
-        return (j.kind(given) == "STRING") & ~j.as_string(given).isin(*schemas.DATA_TYPES)
+        return j.is_string(given) & ~j.text(given).isin(*schemas.DATA_TYPES)
 
     bad_description = F.exists(
         F.map_values(responses),
@@ -353,7 +360,7 @@ def _with_violations(specs: DataFrame, key: str) -> DataFrame:
     )
     ids = F.array_sort(
         F.array_compact(
-            F.transform(F.col("ops"), lambda e: j.as_string(j.member(e["op"], "operationId")))
+            F.transform(F.col("ops"), lambda e: j.as_string(e["op"]["operationId"]))
         )
     )
     # Neighbours in sorted order: each repeated id once.
