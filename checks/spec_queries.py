@@ -132,17 +132,18 @@ def spec_coverage(spark, folder):
 @query(
     "a6_spec_coverage_recommendations",
     "endpoints_raw",
-    sql=f"""WITH {PERCENTS} SELECT seq AS spec_id, concat_ws('|',
+    sql=f"""WITH {PERCENTS} SELECT seq AS spec_id, CASE WHEN NOT good THEN '' ELSE concat_ws('|',
   CASE WHEN NOT p THEN 'Add parameter definitions to more endpoints' END,
   CASE WHEN NOT b THEN 'Document request body schemas for POST/PUT/PATCH endpoints' END,
   CASE WHEN NOT r THEN 'Add response schemas and status codes' END,
   CASE WHEN NOT e THEN 'Include examples for requests and responses' END,
-  CASE WHEN NOT secured THEN 'Consider adding security schemes if the API requires authentication' END)
-  AS recommendations FROM judged WHERE good""",
+  CASE WHEN NOT secured THEN 'Consider adding security schemes if the API requires authentication' END) END
+  AS recommendations FROM judged""",
 )
 def spec_coverage_recommendations(spark, folder):
-    judged = specs.spec_coverage(spec_docs(spark, folder)).filter("error IS NULL")
-    return judged.select("spec_id", F.array_join("recommendations", "|").alias("recommendations"))
+    judged = specs.spec_coverage(spec_docs(spark, folder))
+    advice = F.coalesce(F.array_join("recommendations", "|"), F.lit(""))
+    return judged.select("spec_id", advice.alias("recommendations"))
 
 
 @query(

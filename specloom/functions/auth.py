@@ -21,7 +21,18 @@ def mentions(text: Column, patterns) -> Column:
 
 def auth_families(text: Column) -> dict[str, Column]:
     """One boolean expression per family of authentication methods."""
-    return {name: mentions(text, found_by) for name, found_by in p.AUTH_PATTERNS.items()}
+    folded = _folded(text)
+
+    def has_word(name):
+        first, *others = [F.contains(folded, F.lit(word)) for word in p.AUTH_WORDS[name]]
+        for other in others:
+            first = first | other
+        return first
+
+    return {
+        name: has_word(name) & F.rlike(folded, F.lit(p.any_of(found_by)))
+        for name, found_by in p.AUTH_PATTERNS.items()
+    }
 
 
 def auth_header_name(text: Column) -> Column:

@@ -11,16 +11,25 @@ from specloom.operators.skew import with_positions
 PAGE_ORDER = schemas.PAGE_ORDER
 
 
+def explode_rows(frame: DataFrame, column: str) -> DataFrame:
+    """One row per element of an array of structs: (other columns, seq, fields).
+
+    The outer form, with the empty rows dropped behind it: from the plain form the optimizer infers
+    a filter on the array, pushes it down and so computes the array several times.
+    """
+    rest = [c for c in frame.columns if c != column]
+    rows = frame.select(*rest, F.posexplode_outer(column).alias("seq", "_e"))
+    return rows.filter(F.col("seq").isNotNull()).select(*rest, "seq", "_e.*")
+
+
 def flatten_endpoints(results: DataFrame) -> DataFrame:
     """One row per endpoint: (site, url, seq, endpoint fields)."""
-    rows = results.select("site", "url", F.posexplode("endpoints").alias("seq", "e"))
-    return rows.select("site", "url", "seq", "e.*")
+    return explode_rows(results.select("site", "url", F.col("endpoints").alias("e")), "e")
 
 
 def flatten_security_schemes(results: DataFrame) -> DataFrame:
     """One row per security scheme: (site, url, seq, scheme fields)."""
-    rows = results.select("site", "url", F.posexplode("security_schemes").alias("seq", "s"))
-    return rows.select("site", "url", "seq", "s.*")
+    return explode_rows(results.select("site", "url", F.col("security_schemes").alias("s")), "s")
 
 
 def concat_results(*results: DataFrame) -> DataFrame:

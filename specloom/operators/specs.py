@@ -13,6 +13,7 @@ from specloom import schemas
 from specloom.functions import jsontext as j
 from specloom.functions import specs as s
 from specloom.functions.text import strip
+from specloom.operators.merge import explode_rows
 
 # Advice sentences, with the coverage below which the first four are given.
 COVERAGE_ADVICE = (
@@ -51,10 +52,8 @@ def explode_spec(specs: DataFrame, key: str = "spec_id", carry_body: bool = Fals
     """One row per operation of each description: (key, seq, endpoint fields)."""
     url = F.col(key).cast("string")
     parsed = specs.select(key, j.canonical(F.col("spec_json")).alias("spec"))
-    exploded = parsed.select(
-        key, F.posexplode(s.spec_endpoints(F.col("spec"), url, carry_body)).alias("seq", "e")
-    )
-    return exploded.select(key, "seq", "e.*")
+    found = s.spec_endpoints(F.col("spec"), url, carry_body)
+    return explode_rows(parsed.select(key, found.alias("e")), "e")
 
 
 def find_embedded_spec(documents: DataFrame) -> DataFrame:
@@ -384,8 +383,9 @@ def _with_violations(specs: DataFrame, key: str) -> DataFrame:
 
 def spec_violations(specs: DataFrame, key: str = "spec_id") -> DataFrame:
     """One row (key, rule, location) per broken rule of each description."""
-    found = _with_violations(specs, key).select(key, F.explode("violations").alias("v"))
-    return found.select(key, "v.*")
+    return explode_rows(_with_violations(specs, key).select(key, "violations"), "violations").drop(
+        "seq"
+    )
 
 
 def validate_specs(specs: DataFrame, key: str = "spec_id") -> DataFrame:

@@ -157,6 +157,16 @@ AUTH_PATTERNS = {
     ),
 }
 
+# Every pattern of a family needs one of these words. Looking for them first spares most texts the
+# regular expressions.
+AUTH_WORDS = {
+    "api_key_header": ("key",),
+    "api_key_query": ("key",),
+    "bearer_token": ("bearer",),
+    "basic_auth": ("basic", "base64"),
+    "oauth2": ("oauth", "flow", "endpoint"),
+}
+
 # OAuth flows in the order they are reported.
 OAUTH_FLOW_PATTERNS = {
     "authorization_code": (

@@ -212,3 +212,11 @@ def test_json_truth_and_strings(spark):
     assert evaluate(spark, j.is_truthy, values) == [False] * 8 + [True] * 4 + [False]
     texts = ['a"b', "x/y\\", "é\n\x01", ""]
     assert [json.loads(v) for v in evaluate(spark, j.string, texts)] == texts
+
+
+def test_auth_words_are_needed_by_every_pattern():
+    from specloom import patterns as p
+
+    for family, found_by in p.AUTH_PATTERNS.items():
+        for pattern in found_by:
+            assert any(word in pattern for word in p.AUTH_WORDS[family]), pattern
