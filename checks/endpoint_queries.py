@@ -182,7 +182,7 @@ def concat_results(spark, folder):
         j.canonical(c("spec_json")).alias("spec"),
     )
     found = sp.spec_endpoints(c("spec"), c("url"))
-    embedded = specs.select("site", "url", found.alias("endpoints")).filter("endpoints IS NOT NULL")
+    embedded = specs.select("site", "url", found.alias("endpoints"))
     rows = merge.flatten_endpoints(merge.concat_results(recorded, embedded))
     return rows.groupBy("method").agg(F.count(F.lit(1)).alias("n"))
 
@@ -360,8 +360,8 @@ def filter_summary(spark, folder):
     sql=f"SELECT url, 2 AS n_endpoints, 1 AS n_schemes FROM record_pages WHERE {VALID}",
 )
 def drop_empty_results(spark, folder):
-    results = extraction.drop_empty_results(extraction.parse_records(records(spark, folder)))
-    return results.select(
+    parsed = materialize(extraction.parse_records(records(spark, folder)), "results")
+    return extraction.drop_empty_results(parsed).select(
         "url",
         F.size("endpoints").alias("n_endpoints"),
         F.size("security_schemes").alias("n_schemes"),

@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 from specloom.workspace import materialize
 
 HOT_SHARE = 0.001
-SALTS = 64
+ROWS_PER_SALT = 1_000_000
+MIN_SALTS = 8
+MAX_SALTS = 10_000
 GROUP_LIMIT = 1_000_000
 
 
 def hot_keys(frame: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding more than ``share`` of the rows: at most ``1 / share`` of them."""
+    """Keys holding more than ``share`` of the rows, with the number of parts to split them in.
+
+    There are at most ``1 / share`` of them, whatever the table: a size that is safe to broadcast.
+    """
     rows = frame.count()
     sizes = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.filter(F.col("n") > max(rows * share, 1)).select(*keys)
+    parts = F.ceil(F.col("n") / ROWS_PER_SALT)
+    bounded = F.least(F.greatest(parts, F.lit(MIN_SALTS)), F.lit(MAX_SALTS)).cast("int")
+    return sizes.filter(F.col("n") > max(rows * share, 1)).select(*keys, bounded.alias("_salts"))
 
 
 def salted_join(
@@ -26,27 +33,21 @@ def salted_join(
     spread: list[str],
     how: str = "left",
     share: float = HOT_SHARE,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Equi-join with a right side that has one row (or a few) per key.
 
-    Rows of hot left keys are spread over ``salts`` tasks by a hash of the ``spread`` columns and
-    the right rows of those keys are repeated as often. The list of hot keys is the only thing
-    broadcast; its size is bounded by ``1 / share``.
+    Rows of hot left keys are spread over tasks by a hash of the ``spread`` columns, the more the
+    hotter the key, and the right rows of those keys are repeated as often. Only the bounded list
+    of hot keys is broadcast.
     """
-    hot = F.broadcast(hot_keys(left.select(*keys), keys, share).withColumn("_hot", F.lit(True)))
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    hot = F.broadcast(hot_keys(left.select(*keys), keys, share))
+    salts = F.col("_salts")
+    salt = F.pmod(F.xxhash64(*spread), salts).cast("int")
     salted = (
-        left.join(hot, keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0))
-        .drop("_hot")
-    )
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    repeated = (
-        right.join(hot, keys, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
+        left.join(hot, keys, "left").withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_salts")
     )
+    every = F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1)
+    repeated = right.join(hot, keys, "left").withColumn("_salt", F.explode(every)).drop("_salts")
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -220,14 +220,15 @@ def test_positions_of_large_groups(spark):
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_anti"])
-def test_salted_join_equals_join(spark, how):
+def test_salted_join_equals_join(spark, how, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_SALT", 20)
     left = spark.range(1000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"),
         "id",
     )
     right = spark.createDataFrame([("hot", 1), ("k1", 2), ("zz", 3)], "k STRING, v INT")
     want = left.join(right, ["k"], how).collect()
-    got = skew.salted_join(left, right, ["k"], ["id"], how, share=0.1, salts=8).collect()
+    got = skew.salted_join(left, right, ["k"], ["id"], how, share=0.1).collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) > 0
 
 
