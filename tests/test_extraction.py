@@ -68,13 +68,20 @@ BAD = [
 ]
 
 
-@pytest.mark.parametrize("start", range(0, len(BAD), 5))
-def test_one_bad_record_empties_its_page(spark, start):
-    for fields in BAD[start : start + 5]:
-        row = parsed(spark, point(), point(**fields))
-        assert (row["endpoints"], row["confidence"]) == ([], "low"), fields
-        assert row["error"] == "invalid record"
-        assert len(parsed(spark, point(), point(**fields), on_error="row")["endpoints"]) == 1, fields
+def test_one_bad_record_empties_its_page(spark):
+    rows = [
+        ("s", f"u{i:02}", [(n, json.dumps(v)) for n, v in (point(), point(**fields))], None)
+        for i, fields in enumerate(BAD)
+    ]
+    frame = spark.createDataFrame(
+        rows, f"site STRING, url STRING, records {schemas.TOOL_RECORDS}, error STRING"
+    )
+    for row in x.parse_records(frame).collect():
+        bad = BAD[int(row["url"][1:])]
+        assert (row["endpoints"], row["confidence"]) == ([], "low"), bad
+        assert row["error"] == "invalid record", bad
+    for row in x.parse_records(frame, on_error="row").collect():
+        assert len(row["endpoints"]) == 1, BAD[int(row["url"][1:])]
 
 
 def test_schemes_and_metadata(spark):
@@ -94,10 +101,14 @@ def test_schemes_and_metadata(spark):
     assert parsed(spark, error="boom", on_error="row")["error"] == "boom"
 
 
-@pytest.mark.parametrize("high,total,level", [(8, 10, "high"), (7, 10, "medium"), (4, 10, "medium"), (3, 10, "low"), (0, 0, "low")])
-def test_page_confidence(spark, high, total, level):
-    records = [point(confidence="high" if i < high else "low") for i in range(total)]
-    assert parsed(spark, *records)["confidence"] == level
+def test_page_confidence(spark):
+    from specloom.functions.records import page_confidence
+
+    cases = [(8, 10, "high"), (7, 10, "medium"), (4, 10, "medium"), (3, 10, "low"), (0, 0, "low")]
+    rows = [(w, [("high" if i < h else "low",) for i in range(n)]) for h, n, w in cases]
+    frame = spark.createDataFrame(rows, "want STRING, e ARRAY<STRUCT<confidence: STRING>>")
+    got = frame.select("want", page_confidence(F.col("e")).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
 
 
 def md5(text):
