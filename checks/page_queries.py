@@ -306,7 +306,10 @@ def has_sitemap(spark, folder):
 
 # -- content ---------------------------------------------------------------------------------------
 
-UNESCAPED = "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+# An entity also counts without its semicolon, where its name ends (titles are cut off anywhere).
+UNESCAPED = "{0}"
+for _name, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
+    UNESCAPED = f"regexp_replace({UNESCAPED}, '&{_name}(;|\\b)', '{_char}', 'g')"
 
 
 def squeeze_sql(column):
