@@ -37,8 +37,9 @@ def auth_families(text: Column) -> dict[str, Column]:
 
 def auth_header_name(text: Column) -> Column:
     """Name of the key header when the text quotes one, else the usual name."""
+    # Every pattern captures at least one character: empty means not found.
     found = [
-        F.when(F.rlike(text, F.lit("(?iud)" + q)), F.regexp_extract(text, "(?iud)" + q, 1))
+        F.nullif(F.regexp_extract(text, "(?iud)" + q, 1), F.lit(""))
         for q in p.HEADER_NAME_PATTERNS
     ]
     return F.coalesce(*found, F.lit(p.DEFAULT_HEADER_NAME))
