@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm import bpe, packing, tokencount
+from specloom.llm import bpe, packing, secretscan, tokencount
 from specloom.llm.common import table, vocabulary
 
 QUERIES = {}
@@ -49,3 +49,26 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of all rules in every whole text."""
+    found = secretscan.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    spans = F.col("secret_spans")
+    base = F.filter(spans, lambda s: s["rank"] < len(secretscan.BASE))
+
+    def count(rank: int):
+        return F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long")
+
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secretscan.written(base).cast("binary"), 256).alias("base_sha256"),
+        secretscan.written(spans).alias("spans"),
+    )
+
+
+ORACLES["op10_secrets"] = secretscan.oracle_sql()
