@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm import bpe, packing, secretscan, tokencount
+from specloom.llm import bpe, packing, quality, secretscan, tokencount
 from specloom.llm.common import table, vocabulary
 
 QUERIES = {}
@@ -72,3 +72,10 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op10_secrets"] = secretscan.oracle_sql()
+
+
+@query
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    docs, labels = (table(spark, folder, n) for n in ("documents", "labels"))
+    return quality.judge(docs.select("doc_id", "text"), labels).drop("text")
