@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm import bpe, packing, quality, secretscan, tokencount
+from specloom.llm import bpe, packing, quality, secretscan, tokencount, urlfilter
 from specloom.llm.common import table, vocabulary
 
 QUERIES = {}
@@ -79,3 +79,13 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdict of every document."""
     docs, labels = (table(spark, folder, n) for n in ("documents", "labels"))
     return quality.judge(docs.select("doc_id", "text"), labels).drop("text")
+
+
+@query
+def op8_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    judged = urlfilter.judge(table(spark, folder, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op8_urls"] = urlfilter.oracle_sql()
