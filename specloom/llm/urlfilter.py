@@ -9,7 +9,7 @@ weights of its buckets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specloom.llm.common import let
@@ -30,23 +30,28 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
-# The small labelled table, host and path without scheme.
-BLOCK = (
-    "www.casino-royal.test/slots/1.html", "m.casino-win.test/en/2", "online-casino.test/bonus", "poker-casino.test/en/7/",
-    "free-bets.test/odds/3", "sports-bets.test/en/12", "bets-today.test/", "best-bets.test/fr/5",
-    "cheap-pills.test/buy/8", "www.cheap-pills.test/de/4.html", "pills-online.test/en/21", "diet-pills.test/order",
-    "ads-track.test/click/77", "m.ads-track.test/en/9", "track-ads.test/pixel.gif", "ads-server.test/banner",
-    "free-money.test/win", "win-prizes.test/en/6", "cheap-loans.test/apply", "payday-loans.test/en/31",
-    "adult-cams.test/live", "xxx-videos.test/en/11", "free-downloads-crack.test/keygen", "spam-mailer.test/buy-followers",
+# The small labelled table. Each blocked host stands beside an allowed one with the same
+# path, and the other way round, so that a path says something only where it has a word of its own.
+PATHS = (
+    "/en/1.html", "/en/22/", "/de/333", "/fr/4444.html", "/es/5/", "/", "", "/index.html",
+    "/2020/05/page.html", "/de/61/", "/fr/7", "/es/888.html",
 )
-ALLOW = (
-    "www.museum.test/en/1.html", "blog.garden.test/en/2", "m.weather.test/de/3/", "library.test/fr/4",
-    "news.city.test/en/57", "docs.software.test/guide/install", "www.university.test/research/12", "recipes.kitchen.test/soup/",
-    "m.travel.test/es/9", "blog.reader.test/2020/05/review.html", "www.school.test/en/8/", "hospital.test/about",
-    "history.test/en/1789", "www.science.test/articles/33", "music.test/albums/4", "forum.cars.test/topic/81",
-    "government.test/laws/de/7", "m.stories.test/en/14.html", "photos.nature.test/birds", "shop.books.test/en/1024",
-    "wiki.math.test/theorem", "www.gallery.test/fr/61", "blog.coffee.test/de/18", "maps.test/en/500",
+BLOCK_HOSTS = (
+    "www.casino-royal.test", "m.casino-win.test", "online-casino.test", "poker-casino.test", "free-bets.test",
+    "www.sports-bets.test", "bets-today.test", "m.best-bets.test", "cheap-pills.test", "www.cheap-pills.test",
+    "pills-online.test", "blog.diet-pills.test", "ads-track.test", "m.ads-track.test", "track-ads.test",
+    "www.ads-server.test", "free-money.test", "win-prizes.test", "cheap-loans.test", "payday-loans.test",
+    "adult-cams.test", "xxx-videos.test", "crack-downloads.test", "spam-mailer.test",
 )
+ALLOW_HOSTS = (
+    "www.museum.test", "m.weather.test", "library.test", "news.city.test", "docs.software.test",
+    "www.university.test", "kitchen.test", "m.travel.test", "garden.test", "www.school.test",
+    "hospital.test", "blog.reader.test", "history.test", "m.stories.test", "music.test",
+    "www.science.test", "government.test", "forum.test", "photos.test", "books.test",
+    "math.test", "gallery.test", "coffee.test", "maps.test",
+)
+BLOCK_PATHS = ("/casino/slots", "/bets/odds", "/pills/buy", "/ads/click", "/free-money/win", "/xxx/live")
+ALLOW_PATHS = ("/articles/33", "/guide/install", "/about", "/research/12", "/recipes/soup", "/topic/81")
 
 
 def host_of(url: Column) -> Column:
@@ -71,10 +76,10 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def buckets(host: Column, path: Column) -> Column:
-    """Different buckets of the n-grams of host and path, each with its ends marked."""
+    """Different buckets of the n-grams of host and path, each with its ends marked; digits are alike."""
 
     def grams(text: Column, mark: str) -> Column:
-        whole = F.concat(F.lit("^"), text, F.lit("$"))
+        whole = F.concat(F.lit("^"), F.translate(text, "123456789", "000000000"), F.lit("$"))
         starts = F.sequence(F.lit(1), F.greatest(F.length(whole) - GRAM + 1, F.lit(1)))
         hashed = lambda w, i: F.conv(F.substring(F.md5(F.concat(F.lit(mark), F.substring(w, i, GRAM)).cast("binary")), 1, 6), 16, 10)
         return let(whole, lambda w: F.transform(starts, lambda i: F.pmod(hashed(w, i).cast("int"), F.lit(BUCKETS)).cast("int")))
@@ -82,10 +87,11 @@ def buckets(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(grams(host, "h"), grams(path, "p")))
 
 
-def labelled(spark: SparkSession) -> DataFrame:
+def labelled_rows() -> list[tuple[str, int]]:
     """The labelled table: url, blocked (1 or 0)."""
-    rows = [(f"https://{u}", 1) for u in BLOCK] + [(f"https://{u}", 0) for u in ALLOW]
-    return spark.createDataFrame(rows, "url string, blocked int")
+    hosts = [(h, p, y) for y, group in ((1, BLOCK_HOSTS), (0, ALLOW_HOSTS)) for h, p in zip(group, PATHS * 2, strict=True)]
+    paths = [(h, p, y) for y, group in ((1, BLOCK_PATHS), (0, ALLOW_PATHS)) for h, p in zip(("site.test", "www.web.test") * 3, group, strict=True)]
+    return [(f"https://{h}{p}", y) for h, p, y in hosts + paths]
 
 
 def train(table: DataFrame) -> DataFrame:
@@ -134,7 +140,7 @@ def judge(pages: DataFrame, training: DataFrame | None = None, url: str = "url",
     pages = pages.drop(*made)
     names = pages.columns
     spark = pages.sparkSession
-    model = materialize(train(labelled(spark) if training is None else training), "urls")
+    model = materialize(train(training or spark.createDataFrame(labelled_rows(), "url string, blocked int")), "urls")
     found = pages.withColumn("_host", host_of(F.col(url))).withColumn("_path", path_of(F.col(url)))
     found = found.withColumn("_model", model.select(F.struct("bias", "weights")).scalar())
     rule, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
@@ -151,7 +157,7 @@ def judge(pages: DataFrame, training: DataFrame | None = None, url: str = "url",
 
 def oracle_sql() -> str:
     """The registered query in DuckDB SQL, training included."""
-    rows = ", ".join(f"('https://{u}', {y}.0)" for y, urls in ((1, BLOCK), (0, ALLOW)) for u in urls)
+    rows = ", ".join(f"('{u}', {y}.0)" for u, y in labelled_rows())
     fits = " ".join(
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{'rule': '{h}{p}', 'verdict': '{v}'}}"
         for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))
@@ -165,7 +171,7 @@ def oracle_sql() -> str:
 
     def grams(text: str, mark: str) -> str:
         return f"""list_transform(generate_series(1, greatest(length({text}) + 2 - {GRAM} + 1, 1)), lambda i:
-            CAST(('0x' || substr(md5('{mark}' || substr('^' || {text} || '$', i, {GRAM})), 1, 6)) AS INTEGER) % {BUCKETS})"""
+            CAST(('0x' || substr(md5('{mark}' || substr('^' || translate({text}, '123456789', '000000000') || '$', i, {GRAM})), 1, 6)) AS INTEGER) % {BUCKETS})"""
 
     found = f"list_distinct(list_concat({grams('host', 'h')}, {grams('path', 'p')}))"
     return f"""
