@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm import bpe, packing, quality, secretscan, tokencount, urlfilter
+from specloom.llm import bpe, neardup, packing, quality, secretscan, tokencount, urlfilter
 from specloom.llm.common import table, vocabulary
 
 QUERIES = {}
@@ -89,3 +89,9 @@ def op8_urls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op8_urls"] = urlfilter.oracle_sql()
+
+
+@query
+def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Group of near-duplicates of every document, on shingles of four words."""
+    return neardup.near_duplicates(table(spark, folder, "documents"), settings=neardup.Settings(words=4))
