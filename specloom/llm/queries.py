@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm import bpe, neardup, packing, quality, secretscan, tokencount, urlfilter
+from specloom.llm import bpe, neardup, packing, quality, secretscan, tokencount, topk, urlfilter
 from specloom.llm.common import table, vocabulary
+from specloom.workspace import materialize
 
 QUERIES = {}
 ORACLES = {}
@@ -95,3 +96,24 @@ ORACLES["op8_urls"] = urlfilter.oracle_sql()
 def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Group of near-duplicates of every document, on shingles of four words."""
     return neardup.near_duplicates(table(spark, folder, "documents"), settings=neardup.Settings(words=4))
+
+
+@query
+def op5_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The five highest inner products of each query with all other vectors."""
+    vectors = table(spark, folder, "embeddings").filter(topk.usable(F.col("embedding")))
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    vectors = materialize(vectors.select("vec_id", whole.alias("vector")), "vectors")
+    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
+ORACLES["op5_top_k"] = """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score
+        FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
