@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm import bpe, neardup, packing, quality, secretscan, tokencount, topk, urlfilter
+from specloom.llm import bpe, mainpart, neardup, packing, quality, secretscan, tokencount, topk, urlfilter
 from specloom.llm.common import table, vocabulary
 from specloom.workspace import materialize
 
@@ -117,3 +117,10 @@ ORACLES["op5_top_k"] = """
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
     SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    found = mainpart.extract(table(spark, folder, "pages").select("page_id", "url", "html")).drop("html")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
