@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm import bpe, mainpart, neardup, packing, quality, secretscan, tokencount, topk, urlfilter
+from specloom.llm import bpe, langid, mainpart, neardup, packing, quality, secretscan, tokencount, topk, urlfilter
 from specloom.llm.common import table, vocabulary
 from specloom.workspace import materialize
 
@@ -124,3 +124,13 @@ def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     found = mainpart.extract(table(spark, folder, "pages").select("page_id", "url", "html")).drop("html")
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document; a third of them is held out from learning."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = langid.train(langid.sample(docs.filter(~held_out)))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
