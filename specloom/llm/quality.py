@@ -138,6 +138,8 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return F.when(F.size(grams) > 0, total / F.size(grams)).otherwise(0.0)
 
     counts = base(F.col(text), F.col("_words"), F.col("_pairs"))
-    scored = hashed.select(*names, *(c.alias(n) for n, c in counts.items()), let(F.col("_weights"), mean).alias("llr"))
+    # behind a generator, so that a filter on the verdict isn't pushed below and the counts computed anew
+    found = F.struct(*(c.alias(n) for n, c in counts.items()), let(F.col("_weights"), mean).alias("llr"))
+    scored = hashed.select(*names, F.explode_outer(F.array(found)).alias("_found")).select(*names, "_found.*")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
