@@ -48,6 +48,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def boxed(frame: DataFrame, *replaced: str) -> DataFrame:
+    """The table as one column ``row``, without the columns that are made anew.
+
+    Helper columns beside it can't clash with the table's own; ``row.*`` brings those back.
+    """
+    return frame.drop(*replaced).select(F.struct("*").alias("row"))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

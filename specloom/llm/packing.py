@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from specloom.llm.bpe import Memo, small_batches
-from specloom.llm.common import partitions, ship
+from specloom.llm.common import boxed, partitions, ship
 from specloom.workspace import materialize
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -235,44 +235,41 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", or
     empty table gives an empty one; columns called sequence_id and offset are replaced.
     """
     spark = pieces.sparkSession
-    pieces = pieces.drop("sequence_id", "offset")
-    columns = pieces.columns
-    wrong = F.raise_error(F.lit(f"a piece's length must be from 1 to {capacity}"))
-    fits = F.col(length).between(1, capacity)
-    held = materialize(pieces.withColumn(length, F.when(fits, F.col(length)).otherwise(wrong.cast("long"))), "pieces")
-    counts = {r[0]: r[1] for r in held.groupBy(length).count().collect()}
+    row = F.col("row")
+    rows = boxed(pieces, "sequence_id", "offset")
+    keys = [row[c] for c in order or rows.schema["row"].dataType.names]
+    wrong = F.raise_error(F.lit(f"a piece's length must be from 1 to {capacity}")).cast("long")
+    size = row[length].cast("long")
+    held = materialize(rows.withColumn("size", F.when(size.between(1, capacity), size).otherwise(wrong)), "pieces")
+    counts = {r[0]: r[1] for r in held.groupBy("size").count().collect()}
     made = plan(counts, capacity)
     total = sum(counts.values())
 
-    schema = "_length long, _lo long, _hi long, _base long, _offset long, _row long"
     rules = (
-        spark.createDataFrame(made.rules, schema)
-        .groupBy("_length")
-        .agg(F.sort_array(F.collect_list(F.struct("_lo", "_hi", "_base", "_offset", "_row"))).alias("_rules"))
+        spark.createDataFrame(made.rules, "size long, lo long, hi long, base long, offset long, line long")
+        .groupBy("size")
+        .agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "base", "offset", "line"))).alias("rules"))
     )
-    keys = [F.col(c) for c in order or columns]
     bucket = F.pmod(F.xxhash64(*keys), F.lit(-(-total // RANK_ROWS) or 1)).cast("int")
-    n = partitions(held, total, RANK_ROWS)
-    dealt = held.withColumn("_bucket", bucket)
-    sizes = dealt.groupBy(F.col(length).alias("_length"), F.col("_bucket").alias("_sub")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_length").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    dealt = held.withColumn("bucket", bucket)
+    sizes = dealt.groupBy("size", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     ranked = (
-        dealt.repartition(n, length, "_bucket")
-        .withColumn("_at", F.row_number().over(Window.partitionBy(length, "_bucket").orderBy(*keys)) - 1)
-        .join(starts, (F.col(length) == F.col("_length")) & (F.col("_bucket") == F.col("_sub")))
-        .withColumn("_rank", F.col("_at") + F.col("_before"))
-        .select(*columns, "_rank")
+        dealt.repartition(partitions(held, total, RANK_ROWS), "size", "bucket")
+        .withColumn("at", F.row_number().over(Window.partitionBy("size", "bucket").orderBy(*keys)) - 1)
+        .join(starts, ["size", "bucket"])
+        .select("row", "size", (F.col("at") + F.col("before")).alias("rank"))
     )
-    rank = F.col("_rank")
-    placed = ranked.join(F.broadcast(rules), F.col(length) == F.col("_length")).withColumn(
-        "_rule", F.filter("_rules", lambda r: (r["_lo"] <= rank) & (rank < r["_hi"]))[0]
+    rank = F.col("rank")
+    placed = ranked.join(F.broadcast(rules), "size").withColumn(
+        "rule", F.filter("rules", lambda r: (r["lo"] <= rank) & (rank < r["hi"]))[0]
     )
-    inside = rank - F.col("_rule._lo")
+    inside = rank - F.col("rule.lo")
     return placed.select(
-        *columns,
-        (F.col("_rule._base") + F.floor(inside / F.col("_rule._row")).cast("long")).alias("sequence_id"),
-        (F.col("_rule._offset") + F.pmod(inside, F.col("_rule._row")) * F.col(length)).alias("offset"),
+        "row.*",
+        (F.col("rule.base") + F.floor(inside / F.col("rule.line")).cast("long")).alias("sequence_id"),
+        (F.col("rule.offset") + F.pmod(inside, F.col("rule.line")) * F.col("size")).alias("offset"),
     )
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import SPACES, let
+from specloom.llm.common import SPACES, boxed, let
 from specloom.workspace import materialize
 
 #: Buckets of the hashed n-grams.
@@ -127,19 +127,18 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     so repeated rows, null ids and ties change nothing; columns of these names are replaced.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
-    docs = docs.drop(*made)
-    names = docs.columns
     held = materialize(model(docs, labels, key, text, trusted), "quality")
-    hashed = _hashed(docs, text).withColumn("_weights", held.select("weights").scalar())
+    rows = boxed(docs, *made).withColumn("_text", F.col("row")[text])
+    hashed = _hashed(rows, "_text").withColumn("_weights", held.select("weights").scalar())
     grams = F.concat("_hashes", "_pairs")
 
     def mean(w: Column) -> Column:
         total = F.aggregate(grams, F.lit(0.0), lambda a, h: a + F.get(w, _bucket(h)))
         return F.when(F.size(grams) > 0, total / F.size(grams)).otherwise(0.0)
 
-    counts = base(F.col(text), F.col("_words"), F.col("_pairs"))
+    counts = base(F.col("_text"), F.col("_words"), F.col("_pairs"))
     # behind a generator, so that a filter on the verdict isn't pushed below and the counts computed anew
     found = F.struct(*(c.alias(n) for n, c in counts.items()), let(F.col("_weights"), mean).alias("llr"))
-    scored = hashed.select(*names, F.explode_outer(F.array(found)).alias("_found")).select(*names, "_found.*")
+    scored = hashed.select("row", F.explode_outer(F.array(found)).alias("_found")).select("row.*", "_found.*")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))

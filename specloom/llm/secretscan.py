@@ -21,7 +21,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import let
+from specloom.llm.common import boxed, let
 
 #: Literal strings followed through one pattern; beyond, a part counts as unknown.
 ENUMERATED = 64
@@ -170,10 +170,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id",
     and ids, also null ones, are handled row by row; spans of different rules may overlap. Columns of
     other names are carried along, a column that is already called secret_spans is replaced.
     """
-    docs = docs.drop("secret_spans", "_text", "_row_key", "_kinds")
-    names = docs.columns
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.col(key), body)).withColumn("_text", body)
+    row = F.col("row")
+    body = F.coalesce(row[text].cast("string"), F.lit(""))
+    keyed = boxed(docs, "secret_spans").withColumn("_text", body).withColumn("_row_key", F.xxhash64(row[key], body))
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     grams = sorted({g for q in queries.values() for either in q for s in either for g in s})
     index = postings(keyed.select(F.col("_row_key").alias("row_key"), F.col("_text").alias("text")), grams)
@@ -186,7 +185,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id",
             here = F.coalesce(F.array_contains("_kinds", rule.kind), F.lit(False))
             all_ = F.when(here, all_).otherwise(F.array().cast(SPAN))
         spans.append(all_)
-    return met.select(*names, F.array_sort(F.concat(*spans)).alias("secret_spans"))
+    return met.select("row.*", F.array_sort(F.concat(*spans)).alias("secret_spans"))
 
 
 def written(spans: Column) -> Column:

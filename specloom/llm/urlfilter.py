@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import let
+from specloom.llm.common import boxed, let
 from specloom.workspace import materialize
 
 BUCKETS = 4096
@@ -136,22 +136,20 @@ def judge(pages: DataFrame, training: DataFrame | None = None, url: str = "url",
     one without ://, has an empty host and path and is judged by the regression. Rows are judged one by
     one, so repeated rows give repeated rows; columns of these names are replaced (but not the url).
     """
-    made = [c for c in ("host", "path", "rule", "score", "verdict", "_host", "_path", "_model") if c != url]
-    pages = pages.drop(*made)
-    names = pages.columns
-    spark = pages.sparkSession
+    spark, row = pages.sparkSession, F.col("row")
     model = materialize(train(training or spark.createDataFrame(labelled_rows(), "url string, blocked int")), "urls")
-    found = pages.withColumn("_host", host_of(F.col(url))).withColumn("_path", path_of(F.col(url)))
+    found = boxed(pages, *(c for c in ("host", "path", "rule", "score", "verdict") if c != url))
+    found = found.withColumn("_host", host_of(row[url])).withColumn("_path", path_of(row[url]))
     found = found.withColumn("_model", model.select(F.struct("bias", "weights")).scalar())
     rule, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
     score = let(
         F.col("_model"),
         lambda m: m["bias"] + F.aggregate(buckets(F.col("_host"), F.col("_path")), F.lit(0.0), lambda s, b: s + F.get(m["weights"], b)),
     )
-    return found.select(
-        *names, F.col("_host").alias("host"), F.col("_path").alias("path"), rule.alias("rule"), score.alias("score"), verdict.alias("_verdict")
-    ).select(
-        *names, "host", "path", "rule", "score", F.coalesce("_verdict", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict")
+    judged = found.select("row", "_host", "_path", rule.alias("_rule"), score.alias("_score"), verdict.alias("_verdict"))
+    learned = F.when(F.col("_score") > 0, "block").otherwise("allow")
+    return judged.select(
+        "row.*", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_score").alias("score"), F.coalesce("_verdict", learned).alias("verdict")
     )
 
 
