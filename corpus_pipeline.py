@@ -20,10 +20,21 @@ LEAST_SCORE = 0.4
 ORACLE_SQL = None  # models, hashes and byte pairs; tests hold it against a brute-force version
 
 
+def aside(docs: DataFrame, *made: str) -> tuple[DataFrame, list]:
+    """The table with other names for columns that an operator would replace, and how to get it back."""
+    names = {}
+    for c in docs.columns:
+        name = c
+        while name in made or name != c and name in docs.columns:
+            name += "_given"
+        names[c] = name
+    return docs.withColumnsRenamed(names), [F.col(name).alias(c) for c, name in names.items()]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose counts and likelihood ratio pass; texts that are null or too short go."""
-    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
-    return judged.filter("kept").select(*docs.columns)
+    docs, given = aside(docs, *quality.MADE)
+    return quality.judge(docs, table(spark, sf_dir, "labels")).filter("kept").select(given)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +45,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(langid.sample(docs))
     if not model.labels:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = langid.predict(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, model)
-    good = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
-    return good.withColumnRenamed("_score", "score").select(*docs.columns)
+    docs, given = aside(docs, "lang_pred", "score")
+    found = langid.predict(docs, model)
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(given)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,19 +55,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of rows that share an id one stays, the first in order of its columns. Rows without an id stay.
     """
+    docs, given = aside(docs, "_row")
     kept = materialize(neardup.near_duplicates(docs).filter("kept").select("doc_id").filter("doc_id IS NOT NULL").distinct(), "kept")
     order = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
     first = docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).filter("_row = 1")
-    return first.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    return first.select(given).unionByName(docs.filter("doc_id IS NULL").select(given))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by the kind in brackets; n_chars follows."""
+    docs, given = aside(docs, "secret_spans")
     found = secretscan.scan(docs)
     some = F.size("secret_spans") > 0
     clean = found.withColumn("text", secretscan.redacted(F.col("text"), F.col("secret_spans")))
     clean = clean.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return clean.select(*docs.columns)
+    return clean.select(given)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -185,6 +185,8 @@ def main_text(page: str | None) -> str:
     if not parts:
         return ""
     first, last = max(parts, key=lambda p: (lengths[p[0] : p[1]].sum(), -p[0]))
+    some = first + np.flatnonzero(lengths[first:last])  # a window may reach over lines of links alone
+    first, last = some[0], some[-1] + 1
     return "\n".join(t for t, *_ in found[first:last] if t)
 
 

@@ -21,11 +21,14 @@ from specloom.workspace import materialize
 BUCKETS = 8192
 #: Trusted documents that the target is counted over, the ones with the smallest hash of their id.
 TRUSTED = 20_000
-#: Added to each bucket's count.
+#: Weight of the priors, in n-grams per bucket: the raw corpus leans on the uniform distribution, the
+#: target on the raw corpus, so that little evidence for either gives ratios near 0.
 SMOOTHING = 1.0
 #: Least mean log-likelihood ratio of a document that is kept.
 THRESHOLD = -0.1
 SYMBOLS = "#*$%&|<>"
+#: Columns that ``judge`` adds.
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept")
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 
 
@@ -100,7 +103,7 @@ def model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """One row: the log-likelihood ratio of each bucket, as an array.
 
     ``labels`` has the key and ``quality`` (1: good). Without any trusted document the target is the
-    uniform distribution of the smoothing.
+    raw corpus, and all ratios are 0.
     """
     good = labels.filter("quality = 1").select(F.col(key).alias("_good")).distinct()
     good = good.orderBy(F.xxhash64("_good"), "_good").limit(trusted)
@@ -112,10 +115,12 @@ def model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     n = lambda field: F.coalesce(field, F.lit(0))
     one = every.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("_c"), n(F.sum("raw")).alias("_r"), n(F.sum("target")).alias("_t"))
 
-    def share(field: Column, total: Column) -> Column:
-        return F.ln(n(field) + SMOOTHING) - F.ln(total + SMOOTHING * BUCKETS)
+    def ratio_of(c: Column) -> Column:
+        raw = (n(c["raw"]) + SMOOTHING) / (F.col("_r") + SMOOTHING * BUCKETS)
+        target = (n(c["target"]) + SMOOTHING * BUCKETS * raw) / (F.col("_t") + SMOOTHING * BUCKETS)
+        return F.ln(target) - F.ln(raw)
 
-    ratio = F.transform("_c", lambda c: share(c["target"], F.col("_t")) - share(c["raw"], F.col("_r")))
+    ratio = F.transform("_c", ratio_of)
     return one.select(ratio.alias("weights"))
 
 
@@ -126,9 +131,8 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     and fails. ``kept``: the base didn't fail and llr reaches the threshold. Rows are judged one by one,
     so repeated rows, null ids and ties change nothing; columns of these names are replaced.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
     held = materialize(model(docs, labels, key, text, trusted), "quality")
-    rows = boxed(docs, *made).withColumn("_text", F.col("row")[text])
+    rows = boxed(docs, *MADE).withColumn("_text", F.col("row")[text])
     hashed = _hashed(rows, "_text").withColumn("_weights", held.select("weights").scalar())
     grams = F.concat("_hashes", "_pairs")
 
