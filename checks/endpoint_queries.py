@@ -6,14 +6,15 @@ import re
 
 from pyspark.sql import functions as F
 
-from checks.page_queries import DISCOVERED
+from checks.page_queries import CRAWL_LIMITS, DISCOVERED
 from checks.registry import query
 from checks.views import endpoints, pages, records, table, view
+from specloom import patterns as p
 from specloom import schemas
 from specloom.functions import jsontext as j
 from specloom.functions import specs as sp
 from specloom.functions.records import parse_endpoints
-from specloom.operators import cache, coverage, discovery, extraction, merge, relevance
+from specloom.operators import build, cache, coverage, discovery, extraction, merge, relevance
 from specloom.plans.generate import generate_specs
 from specloom.workspace import materialize
 
@@ -501,16 +502,31 @@ def extract_with(spark, folder):
     return rows.select("seq", "e.path", "e.method")
 
 
-@query(
-    "p2_generate_specs",
-    "crawl_pages",
-    sql=f"""WITH {DISCOVERED} SELECT site, count(*) AS total_endpoints, count(*) AS confidence_high,
-  10.0::DOUBLE AS quality_score, 1::BIGINT AS paths_count, true AS success FROM discovered GROUP BY site""",
-)
+def generated(spark, folder, **options):
+    crawl_pages = pages(spark, folder, "crawl_pages")
+    return generate_specs(
+        crawl_pages, one_per_page, crawl_below=p.CRAWL_IF_FEWER_THAN, **CRAWL_LIMITS, **options
+    )
+
+
+GENERATED = f"""WITH {DISCOVERED} SELECT site, count(*) AS total_endpoints, count(*) AS confidence_high,
+  10.0::DOUBLE AS quality_score, 1::BIGINT AS paths_count, true AS success FROM discovered GROUP BY site"""
+
+
+@query("p2_generate_specs", "crawl_pages", sql=GENERATED)
 def generate(spark, folder):
-    run = generate_specs(pages(spark, folder, "crawl_pages"), one_per_page)
+    return report(generated(spark, folder))
+
+
+@query("p2_generate_in_parts", "crawl_pages", sql=GENERATED)
+def generate_in_parts(spark, folder):
+    """The same with every description in parts, as those are that one value should not hold."""
+    return report(generated(spark, folder, max_bytes=100))
+
+
+def report(run):
     paths = F.size(F.map_keys(F.from_json(sp.paths_text(c("spec_json")), sp.TEXT_MAP)))
-    counted = run.specs.select("site", paths.cast("long").alias("paths_count"))
+    counted = build.whole_documents(run.specs).select("site", paths.cast("long").alias("paths_count"))
     summary = run.summary.select("site", "success")
     report = run.coverage.select(
         "site", "total_endpoints", "confidence_high", F.round("quality_score", 6).alias("quality_score")

@@ -212,9 +212,17 @@ AND {is_doc("p.url", "p.html")}"""
 CRAWLED = crawl_sql("", "/graphql", "/docs/x", "/help")
 
 
+CRAWL_LIMITS = {
+    "rounds": p.CRAWL_ROUNDS,
+    "batch": p.CRAWL_BATCH,
+    "max_pages": p.CRAWL_PAGES,
+    "links_per_page": p.CRAWL_LINKS,
+}
+
+
 def crawled(spark, folder, **limits):
     found = pages(spark, folder, "crawl_pages")
-    return discovery.crawl(found, found.select("site").distinct(), **limits)
+    return discovery.crawl(found, found.select("site").distinct(), **CRAWL_LIMITS | limits)
 
 
 @query("g1_crawl", "crawl_pages", sql=CRAWLED)
@@ -222,6 +230,13 @@ def crawl(spark, folder):
     return crawled(spark, folder)
 
 
+@query("g1_crawl_all", "crawl_pages", sql=CRAWLED)
+def crawl_all(spark, folder):
+    """Without any limit; the planted sites are small enough for the limits not to matter."""
+    found = pages(spark, folder, "crawl_pages")
+    return discovery.crawl(found, found.select("site").distinct())
+
+
 @query("j7_crawl_frontier", "crawl_pages", sql=crawl_sql(""))
 def crawl_frontier(spark, folder):
     return crawled(spark, folder, rounds=1)
@@ -249,7 +264,9 @@ DISCOVERED = f"""common AS ({COMMON}), crawled AS ({CRAWLED}),
     sql=f"WITH {DISCOVERED} SELECT site, url FROM discovered",
 )
 def union_discovered(spark, folder):
-    return discovery.discover(pages(spark, folder, "crawl_pages"))
+    return discovery.discover(
+        pages(spark, folder, "crawl_pages"), crawl_below=p.CRAWL_IF_FEWER_THAN, **CRAWL_LIMITS
+    )
 
 
 # -- robots ----------------------------------------------------------------------------------------

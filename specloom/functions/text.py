@@ -47,6 +47,11 @@ def content_hash(text: Column) -> Column:
     return F.md5(F.substring(text, 1, p.HASHED_CHARS))
 
 
+def document_hash(title: Column, text: Column, samples: Column) -> Column:
+    """MD5 of all of a document: pages that share it are the same to an extraction function."""
+    return F.md5(F.to_json(F.struct(title.alias("title"), text.alias("text"), samples.alias("samples"))))
+
+
 def truncate(text: Column, limit: int = p.PROMPT_CHARS) -> Column:
     """Cut a prompt to a limit and say so."""
     cut = F.concat(F.substring(text, 1, limit), F.lit(p.TRUNCATION_MARK))
@@ -55,14 +60,19 @@ def truncate(text: Column, limit: int = p.PROMPT_CHARS) -> Column:
 
 def document_prompt(url: Column, title: Column, text: Column, samples: Column) -> Column:
     """What a model is shown of a document: address, title, text and the first code samples."""
+    return truncate(whole_document(url, title, text, F.slice(samples, 1, p.PROMPT_SAMPLES)))
+
+
+def whole_document(url: Column, title: Column, text: Column, samples: Column) -> Column:
+    """Address, title, text and code samples as one text."""
     head = F.concat(F.lit("URL: "), url, F.lit("\nTitle: "), title, F.lit("\n\n"), text)
     fenced = F.transform(
-        F.slice(samples, 1, p.PROMPT_SAMPLES),
+        samples,
         lambda s, i: F.concat(
             F.lit("\nSample "), (i + 1).cast("string"), F.lit(":\n```\n"), s, F.lit("\n```\n")
         ),
     )
     code = F.concat(F.lit("\n\nCode Samples:\n"), F.array_join(fenced, ""))
-    return truncate(F.concat(head, F.when(F.size(samples) > 0, code).otherwise("")))
+    return F.concat(head, F.when(F.size(samples) > 0, code).otherwise(""))
 
 

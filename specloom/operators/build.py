@@ -306,6 +306,17 @@ def build_filtered_specs(sites: DataFrame, filtered: DataFrame, **limits) -> Dat
     return assemble_documents(build_lines(sites, metadata, filtered, schemes), **limits)
 
 
+def whole_documents(specs: DataFrame) -> DataFrame:
+    """(site, spec_json) with the parts of large documents joined, for reports on whole documents.
+
+    A document is the description of one site, below the 2 GB that a value can have.
+    """
+    parts = specs.filter("part > 0").groupBy("site").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("part", "spec_json")))["spec_json"], "").alias("spec_json")
+    )
+    return specs.filter("part = 0").select("site", "spec_json").unionByName(parts)
+
+
 def with_file_facts(specs: DataFrame) -> DataFrame:
     """Add ``file_name``, ``size_bytes`` and ``format`` of each document."""
     return specs.select(

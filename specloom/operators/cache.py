@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specloom import patterns as p
@@ -14,6 +14,13 @@ def is_fresh(created_at: Column, now: Column, ttl_seconds: int = p.CACHE_TTL_SEC
     return created_at >= now - F.make_dt_interval(secs=F.lit(ttl_seconds))
 
 
+def fixed_time(spark: SparkSession, now: Column | None = None) -> Column:
+    """A time that is the same in all jobs of a run, taken once."""
+    given = F.current_timestamp() if now is None else now
+    micros = spark.range(1).select(F.unix_micros(given.cast("timestamp"))).first()[0]
+    return F.timestamp_micros(F.lit(micros))
+
+
 def newest_entries(cache: DataFrame, kind: str) -> DataFrame:
     """The newest entry per content hash."""
     newest = cache.filter(F.col("kind") == kind).groupBy("content_hash").agg(

@@ -47,7 +47,7 @@ def extract_content(pages: DataFrame) -> DataFrame:
     return documents.select(
         "*",
         t.token_estimate(F.col("text"), F.col("code_samples")).alias("token_estimate"),
-        t.content_hash(F.col("text")).alias("content_hash"),
+        t.document_hash(F.col("title"), F.col("text"), F.col("code_samples")).alias("content_hash"),
     )
 
 

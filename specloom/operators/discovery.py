@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specloom import patterns as p
@@ -69,16 +69,17 @@ def extract_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def followed_links(links: Column, site: Column, limit: int = p.CRAWL_LINKS) -> Column:
+def followed_links(links: Column, site: Column, limit: int | None = None) -> Column:
     """The links of one page a crawl goes on with, in order.
 
     Links on the site's own host; likely documentation first, in reverse page order, then the
-    others in page order; the first ``limit``.
+    others in page order; the first ``limit``, or all.
     """
     own = F.filter(links, lambda link: u.is_same_domain(link, site))
     likely = F.reverse(F.filter(own, u.is_likely_doc_url))
     others = F.filter(own, lambda link: ~u.is_likely_doc_url(link))
-    return F.slice(F.concat(likely, others), 1, limit)
+    every = F.concat(likely, others)
+    return every if limit is None else F.slice(every, 1, limit)
 
 
 def first_links_per_page(pages: DataFrame, limit: int = p.CRAWL_LINKS) -> DataFrame:
@@ -90,21 +91,70 @@ def first_links_per_page(pages: DataFrame, limit: int = p.CRAWL_LINKS) -> DataFr
     )
 
 
+def page_facts(pages: DataFrame, links_per_page: int | None = None) -> DataFrame:
+    """(site, url, is_doc, links) of the pages that answered: all a crawl needs, without markup."""
+    answered = pages.filter(F.col("status") == 200).select("site", "url", "html")
+    is_doc = u.is_api_documentation(F.col("url"), F.col("html"))
+    parsed = with_parsed_html(answered.withColumn("is_doc", is_doc))
+    resolved = F.transform("parsed.links", lambda href: u.resolve_url(F.col("url"), href))
+    facts = parsed.select("site", "url", "is_doc", resolved.alias("links"))
+    return facts.select("site", "url", "is_doc", followed_links(F.col("links"), F.col("site"), links_per_page).alias("links"))
+
+
 def crawl(
     pages: DataFrame,
     sites: DataFrame,
-    rounds: int = p.CRAWL_ROUNDS,
-    batch: int = p.CRAWL_BATCH,
-    max_pages: int = p.CRAWL_PAGES,
-    links_per_page: int = p.CRAWL_LINKS,
+    rounds: int | None = None,
+    batch: int | None = None,
+    max_pages: int | None = None,
+    links_per_page: int | None = None,
 ) -> DataFrame:
     """(site, url) of documentation pages found by following links from each site's address.
 
+    Without limits every page that can be reached is looked at. Markup is read once, for the facts of
+    all pages; the frontier and what was visited are rows, so no site is a heavy row. ``rounds`` and
+    ``links_per_page`` bound the depth and the width; ``batch`` and ``max_pages`` need the order of a
+    queue (``crawl_in_batches``).
+    """
+    if batch is not None or max_pages is not None:
+        return crawl_in_batches(pages, sites, rounds, batch, max_pages, links_per_page)
+    key = ["site", "url"]
+    facts = page_facts(pages.join(sites.select("site").distinct(), "site", "left_semi"), links_per_page)
+    facts = materialize(facts, "facts")
+    start = sites.select("site", F.regexp_replace("site", r"/+\z", "").alias("url")).distinct()
+    frontier = visited = materialize(start, "frontier")
+    done = 0
+    found = []
+    while done != rounds and not frontier.isEmpty():
+        fetched = facts.join(frontier, key)
+        found.append(fetched.filter("is_doc").select(*key))
+        reached = fetched.select("site", F.explode("links").alias("url")).distinct()
+        frontier = materialize(reached.join(visited, key, "left_anti"), "frontier")
+        visited = materialize(visited.unionByName(frontier), "visited")
+        done += 1
+    return union_discovered(*(found or [start.limit(0)]))
+
+
+#: Stands for no limit where a number is needed.
+NO_LIMIT = 2**31 - 1
+
+
+def crawl_in_batches(
+    pages: DataFrame,
+    sites: DataFrame,
+    rounds: int | None = p.CRAWL_ROUNDS,
+    batch: int | None = p.CRAWL_BATCH,
+    max_pages: int | None = p.CRAWL_PAGES,
+    links_per_page: int | None = p.CRAWL_LINKS,
+) -> DataFrame:
+    """``crawl`` with a queue per site: ``batch`` places a round, at most ``max_pages`` pages.
+
     All sites move one round at a time. The state of a site is one row whose queue, visited and
     found lists are bounded by the limits (at most ``rounds * batch`` pages), so no site is heavier
     than another; each round is written to the shared folder. Only the pages of the round are read
     as markup. The queue keeps duplicates, and a visited url still takes up a place in its round.
     """
+    rounds, batch, max_pages = (NO_LIMIT if x is None else x for x in (rounds, batch, max_pages))
     site = F.col("site")
     no_urls = F.array().cast("array<string>")
     state = sites.select(
@@ -118,7 +168,7 @@ def crawl(
         state = materialize(
             state.select(
                 site,
-                F.slice("queue", batch + 1, F.greatest(F.size("queue"), F.lit(1))).alias("queue"),
+                F.slice("queue", F.lit(min(batch, NO_LIMIT - 1) + 1), F.greatest(F.size("queue"), F.lit(1))).alias("queue"),
                 F.concat("visited", fresh).alias("visited"),
                 "found",
                 F.slice(fresh, F.lit(1), budget).alias("fetch"),
@@ -164,17 +214,22 @@ def union_discovered(*found: DataFrame) -> DataFrame:
     return first.distinct()
 
 
-def discover(pages: DataFrame, sites: DataFrame | None = None, **limits) -> DataFrame:
+def discover(
+    pages: DataFrame, sites: DataFrame | None = None, crawl_below: int | None = None, **limits
+) -> DataFrame:
     """(site, url) of the documentation pages of every site.
 
-    Usual paths and sitemaps first; sites with fewer than three urls so far are crawled.
+    Usual paths and sitemaps, and what a crawl finds. ``crawl_below``: only sites with fewer urls
+    than that from paths and sitemaps are crawled.
     """
     sites = (pages if sites is None else sites).select("site").distinct()
     found = materialize(
         union_discovered(common_path_candidates(pages), sitemap_urls(pages)), "discovered"
     )
+    if crawl_below is None:
+        return union_discovered(found, crawl(pages, sites, **limits))
     counts = found.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
-    enough = counts.filter(F.col("n") >= p.CRAWL_IF_FEWER_THAN)
+    enough = counts.filter(F.col("n") >= crawl_below)
     poor = sites.join(enough, "site", "left_anti")
     return union_discovered(found, crawl(pages, poor, **limits))
 
@@ -185,6 +240,12 @@ def listed_urls(listed: DataFrame, column: str = "urls") -> DataFrame:
     return split.select("site", strip(F.col("url")).alias("url")).distinct()
 
 
+def newest_pages(pages: DataFrame) -> DataFrame:
+    """One row per (site, url): the one fetched last; of equal times the first in order of markup."""
+    rank = F.row_number().over(Window.partitionBy("site", "url").orderBy(F.desc_nulls_last("fetched_at"), "html", "status", "content_type"))
+    return pages.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+
+
 def select_pages_by_url(pages: DataFrame, urls: DataFrame | Sequence[str] | str) -> DataFrame:
     """The pages named by hand: a table (site, url), a list, or one comma-separated string."""
     if isinstance(urls, DataFrame):

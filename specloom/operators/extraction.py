@@ -14,7 +14,7 @@ from specloom import schemas
 from specloom.functions import auth, records
 from specloom.functions import text as t
 from specloom.functions.specs import spec_endpoints
-from specloom.operators.cache import is_fresh, newest_entries
+from specloom.operators.cache import fixed_time, is_fresh, newest_entries
 from specloom.operators.skew import salted_join
 from specloom.operators.specs import find_embedded_spec
 from specloom.workspace import materialize
@@ -176,7 +176,7 @@ def extract_results(
     all pages with that content, salted, since one text may be a large share of all pages.
     Documents that come with ``embedded_endpoints`` are taken as a written table.
     """
-    now = F.current_timestamp() if now is None else now
+    now = fixed_time(documents.sparkSession, now)
     table = documents
     if "embedded_endpoints" not in documents.columns:
         table = materialize(with_embedded_endpoints(documents, carry_body), "documents")
@@ -201,22 +201,25 @@ def extract_results(
     if cache is None:
         cache = documents.sparkSession.createDataFrame([], schemas.CACHE)
     fresh = newest_entries(cache.filter(is_fresh(F.col("created_at"), now, ttl_seconds)), "llm")
-    # One row per content on both sides: nothing here can be skewed.
-    misses = first.join(fresh, "content_hash", "left_anti")
+    # One row per content on both sides: nothing here can be skewed. Hits and misses come from one
+    # written look-up, so that a content is one of them whatever the time and the cache do meanwhile.
+    looked_up = materialize(first.join(fresh.select("content_hash", "payload", F.lit(True).alias("hit")), "content_hash", "left"), "looked-up")
+    misses = looked_up.filter("hit IS NULL")
     todo = table.select("site", "url", "title", "text", "code_samples", "content_hash").join(
         misses.select("site", "url"), ["site", "url"], "left_semi"
     )
     if partitions:
         todo = todo.repartition(partitions, "content_hash")
     parsed = parse_records(extract_with(with_prompt(todo), fn), on_error)
+    whole = t.whole_document(F.col("url"), F.col("title"), F.col("text"), F.col("code_samples"))
     answered = materialize(
-        add_detected_schemes(parsed, F.col("prompt")).select(
+        add_detected_schemes(parsed, whole).select(
             "content_hash", result_payload().alias("payload"), "error"
         ),
         "extracted",
     )
     known = answered.select("content_hash", "payload", F.lit("extracted").alias("origin"))
-    hits = first.join(fresh, "content_hash").select(
+    hits = looked_up.filter("hit").select(
         "content_hash", "payload", F.lit("cache").alias("origin")
     )
     of_texts = from_payload(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from specloom.workspace import materialize
 
 HOT_SHARE = 0.001
+HOT_ROWS = 10_000_000
 ROWS_PER_SALT = 1_000_000
 MIN_SALTS = 8
 MAX_SALTS = 10_000
@@ -15,15 +16,16 @@ GROUP_LIMIT = 1_000_000
 
 
 def hot_keys(frame: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding more than ``share`` of the rows, with the number of parts to split them in.
+    """Keys with more than ``share`` of the rows or HOT_ROWS, with the number of parts to split them in.
 
-    There are at most ``1 / share`` of them, whatever the table: a size that is safe to broadcast.
+    At most ``1 / share`` by the first rule; by the second at most rows / HOT_ROWS, 100,000 of 10^12
+    rows: a size that is safe to broadcast.
     """
     rows = frame.count()
     sizes = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     parts = F.ceil(F.col("n") / ROWS_PER_SALT)
     bounded = F.least(F.greatest(parts, F.lit(MIN_SALTS)), F.lit(MAX_SALTS)).cast("int")
-    return sizes.filter(F.col("n") > max(rows * share, 1)).select(*keys, bounded.alias("_salts"))
+    return sizes.filter(F.col("n") > max(min(rows * share, HOT_ROWS), 1)).select(*keys, bounded.alias("_salts"))
 
 
 def salted_join(

@@ -8,10 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 
 from specloom import patterns as p
-from specloom.operators.build import build_filtered_specs, build_specs
+from specloom.operators.build import (
+    MAX_DOCUMENT_BYTES,
+    build_filtered_specs,
+    build_specs,
+    whole_documents,
+)
 from specloom.operators.content import extract_content, with_needs_render
 from specloom.operators.coverage import coverage_report, run_summary
-from specloom.operators.discovery import discover, select_pages_by_url
+from specloom.operators.discovery import discover, newest_pages, select_pages_by_url
 from specloom.operators.extraction import Extractor, extract_results, with_embedded_endpoints
 from specloom.operators.merge import flatten_endpoints, flatten_security_schemes
 from specloom.operators.relevance import filter_endpoints
@@ -45,16 +50,18 @@ def generate_specs(
     on_error: str = "page",
     carry_body: bool = False,
     partitions: int | None = None,
+    max_bytes: int = MAX_DOCUMENT_BYTES,
     **crawl_limits,
 ) -> Generated:
     """Discover, extract, merge, build and report.
 
-    ``doc_urls`` replaces discovery. ``query`` filters endpoints before anything is built or
+    ``doc_urls`` replaces discovery; of a page that was fetched more than once the newest row counts.
+    ``query`` filters endpoints before anything is built or
     counted. Documents and page results are each written once to the shared folder; everything else
     derives from them.
     """
     urls = discover(pages, **crawl_limits) if doc_urls is None else doc_urls
-    documents = with_needs_render(extract_content(select_pages_by_url(pages, urls)))
+    documents = with_needs_render(extract_content(newest_pages(select_pages_by_url(pages, urls))))
     documents = materialize(with_embedded_endpoints(documents, carry_body), "documents")
     results, updates = extract_results(
         documents, fn, cache, now, ttl_seconds, on_error, carry_body, partitions
@@ -64,12 +71,12 @@ def generate_specs(
     # Sites without a single endpoint get no description.
     sites = results.select("site").distinct()
     if query is None:
-        specs = build_specs(sites, results, endpoints, flatten_security_schemes(results))
+        specs = build_specs(sites, results, endpoints, flatten_security_schemes(results), max_bytes=max_bytes)
     else:
         endpoints = filter_endpoints(endpoints, query, threshold)
-        specs = build_filtered_specs(sites, endpoints)
+        specs = build_filtered_specs(sites, endpoints, max_bytes=max_bytes)
     specs = materialize(specs, "specs")
-    whole = specs.filter("part = 0")
+    whole = whole_documents(specs)
     coverage = coverage_report(endpoints, sites)
     return Generated(
         specs=specs,

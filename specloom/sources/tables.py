@@ -25,9 +25,11 @@ def read_specs(spark: SparkSession, path: str) -> DataFrame:
 def write_specs(specs: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
     """Write one directory per document and return (site, part, path, size_bytes, format).
 
+    A directory's name begins with that of the host; a hash of the site tells sites of one host apart.
     Documents too large for one row keep one directory per part.
     """
-    facts = with_file_facts(specs)
+    unique = F.concat(F.regexp_replace("file_name", r"\.openapi\.json\z", "-"), F.substring(F.md5("site"), 1, 12), F.lit(".openapi.json"))
+    facts = with_file_facts(specs).withColumn("file_name", unique)
     target = path.rstrip("/")
     facts.select(
         "file_name", F.col("part"), F.col("spec_json").alias("value")

@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -245,3 +246,26 @@ def test_filter_rank_summary_and_site_queries(spark):
     for query in ("user", "payment"):
         one = {q["path"]: q["score"] for q in both.filter(F.col("query") == query).collect()}
         assert one == {q["path"]: q["score"] for q in r.score_endpoints(frame, query).collect()}
+
+
+def test_an_entry_that_expires_during_the_run_keeps_its_page(spark):
+    docs = documents(spark, ("u1", "GET /one", []), ("u2", "GET /two", []))
+    payload = {"endpoints": [{"path": "/kept", "method": "get", "confidence": "high"}], "security_schemes": []}
+    created = dt.datetime.now() - dt.timedelta(seconds=98)
+    cache = spark.createDataFrame([(md5("GET /one"), "llm", created, json.dumps(payload))], schemas.CACHE)
+    results, updates = x.extract_results(docs, find, cache, ttl_seconds=100)
+    time.sleep(3)  # the limit passes between the run and the reading of its results
+    got = {r["url"] for r in results.collect()}
+    assert got == {"u1", "u2"} and updates.count() in (1, 2)
+
+
+def test_a_text_counts_to_its_end(spark):
+    from specloom.operators.content import extract_content
+
+    long = "word " * 130_000
+    rows = [("s", f"u{i}", 200, "text/html", f"<main><p>{long} {end}</p></main>", None) for i, end in enumerate(("GET /a Bearer token", "GET /b"))]
+    docs = extract_content(spark.createDataFrame(rows, schemas.PAGES))
+    results, _ = x.extract_results(docs, find)
+    got = {r["url"]: r for r in results.collect()}
+    assert {u: [e["path"] for e in r["endpoints"]] for u, r in got.items()} == {"u0": ["/a"], "u1": ["/b"]}
+    assert [s["scheme"] for s in got["u0"]["security_schemes"]] == ["bearer"]

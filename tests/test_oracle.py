@@ -1,33 +1,23 @@
-"""Registered queries against their SQL on the smallest test tables.
-
-By default a sample that touches every module; SPECLOOM_ALL_QUERIES=1 takes all of them (as
-``python -m checks.compare FOLDER`` does on any scale).
-"""
+"""All registered queries against their SQL on the smallest test tables."""
 
 import os
 
 import pytest
 
 import __spark_entry__ as entry
+from checks import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-SAMPLE = (
-    "s4_sitemap_urls f1_is_api_documentation w6_first_links_per_page e1_extract_content "
-    "e7_detect_auth_schemes j3_robots_allowed j6_expand_keywords w2_resolve_path_collisions "
-    "a3_quality_score a8_filter_summary x4_explode_records j1_cache_lookup x1_explode_spec "
-    "a5_spec_coverage b5_build_operation b9_build_spec"
-).split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize(
-    "name", list(entry.queries()) if os.environ.get("SPECLOOM_ALL_QUERIES") else SAMPLE
-)
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, name):
     from checks.compare import compare, connection
 
