@@ -207,6 +207,16 @@ def _hot(counts: DataFrame, key: str, total: int, least: int) -> DataFrame:
     return F.broadcast(counts.filter(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("parts")))
 
 
+def on_bucket(rows: DataFrame, facts: DataFrame, hot: DataFrame) -> DataFrame:
+    """Inner join of members with what is known of their buckets, one row each.
+
+    The few buckets that hold a large share of all members are looked up by broadcast: their members
+    stay where they are instead of meeting in one task.
+    """
+    few = F.broadcast(facts.join(hot, "bucket", "left_semi"))
+    return rows.join(few, "bucket").unionByName(rows.join(hot, "bucket", "left_anti").join(facts, "bucket"))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """Of candidates (id, centre) those whose full sets are similar enough, as links (a, b).
 
@@ -303,7 +313,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     first = worded.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"])
     banded = first.select("id", F.col("n_shingles").cast("int").alias("size"), F.explode("bands").alias("bucket"))
     full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = materialize(banded.join(full, "bucket"), "buckets")
+    full = materialize(full, "sizes")
+    of_buckets = full.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # at most a thousand, by the share of members that each holds
+    hot = F.broadcast(full.filter(F.col("n") > max(settings.spread, of_buckets // 1000)).select("bucket"))
+    members = materialize(on_bucket(banded, full, hot), "buckets")
     common = members.groupBy("id").agg(F.sum("n").alias("met"))
     members = materialize(members.drop("n").join(common, "id"), "members")
     met = docs.select(key, text).join(members.select(F.col("id").alias(key)).distinct(), key, "left_semi")
@@ -312,9 +326,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     links, mixed = None, members.withColumn("root", F.col("id"))
     main = None
     for _ in range(settings.rounds - 1):
-        outside = mixed if main is None else mixed.join(main, "bucket").filter(F.col("root") != F.col("main"))
+        outside = mixed if main is None else on_bucket(mixed, main, hot).filter(F.col("root") != F.col("main"))
         centres = outside.groupBy("bucket").agg(F.max_by(F.struct("id", "size", "root"), F.struct("met", -F.col("id"))).alias("c"))
-        pairs = mixed.join(centres, "bucket").filter(
+        centres = materialize(centres, "centres")
+        pairs = on_bucket(mixed, centres, hot).filter(
             (F.col("root") != F.col("c.root")) & (100 * F.least("size", "c.size") >= settings.percent * F.greatest("size", "c.size"))
         )
         pairs = materialize(pairs.select("id", F.col("c.id").alias("centre")).distinct(), "pairs")
@@ -324,11 +339,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
         joined = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         several = joined.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
         main = centres.join(roots.withColumnRenamed("id", "of"), F.col("c.id") == F.col("of"), "left").select("bucket", F.coalesce("root", "c.id").alias("main"))
-        mixed = materialize(joined.join(several, "bucket"), "mixed")
+        main = materialize(main, "main")
+        mixed = materialize(on_bucket(joined, several, hot), "mixed")
 
     # what the stars leave: groups of members that share buckets with other components
     centre = mixed.groupBy("bucket").agg(F.min("id").alias("b"))
-    groups = components(mixed.join(centre, "bucket").select(F.col("id").alias("a"), "b").distinct())
+    groups = components(on_bucket(mixed, centre, hot).select(F.col("id").alias("a"), "b").distinct())
     rest = groups.select("id", F.col("root").alias("grp")).join(mixed.select("id", "root").distinct(), "id")
     links = links.union(materialize(rest_links(materialize(rest, "rest"), sets, settings), "links"))
     roots = components(links)
