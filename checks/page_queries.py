@@ -380,13 +380,13 @@ def page_title(spark, folder):
 @query(
     "e3_code_samples",
     "site_pages",
-    sql="""SELECT url, CASE WHEN page_id % 5 = 1 THEN 2 ELSE 0 END AS n,
-  CASE WHEN page_id % 5 = 1 THEN 'GET /users HTTP/1.1|GET /users HTTP/1.1' ELSE '' END AS samples
-FROM site_pages WHERE status BETWEEN 200 AND 299 AND content_type = 'text/html'""",
+    sql="""SELECT url, CASE WHEN is_json THEN 1 WHEN page_id % 5 = 1 THEN 2 ELSE 0 END AS n,
+  CASE WHEN is_json THEN html WHEN page_id % 5 = 1 THEN 'GET /users HTTP/1.1|GET /users HTTP/1.1' ELSE '' END AS samples
+FROM (SELECT *, coalesce(contains(lower(content_type), 'application/json'), false) AS is_json FROM site_pages)
+WHERE status BETWEEN 200 AND 299""",
 )
 def code_samples(spark, folder):
-    site_pages = pages(spark, folder).filter(c("content_type") == "text/html")
-    return content.extract_content(site_pages).select(
+    return content.extract_content(pages(spark, folder)).select(
         "url", F.size("code_samples").alias("n"), F.array_join("code_samples", "|").alias("samples")
     )
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,19 +12,14 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """The folder the session names in ``spark.checkpoint.dir``, or its context's checkpoint folder.
 
-    Without it a local session gets a temporary folder of its own; a cluster has to name one that
-    every executor sees.
+    Every executor has to see it. There is no default: who starts a session chooses the folder.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="specloom-"))
-    return context.getCheckpointDir()
+    return folder
 
 
 def materialize(frame: DataFrame, name: str = "table") -> DataFrame:
