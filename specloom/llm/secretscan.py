@@ -40,6 +40,16 @@ class Rule:
 ASSIGN = (
     r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 )
+# A private key: from its first line to its END line, if no other line of five hyphens is between. Without
+# an END line: headers, the run of base64 lines (up to 601, no key has more) and a piece on the line after.
+# Java, Python and RE2 read it alike; repeats are counted, as Java goes one level deeper for each.
+_LINES = r"(?:[\x20\t\r\n\\,>+-]+[A-Za-z0-9+/=]{16,}){0,60}"
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:"
+    r"[^-]*(?:--?-?-?[^-]+){0,200}-----+END [A-Z ]*PRIVATE KEY-----|"
+    r"(?:[\x20\t\r\n\\>+-]*[A-Z][A-Za-z]*-[A-Z][A-Za-z]*:\x20*[^\x20\t\r\n]+){0,9}"
+    r"(?:[\x20\t\r\n\\,>+-]+[A-Za-z0-9+/=]{16,}" + _LINES * 10 + r"(?:(?:\\|\r?\n)[A-Za-z0-9+/=]+)?)?)"
+)
 BASE = (
     Rule("assign", ASSIGN, 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
@@ -47,7 +57,7 @@ BASE = (
 )
 RULES = (
     *BASE,
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
