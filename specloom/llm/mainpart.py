@@ -49,8 +49,13 @@ TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)",
     re.S,
 )
+OPENS_MAIN = re.compile(r"<(?:article|main)\b", re.I)
 ATTRIBUTE = re.compile(r"(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORD = re.compile(r"[a-z0-9]+")
+# Elements around or of the main part, whose classes, ids and roles mark nothing; and words by which a
+# class says of the page that it has or lacks something (content-with-sidebar, no-comments).
+NEVER_MARKED = frozenset("html body article main".split())
+STATES = frozenset("has with without no".split())
 
 
 def _is_main(name: str, attributes: str) -> bool:
@@ -66,19 +71,29 @@ def _is_outside(name: str, attributes: str, in_main: bool) -> bool:
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if key in ("class", "id", "role"):
-            words = set(WORD.findall(value))
-            if words & MARKS or "header" in words and not in_main:
-                return True
+        if key in ("class", "id", "role") and name not in NEVER_MARKED:
+            for token in value.split():
+                words = set(WORD.findall(token))
+                if (words & MARKS or "header" in words and not in_main) and not words & STATES:
+                    return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """Of each block: text, characters outside of links, whether it is inside an article or main element."""
+def _is_marked(attributes: str) -> bool:
+    """Whether a whole class, id or role is one of the marks."""
+    return any(m[1].lower() in ("class", "id", "role") and MARKS & set((m[2] or m[3] or m[4] or "").lower().split()) for m in ATTRIBUTE.finditer(attributes))
+
+
+def lines(page: str, opened: bool = False) -> list[tuple[str, int, bool]]:
+    """Of each block: text, characters outside of links, whether it is inside an article or main element.
+
+    ``opened``: an article or main element that isn't marked itself counts also inside of marked ones.
+    """
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = main = skipped = 0  # characters in links; open main elements; depth inside what is left out
-    skipping, link, at, raw = "", False, 0, ""
+    skipping, link, at, raw, by_mark = "", False, 0, "", False
+    articles = 0  # open article elements
 
     def close() -> None:
         nonlocal linked
@@ -112,6 +127,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         if skipped and not closing and name in MAIN and skipping in NEVER_AROUND_MAIN:
             skipped = 0  # it was never closed
+        if opened and skipped and by_mark and not closing and name in MAIN and not _is_marked(attributes):
+            skipped = 0  # it stands around the main part
         if skipped:
             if skipping in CLOSED_BY_BLOCK and name in BLOCKS:
                 skipped = 0  # a paragraph ends where another block begins or ends
@@ -137,10 +154,12 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 close()
                 if name in MAIN and main:
                     main -= 1
+                if name == "article" and articles:
+                    articles -= 1
             continue
-        if _is_outside(name, attributes, main > 0):
+        if _is_outside(name, attributes, main > 0) or name == "article" and articles and _is_marked(attributes):
             skip_line()
-            skipped, skipping = 1, name
+            skipped, skipping, by_mark = 1, name, name not in OUTSIDE and name != "header"
             continue
         if name == "a":
             link = True
@@ -148,6 +167,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             close()
             if _is_main(name, attributes) and name in MAIN:
                 main += 1
+                articles += name == "article"
             link = False
     if not skipped and not raw and at < len(page):
         parts.append(references.unescape(page[at:]))
@@ -174,7 +194,11 @@ def between(lengths: np.ndarray, surge: int, window: int = WINDOW) -> list[tuple
 def main_text(page: str | None) -> str:
     """Blocks of the main part, one per line."""
     found = lines(page or "")
-    marked = any(m for *_, m in found)
+    marked = any(t and m for t, _, m in found)
+    if not marked and page and OPENS_MAIN.search(page):
+        inner = lines(page, opened=True)
+        if sum(len(t) for t, _, m in inner if m) > sum(n for _, n, _ in found):
+            found, marked = inner, True
     lengths = np.array([n if m or not marked else 0 for _, n, m in found], np.int64)
     if marked:
         lengths = np.array([len(t) if m else 0 for t, _, m in found], np.int64)

@@ -249,6 +249,26 @@ def test_main_text(page, text):
     assert mainpart.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<body class="single has-sidebar"><article><p>a</p></article></body>', "a"),
+        ('<html class="no-banner cookies"><body class="home sidebar" id="banner"><main><p>a</p></main></body></html>', "a"),
+        ('<div class="content-with-sidebar"><article><p>a</p></article></div>', "a"),
+        ('<div class="content-with-sidebar"><p>a</p></div>', "a"),
+        ('<article class="post comments-open"><p>a</p></article>', "a"),
+        ('<main class="search"><article class="post sponsored"><p>a</p></article></main>', "a"),
+        ('<div class="sidebar-right wrapper"><div>x<main><p>a</p></main></div></div>', "a"),
+        ('<section class="share-enabled"><div><article><p>a</p><div class="share">no</div><p>b</p></article></div></section>', "a\nb"),
+        ('<div class="widget"><article><p>a</p></article><div class="comments"><article class="comment"><p>no</p></article></div></div>', "a"),
+        ('<article><p>a</p><article class="comment"><p>no</p></article><p>b</p></article>', "a\nb"),
+        (f'<div><p>{LONG}</p></div><div class="comments"><article><p>no</p></article></div>', LONG.strip()),
+    ],
+)
+def test_classes_around_the_main_part(page, text):
+    assert mainpart.main_text(page) == text
+
+
 def test_lines_without_an_article_are_chosen_by_length():
     menu = "".join(f"<div><a href=/{i}>Item {i}</a></div>" for i in range(12))
     page = f"<body>{menu}<div>{LONG}</div><div>{LONG}</div>{menu}<div>fin</div></body>"
