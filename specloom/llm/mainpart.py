@@ -3,11 +3,11 @@
 1. Markup is stripped. Each block of the page is a line; what stands in menus, headers, footers, side
    bars, notices, adverts, forms, scripts, styles and comments is a line without text, as its place
    still counts. Links count for nothing where length is measured.
-2. Text lengths are summed over a sliding window of lines. Where the sum rises to a threshold the main
-   part surges, where it falls below it dives; a line belongs to the part if one of its windows does.
-   Of several parts the one with most text is kept, and all of those inside an article element: then
-   lines outside of it have no text and the threshold is a single character.
-3. The lines between surge and dive are the text, short ones and empty windows' neighbours included.
+2. Text lengths are summed over a sliding window of lines; the cells of a table row and the items of a
+   list are measured as one line. Where the sum rises to a threshold the main part surges, where it falls
+   below it dives; a line belongs to the part if one of its windows does. Inside an article element lines
+   outside of it have no text and the threshold is a single character.
+3. The lines between the first surge and the last dive are the text, short ones and empty windows included.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe svg math object canvas audio video textarea title xmp".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog button select datalist head".split())
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
+LISTS, ROWS = frozenset("ul ol dl menu dir".split()), frozenset("tr table".split())
+CELLS = frozenset("td th li dt dd ul ol dl menu dir".split())  # may stand in a line that is measured as one
 MAIN = frozenset(("article", "main"))
 NEVER_AROUND_MAIN = frozenset(("nav", "header", "footer", "menu"))
 MARKS = frozenset(
@@ -84,28 +86,33 @@ def _is_marked(attributes: str) -> bool:
     return any(m[1].lower() in ("class", "id", "role") and MARKS & set((m[2] or m[3] or m[4] or "").lower().split()) for m in ATTRIBUTE.finditer(attributes))
 
 
-def lines(page: str, opened: bool = False) -> list[tuple[str, int, bool]]:
-    """Of each block: text, characters outside of links, whether it is inside an article or main element.
+def lines(page: str, opened: bool = False) -> list[tuple[str, int, bool, int]]:
+    """Of each block: text, characters outside of links, whether it is inside an article or main element,
+    and a number that the cells of a row and the items of a list share.
 
     ``opened``: an article or main element that isn't marked itself counts also inside of marked ones.
     """
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, bool, int]] = []
     parts: list[str] = []
     linked = main = skipped = 0  # characters in links; open main elements; depth inside what is left out
     skipping, link, at, raw, by_mark = "", False, 0, "", False
-    articles = 0  # open article elements
+    articles = lists = number = 0  # open article elements, open lists; number of the row, list or line
+    joint = False  # inside of a row or list that has held no other block so far
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, number
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, max(len(text) - linked, 0), main > 0))
+            number += not joint
+            out.append((text, max(len(text) - linked, 0), main > 0, number))
         parts.clear()
         linked = 0
 
     def skip_line() -> None:
+        nonlocal number
         close()
-        out.append(("", 0, main > 0))
+        number += not joint
+        out.append(("", 0, main > 0, number))
 
     for tag in TAG.finditer(page):
         if tag.start() > at and not skipped and not raw:
@@ -152,6 +159,10 @@ def lines(page: str, opened: bool = False) -> list[tuple[str, int, bool]]:
                 link = False
             elif name in BLOCKS:
                 close()
+                if name in LISTS:
+                    lists = max(lists - 1, 0)
+                if name in ROWS or name in LISTS and not lists:
+                    joint = False
                 if name in MAIN and main:
                     main -= 1
                 if name == "article" and articles:
@@ -165,6 +176,11 @@ def lines(page: str, opened: bool = False) -> list[tuple[str, int, bool]]:
             link = True
         elif name in BLOCKS:
             close()
+            if name == "tr" or name in LISTS and not joint:
+                joint, number = True, number + 1
+            elif name not in CELLS:
+                joint = False
+            lists += name in LISTS
             if _is_main(name, attributes) and name in MAIN:
                 main += 1
                 articles += name == "article"
@@ -194,24 +210,29 @@ def between(lengths: np.ndarray, surge: int, window: int = WINDOW) -> list[tuple
 def main_text(page: str | None) -> str:
     """Blocks of the main part, one per line."""
     found = lines(page or "")
-    marked = any(t and m for t, _, m in found)
+    marked = any(t and m for t, _, m, _ in found)
     if not marked and page and OPENS_MAIN.search(page):
         inner = lines(page, opened=True)
-        if sum(len(t) for t, _, m in inner if m) > sum(n for _, n, _ in found):
+        if sum(len(t) for t, _, m, _ in inner if m) > sum(n for _, n, *_ in found):
             found, marked = inner, True
-    lengths = np.array([n if m or not marked else 0 for _, n, m in found], np.int64)
     if marked:
-        lengths = np.array([len(t) if m else 0 for t, _, m in found], np.int64)
+        lengths = np.array([len(t) if m else 0 for t, _, m, _ in found], np.int64)
         parts = between(lengths, 1)
-        return "\n".join(t for a, b in parts for t, _, m in found[a:b] if t and m)
-    most = int(lengths.sum())
-    parts = between(lengths, max(1, min(SURGE, most // 2)))
+        return "\n".join(t for a, b in parts for t, _, m, _ in found[a:b] if t and m)
+    if not found:
+        return ""
+    given, each = np.array([i for *_, i in found]), np.array([n for _, n, *_ in found], np.int64)
+    # a row or list of links alone stays as many lines as it has
+    apart = (np.bincount(given, each)[given] == 0) | (np.diff(given, prepend=-1) != 0)
+    numbers = np.cumsum(apart) - 1
+    lengths = np.bincount(numbers, each).astype(np.int64)
+    parts = between(lengths, max(1, min(SURGE, int(lengths.sum()) // 2)))
     if not parts:
         return ""
-    first, last = max(parts, key=lambda p: (lengths[p[0] : p[1]].sum(), -p[0]))
+    first, last = parts[0][0], parts[-1][1]
     some = first + np.flatnonzero(lengths[first:last])  # a window may reach over lines of links alone
-    first, last = some[0], some[-1] + 1
-    return "\n".join(t for t, *_ in found[first:last] if t)
+    first, last = some[0], some[-1]
+    return "\n".join(t for (t, *_), i in zip(found, numbers, strict=True) if t and first <= i <= last)
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

@@ -249,6 +249,39 @@ def test_main_text(page, text):
     assert mainpart.main_text(page) == text
 
 
+ROWS = [[f"{i}{k}.5 mm" for k in range(4)] for i in range(12)]
+TABLE = "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in ROWS) + "</table>"
+CELL_LINES = [c for r in ROWS for c in r]
+ADVERTS = "<div class=ad>no</div>" * 7
+ITEMS = [f"item {i}" for i in range(15)]
+LIST = "<ul>" + "".join(f"<li>{x}" for x in ITEMS) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        (f"<p>{LONG * 6}</p>{TABLE}<p>{LONG}</p>", [(LONG * 6).strip(), *CELL_LINES, LONG.strip()]),
+        (f"<p>{LONG}</p>{TABLE}", [LONG.strip(), *CELL_LINES]),
+        (f"{TABLE}<p>{LONG}</p>", [*CELL_LINES, LONG.strip()]),
+        (f"<p>{LONG}</p>{LIST}", [LONG.strip(), *ITEMS]),
+        (f"{LIST}<p>{LONG}</p>{LIST}<p>{LONG * 3}</p>", [*ITEMS, LONG.strip(), *ITEMS, (LONG * 3).strip()]),
+        (f"<p>{LONG * 3}</p>{ADVERTS}<p>{LONG}</p>", [(LONG * 3).strip(), LONG.strip()]),
+        (f"<p>{LONG * 3}</p>" + "<p>12</p>" * 9 + f"<p>{LONG}</p>", [(LONG * 3).strip(), *["12"] * 9, LONG.strip()]),
+    ],
+)
+def test_nothing_inside_an_unmarked_article_is_lost(inner, want):
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Item {i}</a>" for i in range(12)) + "</ul>"
+    page = f"<body><div>{menu}</div><div>{inner}</div>{menu}<div>x</div><div>y</div><div>z</div><div>fin</div></body>"
+    got = mainpart.main_text(page).split("\n")
+    assert [x for x in got if x not in "xy"] == want
+
+
+def test_cells_of_a_page_in_a_table_stay_apart():
+    menu = "".join(f"<div><a href=/{i}>Item {i}</a></div>" for i in range(12))
+    page = f"<table><tr><td>{menu}</td><td><p>{LONG}</p><table><tr><td>1<td>2</table><p>{LONG}</p></td></tr></table>"
+    assert mainpart.main_text(page) == "\n".join([LONG.strip(), "1", "2", LONG.strip()])
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
