@@ -17,15 +17,17 @@ from pyspark.sql import functions as F
 from specloom.llm.common import SPACES, boxed, let
 from specloom.workspace import materialize
 
-#: Buckets of the hashed n-grams.
-BUCKETS = 8192
+#: Buckets of the hashed n-grams. With few of them rare n-grams of bad texts drown among common ones, with
+#: many the n-grams of good texts outside of the target count as foreign; chosen with the threshold on
+#: labelled documents held out of the target (README).
+BUCKETS = 32_768
 #: Trusted documents that the target is counted over, the ones with the smallest hash of their id.
 TRUSTED = 20_000
 #: Weight of the priors, in n-grams per bucket: the raw corpus leans on the uniform distribution, the
 #: target on the raw corpus, so that little evidence for either gives ratios near 0.
 SMOOTHING = 1.0
 #: Least mean log-likelihood ratio of a document that is kept.
-THRESHOLD = -0.1
+THRESHOLD = -0.065
 SYMBOLS = "#*$%&|<>"
 #: Columns that ``judge`` adds.
 MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept")

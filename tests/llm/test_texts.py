@@ -83,6 +83,21 @@ def test_quality_ratio(spark):
     assert failed >= set(range(40, 55)) and not failed & set(range(40))
 
 
+def test_quality_of_documents_held_out(spark):
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 1
+    got = quality.judge(docs, labels.filter(~held_out)).filter("NOT base_failed").select("doc_id", "kept").join(labels, "doc_id")
+    bad, good = got.filter("quality = 0"), got.filter("quality = 1").filter(held_out)
+    share = F.avg(F.col("kept").cast("int"))
+    through, (kept, n) = bad.agg(share, F.count("kept")).first(), good.agg(share, F.count("kept")).first()
+    print("bad ones kept", through, "good ones kept", kept, n)
+    assert through[0] <= 0.03 and kept >= 0.99
+
+
 def test_quality_of_empty_tables(spark):
     docs, labels = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], LABELS)
     assert quality.judge(docs, labels).collect() == []
