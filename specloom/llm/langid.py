@@ -31,13 +31,16 @@ from specloom.llm.bpe import small_batches
 from specloom.llm.common import ship
 
 #: Bounds of the training sample: texts of each language, characters of each text (from a place that
-#: its hash says), languages.
-TEXTS, CHARACTERS, LANGUAGES = 150, 2_000, 50
+#: its hash says), texts of all languages together (one of each language at least).
+TEXTS, CHARACTERS, TOTAL = 150, 2_000, 7_500
 #: Buckets of the hashed features, words of a lexicon, words of a training sequence and of its runs.
 FEATURES, LEXICON, SEQUENCE, RUN = 1 << 15, 1_000, 64, 16
 PASSES, BATCH, RATE, DECAY = 4, 64, 0.3, 1e-6
 #: Words of a chunk, and words of which a worker keeps the scores.
 CHUNK, WORDS_KEPT = 32, 800_000
+#: Characters of a batch (fewer from 50 languages on), and numbers in the matrices of its chunks; for a
+#: text that needs more, chunks are longer.
+CHARACTERS_AT_ONCE, NUMBERS = 1_000_000, 40_000_000
 UNKNOWN = "und"
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -50,14 +53,13 @@ def words_of(text: str) -> list[str]:
 
 
 def features(word: str) -> list[int]:
-    """Hashed affixes and n-grams of a word; only its first and last 20 letters count in n-grams."""
+    """Hashed affixes and n-grams of a word, of all its letters."""
     from xxhash import xxh32_intdigest
 
-    kept = word if len(word) <= 40 else word[:20] + word[-20:]
-    marked = f"^{kept}$"
+    marked = f"^{word}$"
     names = {f"w{word}"}
     for n in (1, 2, 3, 4):
-        names.update((f"p{kept[:n]}", f"s{kept[-n:]}"))
+        names.update((f"p{word[:n]}", f"s{word[-n:]}"))
     for n in (2, 3):
         names.update(f"g{marked[i:i + n]}" for i in range(len(marked) - n + 1))
     return [xxh32_intdigest(x) % FEATURES for x in names]
@@ -218,23 +220,24 @@ class Labeller:
     def means(self, texts: list[list[str]]) -> np.ndarray:
         """Mean posterior of each label over each text's words; a text has a word at least."""
         k, sizes = self.k, np.array([len(t) for t in texts])
-        chunks = -(-sizes // CHUNK)
+        chunk = CHUNK * max(1, -(-int((-(-sizes // CHUNK)).sum()) * k * k // NUMBERS))
+        chunks = -(-sizes // chunk)
         first = np.concatenate([[0], np.cumsum(chunks)])
         ids = self.numbers(texts)
         within = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        place = np.repeat(first[:-1] * CHUNK, sizes) + within
-        real = np.zeros(first[-1] * CHUNK, bool)
+        place = np.repeat(first[:-1] * chunk, sizes) + within
+        real = np.zeros(first[-1] * chunk, bool)
         real[place] = True
         emit = np.ones((len(real), k))
         emit[place] = self.factors[ids]
-        emit, real = emit.reshape(-1, CHUNK, k), real.reshape(-1, CHUNK)
+        emit, real = emit.reshape(-1, chunk, k), real.reshape(-1, chunk)
         n = len(emit)
 
         # products of a chunk's matrices; places behind a text's end change nothing
         whole = np.broadcast_to(np.eye(k), (n, k, k)).copy()
         is_first = np.zeros(n, bool)
         is_first[first[:-1]] = True
-        for t in range(CHUNK):
+        for t in range(chunk):
             use = np.flatnonzero(real[:, t])
             step = whole[use] @ self.move
             if t == 0:
@@ -256,7 +259,7 @@ class Labeller:
         # words of all chunks
         alpha = np.empty_like(emit)
         state = before
-        for t in range(CHUNK):
+        for t in range(chunk):
             step = state if t == 0 and is_first.all() else state @ self.move
             if t == 0:
                 step = np.where(is_first[:, None], state, step)
@@ -264,7 +267,7 @@ class Labeller:
             alpha[:, t] = state
         total = np.zeros((n, k))
         beta = after
-        for t in range(CHUNK - 1, -1, -1):
+        for t in range(chunk - 1, -1, -1):
             total += np.where(real[:, t, None], _normal(alpha[:, t] * beta), 0)
             back = (emit[:, t] * beta) @ self.move.T
             beta = np.where(real[:, t, None], _normal(back), beta)
@@ -275,14 +278,14 @@ _labellers: dict[str, Labeller] = {}
 
 
 def sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> list[tuple[str, str]]:
-    """The bounded training sample: of the most frequent languages, texts with the smallest hash."""
+    """The bounded training sample: of every language, texts with the smallest hash."""
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    names = known.groupBy(F.col(lang).alias("y")).count().orderBy(F.desc("count"), "y").limit(LANGUAGES).select("y")
+    each = max(1, min(TEXTS, TOTAL // max(1, known.select(lang).distinct().count())))
     hashed = known.select(F.col(lang).alias("y"), F.col(text).alias("t"), F.xxhash64(F.col(key)).alias("h"), F.length(text).alias("n"))
     start = F.pmod(F.xxhash64("h"), F.greatest(F.col("n") - CHARACTERS, F.lit(0)) + 1).cast("int") + 1
-    window = hashed.join(F.broadcast(names), "y").select("y", "h", F.substring("t", start, F.lit(CHARACTERS)).alias("t"))
+    window = hashed.select("y", "h", F.substring("t", start, F.lit(CHARACTERS)).alias("t"))
     rank = F.row_number().over(Window.partitionBy("y").orderBy("h", "t"))
-    chosen = window.withColumn("rank", rank).filter(F.col("rank") <= TEXTS)
+    chosen = window.withColumn("rank", rank).filter(F.col("rank") <= each)
     return [(r["t"], str(r["y"])) for r in chosen.select("t", "y").collect()]
 
 
@@ -316,7 +319,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in small_batches([whole], text, 1_000_000):
+            for batch in small_batches([whole], text, int(CHARACTERS_AT_ONCE * min(1, (50 / max(held.value.emit.shape[1], 1)) ** 2))):
                 languages, scores = judge(batch[text].to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"]

@@ -397,3 +397,20 @@ def test_language_without_anything_to_learn(spark):
     assert model.labels == []
     assert [(r["lang_pred"], r["score"]) for r in langid.predict(docs, model).collect()] == [("und", 0.0)] * 2
     assert langid.sample(docs.filter("false")) == []
+
+
+def test_every_language_is_learned(spark):
+    docs = spark.createDataFrame([(i, f"words {i}", f"l{i % 70:02}") for i in range(140)], "doc_id bigint, text string, lang string")
+    assert {y for _, y in langid.sample(docs)} == {f"l{i:02}" for i in range(70)}
+
+
+def test_the_middle_of_a_long_word_counts():
+    one, other = ("a" * 30 + x * 40 + "a" * 30 for x in ("bc", "de"))
+    assert len(set(langid.features(one)) ^ set(langid.features(other))) > 4
+
+
+def test_longer_chunks_give_the_same(model, monkeypatch):
+    texts = [langid.words_of(t) for t, _ in language_texts(3, 30)]
+    want = langid.Labeller(model).means(texts)
+    monkeypatch.setattr(langid, "NUMBERS", 300)
+    assert np.allclose(langid.Labeller(model).means(texts), want)
