@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm import bpe, langid, mainpart, neardup, packing, quality, secretscan, tokencount, topk, urlfilter
+from specloom.llm import bpe, centroids, langid, mainpart, neardup, packing, quality, secretscan, tokencount, topk, urlfilter
 from specloom.llm.common import table, vocabulary
 from specloom.workspace import materialize
 
@@ -154,3 +154,16 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     model = langid.train(langid.sample(docs.filter(~held_out)))
     found = langid.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters of all usable vectors of 64 components, after three rounds from 16 of them."""
+    vectors = table(spark, folder, "embeddings").filter(topk.usable(F.col("embedding")))
+    whole = F.transform("embedding", lambda x: F.floor(64 * x.cast("double")))
+    found = centroids.cluster(vectors.select("vec_id", whole.alias("vector")))
+    digest = F.sha2(F.array_join("centroid", ",").cast("binary"), 256)
+    return found.withColumn("centroid", digest).withColumnRenamed("centroid", "centroid_sha256")
+
+
+ORACLES["op12_centroids"] = centroids.oracle_sql()
