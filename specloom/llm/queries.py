@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm import bpe, centroids, langid, mainpart, neardup, packing, quality, secretscan, tokencount, topk, urlfilter
+from specloom.llm import bpe, centroids, divergence, langid, mainpart, neardup, packing, quality, secretscan, tokencount, topk, urlfilter
 from specloom.llm.common import table, vocabulary
 from specloom.workspace import materialize
 
@@ -167,3 +167,12 @@ def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op12_centroids"] = centroids.oracle_sql()
+
+
+@query
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Divergence of the sources of every language, and the words that set each apart."""
+    return divergence.audit(table(spark, folder, "documents").select("text", "lang", "source"))
+
+
+ORACLES["op13_source_divergence"] = divergence.oracle_sql()
