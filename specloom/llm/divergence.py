@@ -5,11 +5,14 @@ documents; every kept word has a price p in a group, which follows from its coun
 The divergence of two groups is the sum over kept words of f(p, q), so it needs of each pair of groups
 only the joint table: how many words have one level here and the other there.
 
-1. Counting is partial aggregation: a row per group and word leaves a task, whatever its frequency.
-2. Words are dealt to blocks by hash, groups to blocks of a few groups. A tile is a block of words with
-   a pair of blocks of groups. In it every (group, level) is an indicator column over the words, level 0
-   (the word doesn't occur) too, and the matrix of these columns times its transpose is every joint
-   table of the tile. Products are of 0 and 1, added up in 32 bits below 2^24: exact.
+1. Words are counted inside the tasks, in dictionaries that are handed on when they hold ENTRIES words,
+   and added up by Spark: a frequent word is a few rows of each task.
+2. Words of about one frequency (its number of binary digits) are dealt to blocks by hash, groups to
+   blocks of a few groups. A tile is a block of words with a pair of blocks of groups. In it every
+   (group, level) is an indicator column over the words, level 0 (the word doesn't occur) too, and the
+   matrix of these columns times its transpose is every joint table of the tile. Words of one frequency
+   have few levels, so the matrices are narrow. Products are of 0 and 1, added up in 32 bits below 2^24:
+   exact.
 3. Each tile prices its tables and returns one sum for a pair of groups; words of the block that occur
    in neither block of groups are added by their number afterwards.
 
@@ -19,12 +22,16 @@ integers.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specloom.llm.common import let, ship
+from specloom.llm.bpe import small_batches
+from specloom.llm.common import ship
 from specloom.operators.skew import salted_join
 from specloom.workspace import materialize
 
@@ -32,27 +39,69 @@ from specloom.workspace import materialize
 LEAST_DOCUMENTS, RANKS = 10, 10
 #: Words and groups of a block, on average; columns of a matrix product.
 WORDS, GROUPS, COLUMNS = 1024, 16, 1024
+#: Words in the dictionaries of a task, and bytes of a text that are split at once.
+ENTRIES, PIECE = 400_000, 4_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: What stands between words: everything in ASCII but letters.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: For bytes of UTF-8: A-Z lower-cased, what stands in ASCII between letters a blank.
+TABLE = bytes(b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalpha() else 0x20 for b in range(256))
 GROUP = ["lang", "source"]
 
 
-def words_of(text: Column) -> Column:
-    """Runs of letters and of characters beyond ASCII, A-Z lower-cased."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), "")
+def pieces_of(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, in lists of bounded size; a word stays whole."""
+    plain = text.translate(TABLE)
+    at = 0
+    while len(plain) - at > PIECE:
+        end = plain.find(b" ", at + PIECE)
+        if end < 0:
+            break
+        yield plain[at:end].split()
+        at = end
+    yield plain[at:].split()
 
 
-def counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(lang, source, term, n, docs): occurrences of a word in a group, and rows of it that hold the word."""
-    once, all_ = F.struct(F.lit(0).alias("n"), F.lit(1).alias("d")), F.struct(F.lit(1).alias("n"), F.lit(0).alias("d"))
+def counts(docs: DataFrame) -> DataFrame:
+    """(lang, source, term, n, docs): occurrences of a word in a group, and rows of it that hold the word.
 
-    def both(words: Column) -> Column:
-        marked = lambda kind: lambda w: F.struct(w.alias("term"), kind["n"].alias("n"), kind["d"].alias("d"))
-        return F.concat(F.transform(words, marked(all_)), F.transform(F.array_distinct(words), marked(once)))
+    A word is a run of letters and of characters beyond ASCII, A-Z lower-cased.
+    """
 
-    rows = docs.select(*GROUP, F.explode(let(words_of(F.col(text)), both)).alias("w")).select(*GROUP, "w.*")
-    return rows.groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("d").alias("docs"))
+    def run(batches):
+        found: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+        def rows() -> pa.RecordBatch:
+            names = [k for k, (n, _) in found.items() for _ in n]
+            terms = [t for n, _ in found.values() for t in n]
+            columns = [
+                pa.array([k[0] for k in names], pa.string()),
+                pa.array([k[1] for k in names], pa.string()),
+                pa.array(terms, pa.binary()).cast(pa.string()),
+                pa.array([c for n, _ in found.values() for c in n.values()], pa.int64()),
+                pa.array([d[t] for n, d in found.values() for t in n], pa.int64()),
+            ]
+            found.clear()
+            return pa.RecordBatch.from_arrays(columns, [*GROUP, "term", "n", "docs"])
+
+        for batch in batches:
+            texts = batch["text"].cast(pa.binary())
+            for key, text in zip(zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), strict=True), texts, strict=True):
+                n, d = found.setdefault(key, (Counter(), Counter()))
+                distinct = set()
+                for words in pieces_of(text.as_py()):
+                    n.update(words)
+                    distinct.update(words)
+                d.update(distinct)
+            if sum(len(n) for n, _ in found.values()) > ENTRIES:
+                yield rows()
+        yield rows()
+
+    def ordered(batches):
+        for batch in batches:
+            yield from small_batches([batch], "text")
+
+    schema = "lang string, source string, term string, n bigint, docs bigint"
+    each = docs.select(*GROUP, "text").mapInArrow(lambda b: run(ordered(b)), schema)
+    return each.groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _price(count: Column, total: Column, kept: Column) -> Column:
@@ -71,11 +120,12 @@ def _squares(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // (p + q)
 
 
-def joint_tables(levels: np.ndarray, other: np.ndarray):
+def joint_tables(levels: np.ndarray, other: np.ndarray, upper: bool = False):
     """Joint tables of all pairs of columns of two matrices (words, groups) of prices.
 
     Yields (groups, prices, groups, prices, table): the columns (group, price) of either side in slices
-    and the number of words that have both.
+    and the number of words that have both. ``upper``: slices without a group of the left side before
+    one of the right side are left out.
     """
 
     def one_hot(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,13 +142,16 @@ def joint_tables(levels: np.ndarray, other: np.ndarray):
         for j in range(0, len(b[0]), COLUMNS):
             left, right = (x[i : i + COLUMNS] for x in a), (x[j : j + COLUMNS] for x in b)
             (ga, pa_, xa), (gb, pb, xb) = left, right
+            if upper and ga[0] >= gb[-1]:
+                continue
             yield ga, pa_, gb, pb, (xa @ xb.T).astype(np.int64)
 
 
-def tile_sums(levels: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """The sum of f over the words for every pair of columns of the two matrices."""
+def tile_sums(levels: np.ndarray, other: np.ndarray, upper: bool = False) -> np.ndarray:
+    """The sum of f over the words for every pair of columns of the two matrices; ``upper``: of those
+    where the left one comes first."""
     out = np.zeros((levels.shape[1], other.shape[1]), np.int64)
-    for ga, pa_, gb, pb, table in joint_tables(levels, other):
+    for ga, pa_, gb, pb, table in joint_tables(levels, other, upper):
         priced = table * _squares(pa_[:, None], pb[None, :])
         rows, columns = np.flatnonzero(np.diff(ga, prepend=-1)), np.flatnonzero(np.diff(gb, prepend=-1))
         out[np.ix_(ga[rows], gb[columns])] += np.add.reduceat(np.add.reduceat(priced, rows, axis=0), columns, axis=1)
@@ -129,7 +182,7 @@ def _tile(table: pa.Table) -> pa.Table:
     a = matrix(0)
     b = a if same else matrix(1)
     some = words and len(a[0]) and len(b[0])  # a block of groups may be empty
-    sums = tile_sums(a[2], b[2]) if some else np.zeros((len(a[0]), len(b[0])), np.int64)
+    sums = tile_sums(a[2], b[2], same) if some else np.zeros((len(a[0]), len(b[0])), np.int64)
     x, y = np.meshgrid(np.arange(len(a[0])), np.arange(len(b[0])), indexing="ij")
     keep = (a[0][x] < b[0][y]) if same else np.ones_like(x, bool)
     x, y = x[keep], y[keep]
@@ -144,23 +197,24 @@ def _tile(table: pa.Table) -> pa.Table:
     )
 
 
-def _tiles(groups: DataFrame, kept: DataFrame) -> DataFrame:
-    """(lang, one, other, part_value, seen) of every tile. groups: lang, source, p0, blocks, word_blocks; kept: these, term, p."""
+def _tiles(groups: DataFrame, sizes: DataFrame, kept: DataFrame) -> DataFrame:
+    """(lang, one, other, part_value, seen) of every tile.
 
-    def block(value: str, number: str) -> Column:
-        return F.pmod(F.xxhash64(value), F.col(number)).cast("int")
-
-    columns = [*GROUP, "term", "p", "p0", "blocks", "word_blocks"]
-    listed = groups.withColumns({"term": F.lit(None).cast("string"), "p": F.col("p0")}).select(columns)
+    groups: lang, source, p0, blocks; sizes: lang, digits, word_blocks; kept: lang, source, p0, blocks,
+    digits, words (its block), term, p.
+    """
+    columns = [*GROUP, "digits", "words", "term", "p", "p0", "blocks"]
+    listed = groups.join(sizes, "lang").withColumns({"term": F.lit(None).cast("string"), "p": F.col("p0")})
     listed = listed.withColumn("words", F.explode(F.sequence(F.lit(0), F.col("word_blocks") - 1)))
-    rows = kept.withColumn("words", block("term", "word_blocks")).select(listed.columns).unionByName(listed)
-    mine = F.col("g")
-    dealt = rows.withColumn("g", block("source", "blocks")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = kept.select(columns).unionByName(listed.select(columns))
+    mine = F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int")
+    dealt = rows.withColumn("g", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
-        "lang", "words", F.least(mine, "o").alias("i"), F.greatest(mine, "o").alias("j"), F.when(mine <= F.col("o"), 0).otherwise(1).alias("side"), "source", "p0", "term", "p"
-    )
+        "lang", "digits", "words", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"),
+        F.when(F.col("g") <= F.col("o"), 0).otherwise(1).alias("side"), "source", "p0", "term", "p",
+    )
     schema = "lang string, one string, other string, part_value bigint, seen bigint"
-    return dealt.groupBy("lang", "words", "i", "j").applyInArrow(_tile, schema)
+    return dealt.groupBy("lang", "digits", "words", "i", "j").applyInArrow(_tile, schema)
 
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST_DOCUMENTS, ranks: int = RANKS) -> DataFrame:
@@ -177,29 +231,34 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     docs = docs.select(empty(lang).alias("lang"), empty(source).alias("source"), empty(text).alias("text"))
     counted = materialize(counts(docs), "counts")
     of_lang = counted.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
-    terms = materialize(of_lang.filter(F.col("docs") >= least).drop("docs"), "terms")
-    found = materialize(counted.drop("docs").join(terms, ["lang", "term"]), "kept")
+    blocks = lambda n, per: F.greatest(F.ceil(F.col(n) / per), F.lit(1)).cast("int")
+    of_lang = of_lang.filter(F.col("docs") >= least).drop("docs").withColumn("digits", F.length(F.bin("lang_n")))
+    terms = materialize(of_lang, "terms")
+    alike = terms.groupBy("lang", "digits").agg(F.count(F.lit(1)).alias("n"))
+    alike = materialize(alike.select("lang", "digits", blocks("n", WORDS).alias("word_blocks")), "alike")
+    dealt = salted_join(terms, alike, ["lang", "digits"], ["term"], how="inner")
+    dealt = dealt.withColumn("words", F.pmod(F.xxhash64("term"), F.col("word_blocks")).cast("int")).drop("word_blocks")
+    found = materialize(counted.drop("docs").join(dealt, ["lang", "term"]), "kept")
 
     sizes = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("lang_n").alias("lang_total"))
     totals = found.groupBy(*GROUP).agg(F.sum("n").alias("total"))
     groups = docs.select(*GROUP).distinct().join(totals, GROUP, "left").join(sizes, "lang", "left")
     groups = materialize(groups.fillna(0, ["total", "kept", "lang_total"]), "groups")
     sources = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("sources"))
-    blocks = lambda n, per: F.greatest(F.ceil(F.col(n) / per), F.lit(1)).cast("int")
     p0 = F.when(F.col("kept") > 0, _price(F.lit(0).cast("bigint"), F.col("total"), F.col("kept")))
-    groups = groups.join(sources, "lang").withColumns({"blocks": blocks("sources", GROUPS), "word_blocks": blocks("kept", WORDS), "p0": p0})
+    groups = groups.join(sources, "lang").withColumns({"blocks": blocks("sources", GROUPS), "p0": p0})
     groups = materialize(groups, "groups")
 
     priced = salted_join(found, groups, GROUP, ["term"], how="inner")
     priced = materialize(
         priced.withColumn("p", _price(F.col("n"), F.col("total"), F.col("kept")))
         .withColumn("lang_p", _price(F.col("lang_n"), F.col("lang_total"), F.col("kept")))
-        .select(*GROUP, "term", "p", "lang_p", "p0", "sources", "blocks", "word_blocks"),
+        .select(*GROUP, "term", "p", "lang_p", "p0", "sources", "blocks", "digits", "words"),
         "priced",
     )
 
     with_words = groups.filter((F.col("kept") > 0) & (F.col("sources") > 1))
-    tiles = _tiles(with_words, priced.filter(F.col("sources") > 1))
+    tiles = _tiles(with_words, alike, priced.filter(F.col("sources") > 1))
     sums = materialize(tiles.groupBy("lang", "one", "other").agg(F.sum("part_value").alias("s"), F.sum("seen").alias("seen")), "pairs")
     both = sums.select("lang", F.col("one").alias("source"), F.col("other").alias("item"), "s", "seen").unionByName(
         sums.select("lang", F.col("other").alias("source"), F.col("one").alias("item"), "s", "seen")

@@ -69,6 +69,14 @@ def test_every_price(spark, monkeypatch, words, groups, columns):
     assert {r[2] for r in got} == {"pair", "term"} and any(r[4] > 0 for r in got)
 
 
+def test_words_in_pieces(monkeypatch):
+    text = " ".join(f"Wör{i % 7}d{'x' * (i % 5)}" for i in range(500)).encode()
+    want = [w.lower() for w in re.findall(rb"[A-Za-z\x80-\xff]+", text)]
+    for size in (1, 10, 1000, 10**6):
+        monkeypatch.setattr(divergence, "PIECE", size)
+        assert [w for p in divergence.pieces_of(text) for w in p] == want
+
+
 def test_odd_tables(spark):
     schema = "text string, lang string, source string"
     empty = spark.createDataFrame([], schema)
