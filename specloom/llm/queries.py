@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm import bpe, centroids, divergence, langid, mainpart, neardup, packing, quality, secretscan, tokencount, topk, urlfilter
+from specloom.llm import bpe, centroids, divergence, docquality, langid, mainpart, neardup, packing, quality, secretscan, tokencount, topk, urlfilter
 from specloom.llm.common import table, vocabulary
 from specloom.workspace import materialize
 
@@ -176,3 +176,17 @@ def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op13_source_divergence"] = divergence.oracle_sql()
+
+
+@query
+def op11_quality_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document; a fifth of them is held out from learning."""
+    docs, labels = (table(spark, folder, n) for n in ("documents", "labels"))
+
+    def held_out(of: DataFrame):
+        return F.coalesce(F.crc32(of["doc_id"].cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+    docs = docs.select("doc_id", "text")
+    forest = docquality.train(docs, labels.filter(~held_out(labels)))
+    found = docquality.score(docs, forest)
+    return found.select("doc_id", held_out(found).alias("held_out"), "score", "predicted")
