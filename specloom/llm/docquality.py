@@ -69,7 +69,7 @@ def train(
     taken = {c: int((positive == bool(c)).sum()) for c in (0, 1)}
     scale = sum(taken.values()) / max(1, sum(share.get(c, 0) for c in (0, 1) if taken[c]))
     weights = np.array([share[y] / taken[y] * scale for y, _ in rows])
-    return boosting.fit(np.array([s for _, s in rows]).reshape(len(rows), -1), positive, weights, settings)
+    return boosting.fit(np.array([s for _, s in rows]).reshape(len(rows), len(textstats.NAMES)), positive, weights, settings)
 
 
 def score(docs: DataFrame, forest: boosting.Forest, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
