@@ -1,13 +1,17 @@
 """Main text of web pages by the distribution of text over lines.
 
 1. Markup is stripped. Each block of the page is a line; what stands in menus, headers, footers, side
-   bars, notices, adverts, forms, scripts, styles and comments is a line without text, as its place
-   still counts. Links count for nothing where length is measured.
-2. Text lengths are summed over a sliding window of lines; the cells of a table row and the items of a
-   list are measured as one line. Where the sum rises to a threshold the main part surges, where it falls
-   below it dives; a line belongs to the part if one of its windows does. Inside an article element lines
-   outside of it have no text and the threshold is a single character.
-3. The lines between the first surge and the last dive are the text, short ones and empty windows included.
+   bars, notices, adverts, forms, scripts, styles and comments is left out, and as many lines without text
+   as a window is long stand in its place (none inside of an article or main element). Of a line its
+   characters outside of links are measured; the cells of a table row and the items of a list are
+   measured as one line, unless all of them are links. On a page with an article or main element lines
+   outside of it have none.
+2. These lengths are summed over a sliding window of lines. The main part surges where a sum reaches a
+   threshold and reaches back, and on, until a window holds nothing: there it dives.
+3. The lines between the first surge and the last dive are the text, whatever stands between them.
+
+So an article loses a run of links that begins or ends it, if it is as long as a window, and a page
+without an article keeps short first and last lines beside long ones.
 """
 
 from __future__ import annotations
@@ -39,12 +43,21 @@ CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 LISTS, ROWS = frozenset("ul ol dl menu dir".split()), frozenset("tr table".split())
 CELLS = frozenset("td th li dt dd ul ol dl menu dir".split())  # may stand in a line that is measured as one
 MAIN = frozenset(("article", "main"))
-NEVER_AROUND_MAIN = frozenset(("nav", "header", "footer", "menu"))
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion sidebar nav navbar navigation "
-    "menu breadcrumb breadcrumbs masthead footer cookie cookies consent notice notices alert popup modal overlay newsletter "
-    "subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager comment "
-    "comments commentlist disqus reply replies respond complementary contentinfo search banner".split()
+NEVER_AROUND_MAIN = frozenset(("nav", "header", "footer", "menu", "form"))
+# Elements that a class, id or role may mark; on others a class names an advert, or nothing.
+CONTAINERS = frozenset("div section ul ol dl table center fieldset details".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion".split())
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+MARKS = ADVERTS | COMMENTS | frozenset(
+    "sidebar nav navbar navigation menu breadcrumb breadcrumbs masthead footer cookie cookies consent notice notices alert "
+    "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget "
+    "widgets toolbar pagination pager complementary contentinfo search banner".split()
+)
+# Words that may stand before a mark in a class or id (site-footer), and behind it (comment-list-2).
+BEFORE = frozenset("site page main post article blog global top bottom left right primary secondary mobile user reader".split())
+BEHIND = frozenset(
+    "area bar block body bottom box button buttons col column container entry form group holder inner item items left link links "
+    "list message outer panel placeholder posts right row section slot thread top unit wrap wrapper".split()
 )
 
 TAG = re.compile(
@@ -54,10 +67,23 @@ TAG = re.compile(
 OPENS_MAIN = re.compile(r"<(?:article|main)\b", re.I)
 ATTRIBUTE = re.compile(r"(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORD = re.compile(r"[a-z0-9]+")
-# Elements around or of the main part, whose classes, ids and roles mark nothing; and words by which a
-# class says of the page that it has or lacks something (content-with-sidebar, no-comments).
+# Elements around or of the main part, whose classes, ids and roles mark nothing.
 NEVER_MARKED = frozenset("html body article main".split())
-STATES = frozenset("has with without no".split())
+
+
+def _is_mark(token: str, marks: frozenset[str] = MARKS) -> bool:
+    """Whether a whole class, id or role names what isn't main text: nothing in it means anything else."""
+    words = [w for w in WORD.findall(token) if not w.isdigit()]
+    while words and words[0] in BEFORE and words[0] not in marks:
+        words.pop(0)
+    while words and words[-1] in BEHIND and words[-1] not in marks:
+        words.pop()
+    return bool(words) and all(w in marks for w in words)
+
+
+def _values(attributes: str):
+    for m in ATTRIBUTE.finditer(attributes):
+        yield m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
 
 
 def _is_main(name: str, attributes: str) -> bool:
@@ -69,34 +95,38 @@ def _is_outside(name: str, attributes: str, in_main: bool) -> bool:
         return True
     if "=" not in attributes and "hidden" not in attributes:
         return False
-    for m in ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+    for key, value in _values(attributes):
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if key in ("class", "id", "role") and name not in NEVER_MARKED:
-            for token in value.split():
-                words = set(WORD.findall(token))
-                if (words & MARKS or "header" in words and not in_main) and not words & STATES:
-                    return True
+        if key not in ("class", "id", "role") or name in NEVER_MARKED:
+            continue
+        if name in CONTAINERS:
+            # a section of an article may have its id from its heading
+            marks = COMMENTS if key == "id" and name == "section" and in_main else MARKS
+            if any(_is_mark(t, marks) or t == "header" and not in_main for t in value.split()):
+                return True
+        elif key == "class" and name not in CLOSED_BY_BLOCK - {"p"} and any(t in ADVERTS for t in value.split()):
+            return True
     return False
 
 
 def _is_marked(attributes: str) -> bool:
-    """Whether a whole class, id or role is one of the marks."""
-    return any(m[1].lower() in ("class", "id", "role") and MARKS & set((m[2] or m[3] or m[4] or "").lower().split()) for m in ATTRIBUTE.finditer(attributes))
+    """Whether the class, id or role of an article is one of the marks."""
+    return any(key in ("class", "id", "role") and any(map(_is_mark, value.split())) for key, value in _values(attributes))
 
 
-def lines(page: str, opened: bool = False) -> list[tuple[str, int, bool, int]]:
+def lines(page: str, opened: bool = False, marked: bool = False) -> list[tuple[str, int, bool, int]]:
     """Of each block: text, characters outside of links, whether it is inside an article or main element,
     and a number that the cells of a row and the items of a list share.
 
-    ``opened``: an article or main element that isn't marked itself counts also inside of marked ones.
+    ``opened``: an article or main element that isn't marked itself counts also inside of marked ones, and
+    a form is nothing special. ``marked``: marked articles count, too; else they are left out.
     """
     out: list[tuple[str, int, bool, int]] = []
     parts: list[str] = []
     linked = main = skipped = 0  # characters in links; open main elements; depth inside what is left out
     skipping, link, at, raw, by_mark = "", False, 0, "", False
-    articles = lists = number = 0  # open article elements, open lists; number of the row, list or line
+    lists = number = 0  # open lists; number of the row, list or line
     joint = False  # inside of a row or list that has held no other block so far
 
     def close() -> None:
@@ -111,8 +141,9 @@ def lines(page: str, opened: bool = False) -> list[tuple[str, int, bool, int]]:
     def skip_line() -> None:
         nonlocal number
         close()
-        number += not joint
-        out.append(("", 0, main > 0, number))
+        for _ in range(1 if main else WINDOW):
+            number += not joint
+            out.append(("", 0, main > 0, number))
 
     for tag in TAG.finditer(page):
         if tag.start() > at and not skipped and not raw:
@@ -165,10 +196,9 @@ def lines(page: str, opened: bool = False) -> list[tuple[str, int, bool, int]]:
                     joint = False
                 if name in MAIN and main:
                     main -= 1
-                if name == "article" and articles:
-                    articles -= 1
             continue
-        if _is_outside(name, attributes, main > 0) or name == "article" and articles and _is_marked(attributes):
+        outside = _is_outside(name, attributes, main > 0) and not (opened and name == "form")
+        if outside or name == "article" and not marked and attributes and _is_marked(attributes):
             skip_line()
             skipped, skipping, by_mark = 1, name, name not in OUTSIDE and name != "header"
             continue
@@ -183,7 +213,6 @@ def lines(page: str, opened: bool = False) -> list[tuple[str, int, bool, int]]:
             lists += name in LISTS
             if _is_main(name, attributes) and name in MAIN:
                 main += 1
-                articles += name == "article"
             link = False
     if not skipped and not raw and at < len(page):
         parts.append(references.unescape(page[at:]))
@@ -192,47 +221,59 @@ def lines(page: str, opened: bool = False) -> list[tuple[str, int, bool, int]]:
 
 
 def between(lengths: np.ndarray, surge: int, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Parts (first line, line behind the last) in which windows of lines reach the threshold."""
+    """Parts (first line, line behind the last): runs of windows with anything in them, one of which at
+    least reaches the threshold; a part begins and ends with a line that isn't empty."""
     if not len(lengths):
         return []
     total = np.concatenate([[0], np.cumsum(lengths)])
     n = len(lengths)
     starts = np.arange(-(window - 1), n)
     sums = total[np.minimum(starts + window, n)] - total[np.maximum(starts, 0)]
-    high = sums >= surge
-    inside = np.zeros(n, bool)
-    for k in range(window):  # a line is in the windows that start up to window - 1 lines before it
-        inside |= high[k : k + n]
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], (sums > 0).astype(np.int8), [0]])))
+    parts = []
+    for first, last in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):  # windows first to last - 1
+        if sums[first:last].max() >= surge:
+            parts.append((first, last - window + 1))  # the first one ends with a line of the part, the last begins with one
+    return parts
+
+
+def _measured(found: list[tuple[str, int, bool, int]], marked: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The measured line of each block, and the lengths of the measured lines."""
+    given = np.array([i for *_, i in found])
+    each = np.array([n if m or not marked else 0 for _, n, m, _ in found], np.int64)
+    # a row or list of links alone stays as many lines as it has
+    apart = (np.bincount(given, each)[given] == 0) | (np.diff(given, prepend=-1) != 0)
+    numbers = np.cumsum(apart) - 1
+    return numbers, np.bincount(numbers, each).astype(np.int64)
 
 
 def main_text(page: str | None) -> str:
     """Blocks of the main part, one per line."""
     found = lines(page or "")
-    marked = any(t and m for t, _, m, _ in found)
-    if not marked and page and OPENS_MAIN.search(page):
-        inner = lines(page, opened=True)
-        if sum(len(t) for t, _, m, _ in inner if m) > sum(n for _, n, *_ in found):
-            found, marked = inner, True
-    if marked:
-        lengths = np.array([len(t) if m else 0 for t, _, m, _ in found], np.int64)
-        parts = between(lengths, 1)
-        return "\n".join(t for a, b in parts for t, _, m, _ in found[a:b] if t and m)
+    inside, nothing = sum(len(t) for t, _, m, _ in found if m), not any(t for t, *_ in found)
+    if not inside and page and (nothing or OPENS_MAIN.search(page)):
+        for marked in (False, True):
+            inner = lines(page, opened=True, marked=marked)
+            inside = sum(len(t) for t, _, m, _ in inner if m)
+            if inside > sum(n for _, n, *_ in found) or nothing and any(t for t, *_ in inner):
+                found = inner
+                break
+            inside = 0
     if not found:
         return ""
-    given, each = np.array([i for *_, i in found]), np.array([n for _, n, *_ in found], np.int64)
-    # a row or list of links alone stays as many lines as it has
-    apart = (np.bincount(given, each)[given] == 0) | (np.diff(given, prepend=-1) != 0)
-    numbers = np.cumsum(apart) - 1
-    lengths = np.bincount(numbers, each).astype(np.int64)
+    numbers, lengths = _measured(found, inside > 0)
+    if inside and not lengths.any():  # an article of links alone
+        return "\n".join(t for t, _, m, _ in found if t and m)
     parts = between(lengths, max(1, min(SURGE, int(lengths.sum()) // 2)))
     if not parts:
         return ""
     first, last = parts[0][0], parts[-1][1]
-    some = first + np.flatnonzero(lengths[first:last])  # a window may reach over lines of links alone
-    first, last = some[0], some[-1]
-    return "\n".join(t for (t, *_), i in zip(found, numbers, strict=True) if t and first <= i <= last)
+    if inside:  # fewer lines of links than a window has end no article
+        own = {i for (t, _, m, _), i in zip(found, numbers.tolist(), strict=True) if t and m}
+        before, behind = [i for i in own if i < first], [i for i in own if i >= last]
+        first = min([first, *before]) if len(before) < WINDOW else first
+        last = max([last - 1, *behind]) + 1 if len(behind) < WINDOW else last
+    return "\n".join(t for (t, _, m, _), i in zip(found, numbers, strict=True) if t and (m or not inside) and first <= i < last)
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
@@ -240,7 +281,8 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFra
 
     A null or empty page has an empty text. White space inside a block (line breaks too) is one blank,
     character references are decoded, markup that never ends is dropped. Pages are handled one by one,
-    so repeated rows give repeated rows; a column that has the name of the result is replaced.
+    whole, a very long one in a batch of its own, so repeated rows give repeated rows; a column that has
+    the name of the result is replaced.
     """
     ship(pages.sparkSession)
     pages = pages.drop(text) if text != html else pages

@@ -1,11 +1,13 @@
 """Operators on single texts and pages against plain Python."""
 
+import html as references
 import os
 import random
 import re
 import sys
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -317,6 +319,78 @@ def test_classes_around_the_main_part(page, text):
     assert mainpart.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # ids and classes made of other words, or on headings and paragraphs
+        ('<article><h2 id="search-and-navigation">T</h2><p id="share">a</p></article>', "T\na"),
+        ('<article><section class="social-science"><p>a</p></section><div class="notice-period">b</div></article>', "a\nb"),
+        ('<article><section id="related"><h2>Related</h2><p>a</p></section><section id="comments"><p>no</p></section></article>', "Related\na"),
+        ('<article><p class="notice">a</p><h2 class="banner">b</h2><p class="ad">no</p></article>', "a\nb"),
+        ('<article><p>a</p><div class="site-footer">no</div><div class="comment-list-2">no</div><div id="top-nav">no</div><div class="ad-slot">no</div></article>', "a"),
+        # comments in articles of their own, at any level
+        ('<article><p>a</p></article><article class="comment"><p>no</p></article>', "a"),
+        ('<main><article><p>a</p></article><article id="comment-7"><p>no</p></article></main>', "a"),
+        ('<main><p>a</p><article class="user-comment"><p>no</p></article></main>', "a"),
+        ('<body><article class="comment"><p>a</p></article></body>', "a"),
+        # runs of links at the ends of an article, and inside of it
+        (f"<article><ul>{'<li><a href=/>x</a>' * 6}</ul><p>{LONG}</p><p>b</p><ul>{'<li><a href=/>y</a>' * 6}</ul></article>", f"{LONG.strip()}\nb"),
+        (f"<article><p>{LONG}</p><ul>{'<li><a href=/>x</a>' * 6}</ul><p>{LONG}</p></article>", "\n".join([LONG.strip(), *"x" * 6, LONG.strip()])),
+        (f"<article><p>{LONG}</p><p><a href=/>source</a></p></article>", f"{LONG.strip()}\nsource"),
+        ("<article><p><a href=/>a</a></p><p><a href=/>b</a></p></article>", "a\nb"),
+        ("<article><h1>T</h1><p>a</p></article>", "T\na"),
+        # a form around the page
+        ("<form><main><p>a</p></main></form>", "a"), (f"<form><div><p>{LONG}</p></div></form>", LONG.strip()),
+        (f"<div><p>{LONG}</p><form><p>no</p></form></div>", LONG.strip()),
+    ],
+)
+def test_marks_and_the_ends_of_an_article(page, text):
+    assert mainpart.main_text(page) == text
+
+
+def brute_force(lengths, surge, window):
+    """First and last line between the first surge and the last dive, window by window."""
+    n, inside = len(lengths), []
+    windows = [[i for i in range(s, s + window) if 0 <= i < n] for s in range(-(window - 1), n)]
+    held = [sum(lengths[i] for i in w) for w in windows]
+    for i in range(len(windows)):
+        if held[i] >= surge and held[i] > 0:
+            a = b = i
+            while a > 0 and held[a - 1]:
+                a -= 1
+            while b + 1 < len(windows) and held[b + 1]:
+                b += 1
+            inside += [k for w in windows[a : b + 1] for k in w if lengths[k]]
+    return (min(inside), max(inside)) if inside else None
+
+
+def test_windows_by_brute_force():
+    rng = random.Random(6)
+    for _ in range(400):
+        lengths = [rng.choice([0, 0, 0, 1, 5, 40]) for _ in range(rng.randint(1, 30))]
+        parts = mainpart.between(np.array(lengths), 42)
+        want = brute_force(lengths, 42, mainpart.WINDOW)
+        assert ((parts[0][0], parts[-1][1] - 1) if parts else None) == want
+
+
+@pytest.mark.parametrize("renamed", [False, True])
+def test_given_pages_lose_no_line(renamed):
+    """Every page's article, line by line, with its element and with another name."""
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet")["html"]
+    for page in pages:
+        inner = page[page.index("<article>") : page.index("</article>")]
+        blocks = (re.sub(r"<b>", "", re.sub(r"<br>", " ", x)) for x in re.split(r"</?(?:p|h1|article)>", inner))
+        want = [" ".join(references.unescape(x).split()) for x in blocks]
+        want = [x for x in want if x]
+        if renamed:
+            page = page.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert mainpart.main_text(page).split("\n") == want
+        found = mainpart.lines(page)
+        numbers, lengths = mainpart._measured(found, not renamed)
+        first, last = brute_force(lengths.tolist(), max(1, min(mainpart.SURGE, int(lengths.sum()) // 2)), mainpart.WINDOW)
+        assert [t for (t, *_), i in zip(found, numbers, strict=True) if t and first <= i <= last] == want
+
+
 def test_lines_without_an_article_are_chosen_by_length():
     menu = "".join(f"<div><a href=/{i}>Item {i}</a></div>" for i in range(12))
     page = f"<body>{menu}<div>{LONG}</div><div>{LONG}</div>{menu}<div>fin</div></body>"
@@ -326,8 +400,9 @@ def test_lines_without_an_article_are_chosen_by_length():
 
 def test_surge_and_dive():
     assert mainpart.between(np.array([]), 5) == []
-    assert mainpart.between(np.array([0, 0, 0, 0, 9, 0, 0, 0, 0]), 5) == [(2, 7)]
-    assert mainpart.between(np.array([2, 2, 2, 0, 0, 0, 0, 0, 5]), 5) == [(0, 3), (6, 9)]
+    assert mainpart.between(np.array([0, 0, 0, 0, 9, 0, 0, 0, 0]), 5) == [(4, 5)]
+    assert mainpart.between(np.array([2, 2, 2, 0, 0, 0, 0, 0, 5]), 5) == [(0, 3), (8, 9)]
+    assert mainpart.between(np.array([1, 0, 0, 0, 1, 0, 9, 0, 0, 1, 0, 0, 0, 4]), 5) == [(4, 10)]
 
 
 def test_extract_keeps_columns(spark):
