@@ -13,6 +13,11 @@ inside the tasks. There forward-backward is a scan: the words of a text are cut
 chunk's transition matrices are multiplied for all chunks of a batch at once, messages pass from chunk
 to chunk, and the words' posteriors follow for all chunks at once. So one text of millions of words
 takes as many vectorised steps as many short ones, and the result is that of the plain recursion.
+
+A model knows so many languages at most (LANGUAGES); with more of them models stand in a row. Each learns
+the most frequent languages that no earlier one has, and all further ones as a single label; texts that
+get this label go on to the next model. So every language is learned, and what the driver, a broadcast
+or the matrices hold is bounded whatever their number.
 """
 
 from __future__ import annotations
@@ -29,10 +34,14 @@ from pyspark.sql import types as T
 
 from specloom.llm.bpe import small_batches
 from specloom.llm.common import ship
+from specloom.operators.skew import with_positions
+from specloom.workspace import materialize
 
-#: Bounds of the training sample: texts of each language, characters of each text (from a place that
-#: its hash says), texts of all languages together (one of each language at least).
+#: Bounds of the training sample of a model: texts of each language, characters of each text (from a place
+#: that its hash says), texts of all languages together (one of each language at least).
 TEXTS, CHARACTERS, TOTAL = 150, 2_000, 7_500
+#: Languages of one model, and texts that stand for the languages of later models.
+LANGUAGES, FURTHER_TEXTS = 150, 600
 #: Buckets of the hashed features, words of a lexicon, words of a training sequence and of its runs.
 FEATURES, LEXICON, SEQUENCE, RUN = 1 << 15, 1_000, 64, 16
 PASSES, BATCH, RATE, DECAY = 4, 64, 0.3, 1e-6
@@ -42,6 +51,8 @@ CHUNK, WORDS_KEPT = 32, 800_000
 #: text that needs more, chunks are longer.
 CHARACTERS_AT_ONCE, NUMBERS = 1_000_000, 40_000_000
 UNKNOWN = "und"
+#: Label of the languages that a later model knows; no language can have it as its name.
+FURTHER = "\x00further"
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -277,16 +288,65 @@ class Labeller:
 _labellers: dict[str, Labeller] = {}
 
 
-def sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> list[tuple[str, str]]:
-    """The bounded training sample: of every language, texts with the smallest hash."""
+def _windows(docs: DataFrame, text: str, lang: str, key: str) -> DataFrame:
+    """(y, h, t) of the rows that have a language and a text: it, a hash, and a bounded piece of the text."""
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    each = max(1, min(TEXTS, TOTAL // max(1, known.select(lang).distinct().count())))
-    hashed = known.select(F.col(lang).alias("y"), F.col(text).alias("t"), F.xxhash64(F.col(key)).alias("h"), F.length(text).alias("n"))
+    hashed = known.select(F.col(lang).cast("string").alias("y"), F.col(text).alias("t"), F.xxhash64(F.col(key)).alias("h"), F.length(text).alias("n"))
     start = F.pmod(F.xxhash64("h"), F.greatest(F.col("n") - CHARACTERS, F.lit(0)) + 1).cast("int") + 1
-    window = hashed.select("y", "h", F.substring("t", start, F.lit(CHARACTERS)).alias("t"))
+    return hashed.select("y", "h", F.substring("t", start, F.lit(CHARACTERS)).alias("t"))
+
+
+def languages(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(y, level): every language of a row with a text, and the number of the model that learns it."""
+    counts = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(lang).cast("string").alias("y")).count()
+    ordered = with_positions(materialize(counts, "languages"), [], [F.desc("count"), F.col("y")])
+    return ordered.select("y", F.floor((F.col("pos") - 1) / LANGUAGES).cast("int").alias("level"))
+
+
+def sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", known: DataFrame | None = None, level: int = 0) -> list[tuple[str, str]]:
+    """The bounded training sample of a model: of each of its languages, texts with the smallest hash.
+
+    ``known``: the languages by level, made here if not given. Texts of later levels are FURTHER.
+    """
+    known = languages(docs, text, lang) if known is None else known
+    mine = [r["y"] for r in known.filter(F.col("level") == level).select("y").collect()]  # LANGUAGES at most
+    windows = _windows(docs, text, lang, key)
+    each = max(1, min(TEXTS, TOTAL // max(1, len(mine))))
     rank = F.row_number().over(Window.partitionBy("y").orderBy("h", "t"))
-    chosen = window.withColumn("rank", rank).filter(F.col("rank") <= each)
-    return [(r["t"], str(r["y"])) for r in chosen.select("t", "y").collect()]
+    chosen = windows.filter(F.col("y").isin(mine)).withColumn("rank", rank).filter(F.col("rank") <= each)
+    texts = [(r["t"], r["y"]) for r in chosen.select("t", "y").collect()]
+    later = known.filter(F.col("level") > level)
+    if not later.isEmpty():
+        further = windows.join(later.select("y"), "y", "left_semi").orderBy("h", "t").limit(FURTHER_TEXTS)
+        texts += [(r["t"], FURTHER) for r in further.select("t").collect()]
+    return texts
+
+
+def identify(docs: DataFrame, learned: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
+    """``predict`` with all languages of the rows of ``learned``, by as many models as they need.
+
+    With LANGUAGES languages or fewer that is one model. Else a text's score is the product of its means:
+    for FURTHER under the earlier models, for its language under the one that knows it.
+    """
+    known = materialize(languages(learned, text, lang), "languages")
+    last = known.agg(F.max("level")).first()[0] or 0
+    rest, done, given = docs.drop("lang_pred", "score"), [], "_given"
+    while given in rest.columns:
+        given += "_"
+    rest = rest.withColumn(given, F.lit(1.0))
+    for level in range(last + 1):
+        found = predict(rest, train(sample(learned, text, lang, key, known, level)), text)
+        found = found.withColumn("score", F.col("score") * F.col(given))
+        if level == last:
+            done.append(found)
+            break
+        found = materialize(found, "level")
+        done.append(found.filter(F.col("lang_pred") != FURTHER))
+        rest = found.filter(F.col("lang_pred") == FURTHER).withColumn(given, F.col("score")).drop("lang_pred", "score")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.drop(given)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

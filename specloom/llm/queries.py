@@ -151,8 +151,7 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document; a third of them is held out from learning."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    model = langid.train(langid.sample(docs.filter(~held_out)))
-    found = langid.predict(docs.select("doc_id", "text"), model)
+    found = langid.identify(docs.select("doc_id", "text"), docs.filter(~held_out))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 

@@ -134,7 +134,7 @@ def test_query_equals_sql(spark, name):
 
 def test_every_operator_has_a_query():
     numbers = {int(m[1]) for n in entry.queries() if (m := re.match(r"op(\d+)_", n))}
-    assert numbers == set(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == set(range(1, 14)) and "pipeline" in entry.queries()
     assert {"op2_near_duplicates", "op5_top_k", "op8_urls", "op10_secrets"} == set(WITH_SQL)
 
 

@@ -515,3 +515,29 @@ def test_longer_chunks_give_the_same(model, monkeypatch):
     want = langid.Labeller(model).means(texts)
     monkeypatch.setattr(langid, "NUMBERS", 300)
     assert np.allclose(langid.Labeller(model).means(texts), want)
+
+
+def test_languages_beyond_one_model(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    monkeypatch.setattr(langid, "FURTHER_TEXTS", 40)
+    rows = [(i, t, y) for i, (t, y) in enumerate(language_texts(3, 40))] + [(-1, "the of", "en"), (-2, "", "xx"), (-3, None, "yy"), (-4, "12", None)]
+    learned = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    known = {r["y"]: r["level"] for r in langid.languages(learned).collect()}
+    assert known == {"en": 0, "de": 0, "fr": 1, "xx": 1}
+    assert {y for _, y in langid.sample(learned)} == {"en", "de", langid.FURTHER}
+    fresh = [(i, t, y, "kept") for i, (t, y) in enumerate(language_texts(4, 50))] + [(-1, None, None, "x"), (-2, "1 2", None, "x")]
+    got = langid.identify(spark.createDataFrame(fresh, "doc_id bigint, text string, lang string, _given string"), learned)
+    assert got.columns == ["doc_id", "text", "lang", "_given", "lang_pred", "score"]
+    got = got.collect()
+    assert len(got) == len(fresh) and all(0 <= r["score"] <= 1 for r in got)
+    assert np.mean([r["lang_pred"] == r["lang"] for r in got if r["lang"]]) >= 0.97
+    assert {r["lang_pred"] for r in got if not r["lang"]} == {"und"}
+
+
+def test_samples_of_many_languages_are_bounded(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('w', id % 5000, ' words of it') AS text", "concat('l', id % 5000) AS lang")
+    known = langid.languages(docs)
+    assert known.groupBy("level").count().agg({"count": "max", "level": "max"}).first().asDict() == {"max(count)": langid.LANGUAGES, "max(level)": -(-5000 // langid.LANGUAGES) - 1}
+    texts = langid.sample(docs, known=known, level=3)
+    assert len({y for _, y in texts}) == langid.LANGUAGES + 1 and len(texts) <= langid.TOTAL + langid.FURTHER_TEXTS
+    assert langid.FEATURES * (langid.LANGUAGES + 1) * 8 < 64_000_000  # bytes of the largest matrix
