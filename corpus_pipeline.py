@@ -7,6 +7,8 @@ folder and reads it again, so a lost executor costs a part of one stage.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from specloom.workspace import materialize
 
 #: Least mean posterior of the language that a text is kept with.
 LEAST_SCORE = 0.4
+#: Languages that are kept; None: all that are learned.
+WANTED: Collection[str] | None = None
 
 ORACLE_SQL = None  # models, hashes and byte pairs; tests hold it against a brute-force version
 
@@ -37,38 +41,44 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(docs, table(spark, sf_dir, "labels")).filter("kept").select(given)
 
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the labelled ones are in; texts without a letter go.
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str, wanted: Collection[str] | None = WANTED) -> DataFrame:
+    """Documents in one of the wanted languages, or in any that the labelled ones are in; texts without a letter go.
 
     Where no document has a language there is nothing to judge by, and all with a letter stay.
     """
-    model = langid.train(langid.sample(docs))
-    if not model.labels:
+    if docs.filter("lang IS NOT NULL AND text IS NOT NULL").isEmpty():
         return docs.filter(F.col("text").rlike(r"\p{L}"))
+    learned = docs.select("doc_id", "text", "lang")
     docs, given = aside(docs, "lang_pred", "score")
-    found = langid.predict(docs, model)
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(given)
+    found = langid.identify(docs, learned)
+    good = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    if wanted is not None:
+        good &= F.col("lang_pred").isin(*wanted)
+    return found.filter(good).select(given)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id.
 
-    Of rows that share an id one stays, the first in order of its columns. Rows without an id stay.
+    Of rows that share an id one stays, the first in order of its columns (as JSON text). Rows without an
+    id stay.
     """
     docs, given = aside(docs, "_row")
     kept = materialize(neardup.near_duplicates(docs).filter("kept").select("doc_id").filter("doc_id IS NOT NULL").distinct(), "kept")
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    order = Window.partitionBy("doc_id").orderBy("text", F.to_json(F.struct(F.lit(0).alias("_"), *others)))
     first = docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).filter("_row = 1")
     return first.select(given).unionByName(docs.filter("doc_id IS NULL").select(given))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by the kind in brackets; n_chars follows."""
+    """All documents, secrets in their texts replaced by the kind in brackets; a column n_chars follows."""
     docs, given = aside(docs, "secret_spans")
     found = secretscan.scan(docs)
     some = F.size("secret_spans") > 0
     clean = found.withColumn("text", secretscan.redacted(F.col("text"), F.col("secret_spans")))
-    clean = clean.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return clean.select(given)
 
 
