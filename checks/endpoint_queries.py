@@ -525,8 +525,7 @@ def generate_in_parts(spark, folder):
 
 
 def report(run):
-    paths = F.size(F.map_keys(F.from_json(sp.paths_text(c("spec_json")), sp.TEXT_MAP)))
-    counted = build.whole_documents(run.specs).select("site", paths.cast("long").alias("paths_count"))
+    counted = run.verdicts.select("site", "paths_count")
     summary = run.summary.select("site", "success")
     report = run.coverage.select(
         "site", "total_endpoints", "confidence_high", F.round("quality_score", 6).alias("quality_score")

@@ -6,7 +6,7 @@ site: only the operations of one path, a bounded run of lines, and documents bel
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specloom.functions import jsontext as j
@@ -186,10 +186,12 @@ HEAD, PATHS, AFTER_PATHS, SCHEMES, AFTER_SCHEMES, TAGS, AFTER_TAGS, END = range(
 
 
 def build_lines(
-    sites: DataFrame, metadata: DataFrame, endpoints: DataFrame, schemes: DataFrame
+    sites: DataFrame, metadata: DataFrame, operations: DataFrame, schemes: DataFrame
 ) -> DataFrame:
-    """(site, section, pos, text): concatenated in order, the documents of all sites."""
-    operations = materialize(unique_operations(endpoints), "operations")
+    """(site, section, pos, text): concatenated in order, the documents of all sites.
+
+    operations: those of ``unique_operations``, written.
+    """
     tags = distinct_tags(operations)
     sites = sites.select("site").distinct()
 
@@ -285,36 +287,43 @@ def assemble_documents(
 
 
 def build_specs(
-    sites: DataFrame, results: DataFrame, endpoints: DataFrame, schemes: DataFrame, **limits
+    sites: DataFrame,
+    results: DataFrame,
+    endpoints: DataFrame,
+    schemes: DataFrame,
+    operations: DataFrame | None = None,
+    **limits,
 ) -> DataFrame:
-    """(site, part, spec_json) out of page results and their flattened endpoints and schemes."""
-    lines = build_lines(sites, first_non_empty_metadata(results), endpoints, schemes)
+    """(site, part, spec_json) out of page results and their flattened endpoints and schemes.
+
+    ``operations``: the written ``unique_operations`` of the endpoints, if there are any yet.
+    """
+    if operations is None:
+        operations = materialize(unique_operations(endpoints), "operations")
+    lines = build_lines(sites, first_non_empty_metadata(results), operations, schemes)
     return assemble_documents(lines, **limits)
 
 
-def build_filtered_specs(sites: DataFrame, filtered: DataFrame, **limits) -> DataFrame:
-    """Descriptions of filtered endpoints (with ``score``): rank order, no schemes, no metadata."""
-    spark = filtered.sparkSession
-    metadata = spark.createDataFrame(
-        [], "site STRING, api_title STRING, api_description STRING, base_url STRING"
-    )
-    schemes = spark.createDataFrame(
+def no_schemes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
         [],
         "site STRING, url STRING, seq INT, type STRING, name STRING, location STRING, "
         "scheme STRING, bearer_format STRING, description STRING",
     )
-    return assemble_documents(build_lines(sites, metadata, filtered, schemes), **limits)
 
 
-def whole_documents(specs: DataFrame) -> DataFrame:
-    """(site, spec_json) with the parts of large documents joined, for reports on whole documents.
-
-    A document is the description of one site, below the 2 GB that a value can have.
-    """
-    parts = specs.filter("part > 0").groupBy("site").agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("part", "spec_json")))["spec_json"], "").alias("spec_json")
+def build_filtered_specs(
+    sites: DataFrame, filtered: DataFrame, operations: DataFrame | None = None, **limits
+) -> DataFrame:
+    """Descriptions of filtered endpoints (with ``score``): rank order, no schemes, no metadata."""
+    spark = filtered.sparkSession
+    metadata = spark.createDataFrame(
+        [], "site STRING, api_title STRING, api_description STRING, base_url STRING"
     )
-    return specs.filter("part = 0").select("site", "spec_json").unionByName(parts)
+    if operations is None:
+        operations = materialize(unique_operations(filtered), "operations")
+    lines = build_lines(sites, metadata, operations, no_schemes(spark))
+    return assemble_documents(lines, **limits)
 
 
 def with_file_facts(specs: DataFrame) -> DataFrame:

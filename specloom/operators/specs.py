@@ -1,7 +1,10 @@
 """Tables of API descriptions: parsing, exploding, coverage, advice, validation, comparison.
 
-A description is one row, so everything here is an expression over that row; only the comparison of
-two tables shuffles.
+Reports work on rows. ``walk`` reads each text once and returns a row per operation (or per path or
+description that has none); ``operation_rows`` makes the same rows out of endpoints that are not
+assembled yet. Coverage and advice are aggregates over them, rules that need other rows (an id that is
+repeated, a reference without a target) are decided by counts per name. So no report needs a whole
+description, and the rows of a large one are spread over all tasks.
 """
 
 from __future__ import annotations
@@ -13,7 +16,8 @@ from specloom import schemas
 from specloom.functions import jsontext as j
 from specloom.functions import specs as s
 from specloom.functions.text import strip
-from specloom.operators.merge import explode_rows
+from specloom.operators.build import OPENAPI_VERSION, build_operation, build_security_scheme
+from specloom.operators.merge import explode_rows, number_security_schemes
 
 # Advice sentences, with the coverage below which the first four are given.
 COVERAGE_ADVICE = (
@@ -121,15 +125,6 @@ def _given(op: Column, name: str) -> Column:
     return F.when(value.isNotNull(), j.is_truthy(j.as_text(value))).otherwise(False)
 
 
-def _count(flags: Column, field: str) -> Column:
-    return F.size(F.filter(flags, lambda e: e[field])).cast("long")
-
-
-def _lacks_security(spec: Column) -> Column:
-    keys = F.map_keys(F.from_json(spec, s.TEXT_MAP))
-    return ~F.array_contains(keys, "security") & ~F.array_contains(keys, "components")
-
-
 def _malformed_content(holder: Column) -> Column:
     content = j.member(holder, "content")
 
@@ -158,90 +153,17 @@ def _malformed(op: Column) -> Column:
     )
 
 
-def spec_coverage(specs: DataFrame, key: str = "spec_id") -> DataFrame:
-    """Operation counts, percentages (one decimal) and advice per description."""
-    parsed = parse_specs(specs.select(key, "spec_json"))
-    spec = F.col("spec")
-    flags = F.transform(
-        s.operations(spec),
-        lambda e: F.struct(
-            _malformed(e["op"]).alias("malformed"),
-            _given(e["op"], "parameters").alias("parameters"),
-            _given(e["op"], "requestBody").alias("request_body"),
-            _given(e["op"], "responses").alias("responses"),
-            (_has_media_example(e["op"]["requestBody"]) | _has_response_example(e["op"]))
-            .alias("examples"),
-        ),
-    )
-    top = F.from_json(spec, s.TEXT_MAP)
-    items = F.map_values(F.from_json(s.paths_text(spec), s.TEXT_MAP))
-    bad_item = F.exists(items, lambda i: ~F.coalesce(i.startswith("{"), F.lit(False)))
-    bad_paths = F.map_contains_key(top, "paths") & s.paths_text(spec).isNull()
-    walked = parsed.select(
-        key,
-        spec,
-        F.col("error"),
-        (F.coalesce(bad_paths, F.lit(False)) | F.coalesce(bad_item, F.lit(False))).alias("bad"),
-        F.coalesce(flags, F.array().cast("array<struct<malformed:boolean,parameters:boolean,"
-                                         "request_body:boolean,responses:boolean,"
-                                         "examples:boolean>>")).alias("flags"),
-    )
-    bad = F.col("bad") | F.exists("flags", lambda e: e["malformed"])
-    names = [name for name, _, _ in COVERAGE_ADVICE]
-    counted = walked.select(
-        key,
-        spec,
-        F.when(F.col("error").isNotNull() | bad, "Analysis failed").alias("error"),
-        F.size("flags").cast("long").alias("n"),
-        *[_count(F.col("flags"), name).alias(f"with_{name}") for name in names],
-    )
-    failed, n = F.col("error").isNotNull(), F.col("n")
-    share = {name: F.when(n > 0, F.col(f"with_{name}") / n * 100) for name in names}
-    advice = [F.when(share[name] < low, text) for name, low, text in COVERAGE_ADVICE]
-    advice.append(F.when(_lacks_security(spec), SECURITY_ADVICE))
-    return counted.select(
-        key,
-        F.when(failed, 0).otherwise(n).cast("long").alias("total_endpoints"),
-        *[
-            F.when(~failed, F.bround(F.coalesce(share[name], F.lit(0.0)), 1)).alias(f"pct_{name}")
-            for name in names
-        ],
-        F.when(~failed, F.array_compact(F.array(*advice))).alias("recommendations"),
-        "error",
-    )
-
-
-def spec_recommendations(specs: DataFrame, key: str = "spec_id") -> DataFrame:
-    """Advice on missing descriptions, response examples and security; none without ``paths``."""
-    parsed = specs.select(key, j.canonical(F.col("spec_json")).alias("spec"))
-    spec = F.col("spec")
-    flags = F.transform(
-        s.operations(spec, schemas.ADVICE_METHODS, any_case=False),
-        lambda e: F.struct(
-            (~_given(e["op"], "description")).alias("descriptions"),
-            (~_has_response_example(e["op"])).alias("examples"),
-        ),
-    )
-    walked = parsed.select(key, spec, flags.alias("flags"))
-    total = F.size("flags")
-    advice = [
-        F.when(_count(F.col("flags"), name) > 0,
-               F.format_string(text, _count(F.col("flags"), name), total))
-        for name, text in MISSING_ADVICE
-    ]
-    advice.append(F.when(_lacks_security(spec), SECURITY_ADVICE))
-    none = F.array().cast("array<string>")
-    return walked.select(
-        key,
-        F.when(s.has_paths(spec), F.array_compact(F.array(*advice)))
-        .otherwise(none)
-        .alias("recommendations"),
-    )
-
-
-# -- validation -----------------------------------------------------------------------------------
+# -- rows of descriptions -------------------------------------------------------------------------
 
 VIOLATION = "STRUCT<rule: STRING, location: STRING>"
+# What a security scheme of each type must have, and where an API key may be.
+SCHEME_FIELDS = {"apiKey": ("name", "in"), "http": ("scheme",), "oauth2": ("flows",), "openIdConnect": ("openIdConnectUrl",)}
+KEY_PLACES = ("query", "header", "cookie")
+STATUS_CODE = r"^([1-5]([0-9][0-9]|XX)|default|x-.*)$"
+# Rules that other rows of the description decide: by a second row of the name, by a missing target.
+SCHEME_RULE = "security_scheme_fields"
+REPEATED, UNRESOLVED, TARGET, KNOWN = "operation_id_unique", "reference_resolved", "target", "known"
+REFERENCE = r'"\$ref"\s*:\s*"(#/components/[^"/]+/[^"/]+)'
 
 
 def _violation(rule: str, broken: Column, location: Column) -> Column:
@@ -251,157 +173,330 @@ def _violation(rule: str, broken: Column, location: Column) -> Column:
     )
 
 
-def _operation_violations(item_parameters: Column, e: Column) -> Column:
-    op = e["op"]
-    where = F.concat(F.upper(e["method"]), F.lit(" "), e["path"])
-    responses = j.as_map(op["responses"])
-    parameters = F.concat(
-        F.coalesce(j.as_array(op["parameters"]), F.array().cast("array<variant>")),
-        F.coalesce(item_parameters, F.array().cast("array<variant>")),
+def _named(rule: str, locations: Column) -> Column:
+    """A violation (or what decides one) for each of the names."""
+    each = F.transform(locations, lambda x: F.struct(F.lit(rule).alias("rule"), x.alias("location")).cast(VIOLATION))
+    return F.coalesce(each, F.array().cast(f"array<{VIOLATION}>"))
+
+
+def _pointers(text: Column) -> Column:
+    """Targets among the components that a text refers to."""
+    plain = F.transform(
+        F.regexp_extract_all(text, F.lit(REFERENCE)),
+        lambda r: F.replace(F.replace(r, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")),
     )
-    inline = F.filter(parameters, lambda v: j.member(v, "$ref").isNull())
-    has_reference = F.exists(parameters, lambda v: j.member(v, "$ref").isNotNull())
-    declared = F.transform(
-        F.filter(
-            inline,
-            lambda v: (j.as_string(j.member(v, "in")) == "path")
-            & F.try_variant_get(v, "$.required", "boolean"),
-        ),
-        lambda v: j.as_string(j.member(v, "name")),
+    return F.when(F.contains(text, F.lit("$ref")), F.array_distinct(plain))
+
+
+def _repeats(names: Column) -> Column:
+    """Whether a name is in the list twice."""
+    some = F.array_compact(names)
+    return F.size(F.array_distinct(some)) < F.size(some)
+
+
+def _array_without_items(schema: Column) -> Column:
+    return F.coalesce(j.as_string(j.member(schema, "type")) == "array", F.lit(False)) & j.member(schema, "items").isNull()
+
+
+def lacks_fields(scheme: Column) -> Column:
+    """Whether a security scheme (VARIANT) has no known type or lacks a field that its type needs."""
+    type_ = j.as_string(j.member(scheme, "type"))
+    out = ~F.coalesce(type_.isin(*SCHEME_FIELDS), F.lit(False))
+    for name, fields in SCHEME_FIELDS.items():
+        missing = F.lit(False)
+        for field in fields:
+            missing = missing | j.member(scheme, field).isNull()
+        if name == "apiKey":
+            missing = missing | ~F.coalesce(j.as_string(j.member(scheme, "in")).isin(*KEY_PLACES), F.lit(False))
+        out = out | F.coalesce(type_ == name, F.lit(False)) & missing
+    return out & j.member(scheme, "$ref").isNull()
+
+
+def _document_violations(m: Column, version: Column, paths: Column) -> Column:
+    """What a description breaks above its paths; ``m``: its members as texts, null if it is no object."""
+    nowhere, is_json = F.lit(""), m.isNotNull()
+    info = F.from_json(m["info"], j.variants("title", "version"))
+    schemes = F.map_entries(F.from_json(F.from_json(m["components"], "securitySchemes STRING")["securitySchemes"], s.VALUE_MAP))
+    types = F.map_entries(F.from_json(F.from_json(m["components"], "schemas STRING")["schemas"], s.VALUE_MAP))
+    tags = F.transform(F.from_json(m["tags"], "ARRAY<STRUCT<name: STRING>>"), lambda t: t["name"])
+
+    key = lambda entries: F.transform(entries, lambda e: e["key"])
+    single = F.array(
+        _violation("is_json_object", ~is_json, nowhere),
+        _violation("openapi_version", is_json & ~F.coalesce(F.rlike(version, F.lit(r"^3\.[0-9]+")), F.lit(False)), nowhere),
+        _violation("info_title", is_json & j.as_string(info["title"]).isNull(), nowhere),
+        _violation("info_version", is_json & j.as_string(info["version"]).isNull(), nowhere),
+        _violation("paths_required", is_json & paths.isNull(), nowhere),
+        _violation("tag_unique", _repeats(tags), nowhere),
     )
-    placeholders = F.regexp_extract_all(e["path"], F.lit(r"\{([^{}/]*)\}"))
-    bad_place = F.exists(
-        inline,
-        lambda v: ~F.coalesce(
-            j.as_string(j.member(v, "in")).isin(*schemas.PARAMETER_LOCATIONS), F.lit(False)
-        ),
+    return F.concat(
+        F.array_compact(single),
+        _named(SCHEME_RULE, key(F.filter(schemes, lambda e: lacks_fields(e["value"])))),
+        _named("array_items", key(F.filter(types, lambda e: _array_without_items(e["value"])))),
+    )
+
+
+def _version(spec: Column, m: Column) -> Column:
+    """The version, if it is a string; what could be another value is read again with its type."""
+    text = m["openapi"]
+    unclear = F.rlike(text, F.lit(r"^([-+0-9.eE]*|true|false|null|[\[{].*)$"))
+    return F.when(unclear, j.as_string(F.from_json(spec, j.variants("openapi"))["openapi"])).otherwise(text)
+
+
+def _operation_violations(shared: Column, path: Column, method: Column, op: Column, text: Column) -> Column:
+    where = F.concat(F.upper(method), F.lit(" "), path)
+    responses, body = j.as_map(op["responses"]), op["requestBody"]
+    nothing = F.array().cast("array<variant>")
+    own = F.coalesce(j.as_array(op["parameters"]), nothing)
+    parameters = F.concat(own, F.coalesce(j.as_array(shared), nothing))
+    read = F.transform(parameters, lambda v: j.members(v, "$ref", "in", "name", "required", "schema"))
+    inline = F.filter(read, lambda v: v["$ref"].isNull())
+    has_reference = F.exists(read, lambda v: v["$ref"].isNotNull())
+    declared = F.transform(
+        F.filter(inline, lambda v: (j.as_string(v["in"]) == "path") & F.try_variant_get(v["required"], "$", "boolean")),
+        lambda v: j.as_string(v["name"]),
     )
+    placeholders = F.regexp_extract_all(path, F.lit(r"\{([^{}/]*)\}"))
+    bad_place = F.exists(inline, lambda v: ~F.coalesce(j.as_string(v["in"]).isin(*schemas.PARAMETER_LOCATIONS), F.lit(False)))
 
     def bad_type(v):
-        given = j.member(j.member(v, "schema"), "type")
+        given = j.member(v["schema"], "type")
         return j.is_string(given) & ~j.text(given).isin(*schemas.DATA_TYPES)
 
+    names = F.transform(own, lambda v: F.concat(j.as_string(j.member(v, "in")), F.lit(" "), j.as_string(j.member(v, "name"))))
     bad_description = F.exists(
         F.map_values(responses),
-        lambda r: j.as_string(j.member(r, "description")).isNull()
-        & j.member(r, "$ref").isNull(),
+        lambda r: j.as_string(j.member(r, "description")).isNull() & j.member(r, "$ref").isNull(),
+    )
+    media = F.concat(
+        F.array(body), F.coalesce(F.map_values(responses), nothing)
+    )
+    schemas_of = lambda holder: F.transform(F.map_values(j.as_map(j.member(holder, "content"))), lambda m: j.member(m, "schema"))
+    lists = F.exists(inline, lambda v: _array_without_items(v["schema"])) | F.exists(
+        media, lambda h: F.coalesce(F.exists(schemas_of(h), _array_without_items), F.lit(False))
     )
-    return F.array(
+    single = F.array(
         _violation("operation_is_object", op.isNull(), where),
-        _violation(
-            "responses_required",
-            op.isNotNull() & (F.coalesce(F.size(responses), F.lit(0)) < 1),
-            where,
-        ),
+        _violation("responses_required", op.isNotNull() & (F.coalesce(F.size(responses), F.lit(0)) < 1), where),
         _violation("response_description", bad_description, where),
-        _violation(
-            "path_parameters_declared",
-            (F.size(F.array_except(placeholders, declared)) > 0)
-            & ~F.coalesce(has_reference, F.lit(False)),
-            where,
-        ),
+        _violation("path_parameters_declared", (F.size(F.array_except(placeholders, declared)) > 0) & ~F.coalesce(has_reference, F.lit(False)), where),
         _violation("parameter_location", bad_place, where),
         _violation("parameter_type", F.exists(inline, bad_type), where),
+        _violation("parameter_unique", _repeats(names), where),
+        _violation("request_body_content", j.is_object(body) & j.member(body, "content").isNull() & j.member(body, "$ref").isNull(), where),
+        _violation("status_code", F.exists(F.map_keys(responses), lambda k: ~F.rlike(k, F.lit(STATUS_CODE))), where),
+        _violation("array_items", lists, where),
+    )
+    return F.concat(
+        F.array_compact(single),
+        _named(REPEATED, F.array_compact(F.array(j.as_string(op["operationId"])))),
+        _named(UNRESOLVED, _pointers(text)),
     )
 
 
-def _with_violations(specs: DataFrame, key: str) -> DataFrame:
-    """(key, version, paths, violations): the rules are checked inside the row."""
-    parsed = specs.select(key, j.canonical(F.col("spec_json")).alias("spec"))
-    parsed = parsed.withColumn(
-        "spec", F.when(strip(F.col("spec")).startswith("{"), F.col("spec"))
-    )
-    spec = F.col("spec")
-    value = F.from_json(spec, s.VALUE_MAP)
-    info = F.try_element_at(value, F.lit("info"))
-    version = j.as_string(F.try_element_at(value, F.lit("openapi")))
-    paths = F.map_entries(F.from_json(s.paths_text(spec), s.VALUE_MAP))
-    item_parameters = F.map_from_entries(
+def walk(specs: DataFrame, key: str = "spec_id", column: str = "spec_json") -> DataFrame:
+    """(key, is_json, version, has_paths, paths, secured, bad, path, method, text, op, shared, found).
+
+    A row per operation; paths without any and descriptions without paths are rows of their own. What is
+    known of the whole description stands in its first row and is null in the others: ``paths``, their
+    number, and what it breaks (``found``). ``bad``: paths or a path item are no object. ``op``: the
+    operation's members as VARIANT, null if it is no object; ``shared``: the parameters of its path.
+    """
+    parsed = specs.select(key, j.canonical(F.col(column)).alias("spec"))
+    m = F.when(strip(F.col("spec")).startswith("{"), F.from_json("spec", s.TEXT_MAP))
+    top = parsed.select(key, "spec", m.alias("m"))
+    paths = F.when(F.coalesce(F.col("m")["paths"].startswith("{"), F.lit(False)), F.col("m")["paths"])
+    top = top.select(key, "spec", "m", F.from_json(paths, s.TEXT_MAP).alias("items"))
+    items = top.select(key, "spec", "m", "items", F.posexplode_outer(F.map_entries("items")).alias("at", "item"))
+    is_item = F.coalesce(F.col("item.value").startswith("{"), F.lit(False))
+    members = items.select(
+        key, "spec", "m", "items", "at", F.col("item.key").alias("path"), is_item.alias("is_item"),
+        F.when(is_item, F.from_json("item.value", s.TEXT_MAP)).alias("members"),
+    )
+    methods = F.filter(F.map_entries("members"), lambda e: F.lower(e["key"]).isin(*schemas.HTTP_METHODS))
+    rows = members.select(key, "spec", "m", "items", "at", "path", "is_item", "members", F.posexplode_outer(methods).alias("number", "o"))
+    first = F.coalesce(F.col("number") == 0, F.lit(True))
+    head = first & F.coalesce(F.col("at") == 0, F.lit(True))
+    text, version = F.col("o.value"), _version(F.col("spec"), F.col("m"))
+    keys = F.map_keys("m")
+    bad = F.map_contains_key("m", "paths") & F.col("items").isNull()
+    components = F.from_json(F.col("m")["components"], "MAP<STRING, MAP<STRING, STRING>>")
+    targets = F.flatten(
         F.transform(
-            paths,
-            lambda e: F.struct(e["key"], j.as_array(j.member(e["value"], "parameters"))),
+            F.map_entries(components),
+            lambda e: F.transform(F.map_keys(e["value"]), lambda k: F.concat(F.lit("#/components/"), e["key"], F.lit("/"), k)),
         )
     )
-    everywhere = s.operations(spec, schemas.HTTP_METHODS, any_case=False)
-    walked = parsed.select(
+    inside = F.from_json(F.col("m")["components"], "MAP<STRING, STRING>")
+    refers = F.flatten(F.transform(F.map_values(inside), _pointers))
+    has_refs = F.contains("spec", F.lit("$ref"))
+    decided = F.when(has_refs, F.concat(_named(TARGET, targets), _named(UNRESOLVED, refers)))
+    nothing = F.array().cast(f"array<{VIOLATION}>")
+    shared = F.from_json(F.concat(F.lit('{"v":'), F.col("members")["parameters"], F.lit("}")), "v VARIANT")["v"]
+    return rows.select(
         key,
-        spec,
-        version.alias("version"),
-        info.alias("info"),
-        F.map_keys(F.from_json(s.paths_text(spec), s.TEXT_MAP)).alias("paths"),
-        F.transform(
-            everywhere,
-            lambda e: F.struct(
-                e["path"].alias("path"), e["method"].alias("method"), e["op"].alias("op"),
-                F.try_element_at(item_parameters, e["path"]).alias("shared"),
-            ),
-        ).alias("ops"),
+        F.when(head, F.col("m").isNotNull()).alias("is_json"),
+        F.when(head, version).alias("version"),
+        F.when(head, F.coalesce(F.map_contains_key("m", "paths"), F.lit(False))).alias("has_paths"),
+        F.when(head, F.coalesce(F.size("items"), F.lit(0))).alias("paths"),
+        F.when(head, F.coalesce(F.array_contains(keys, "security") | F.array_contains(keys, "components"), F.lit(False))).alias("secured"),
+        F.when(first, F.coalesce(bad, F.lit(False)) | (F.col("path").isNotNull() & ~F.col("is_item"))).alias("bad"),
+        "path",
+        F.col("o.key").alias("method"),
+        text.alias("text"),
+        F.when(text.startswith("{"), F.from_json(text, s.OPERATION)).alias("op"),
+        F.when(F.col("members")["parameters"].startswith("["), shared).alias("shared"),
+        F.when(head, F.concat(_document_violations(F.col("m"), version, F.col("items")), F.coalesce(decided, nothing))).alias("found"),
     )
-    nowhere = F.lit("")
-    is_json = spec.isNotNull()
-    title, release = j.member(F.col("info"), "title"), j.member(F.col("info"), "version")
-    of_document = F.array(
-        _violation("is_json_object", ~is_json, nowhere),
-        _violation(
-            "openapi_version",
-            is_json & ~F.coalesce(F.rlike("version", F.lit(r"^3\.[0-9]+")), F.lit(False)),
-            nowhere,
-        ),
-        _violation("info_title", is_json & j.as_string(title).isNull(), nowhere),
-        _violation("info_version", is_json & j.as_string(release).isNull(), nowhere),
-        _violation("paths_required", is_json & F.col("paths").isNull(), nowhere),
-    )
-    of_paths = F.transform(
-        F.col("paths"), lambda k: _violation("path_starts_with_slash", ~k.startswith("/"), k)
+
+
+def operation_rows(sites: DataFrame, operations: DataFrame, schemes: DataFrame) -> DataFrame:
+    """``walk`` over the descriptions that are built of these, without building them; the key is ``site``.
+
+    operations: the deduplicated ones. What is known of a whole description stands in a row of its own.
+    """
+    null = {"is_json": "boolean", "version": "string", "has_paths": "boolean", "paths": "int", "secured": "boolean", "path": "string",
+            "method": "string", "text": "string", "shared": "variant", "found": f"array<{VIOLATION}>"}
+
+    def rows(frame: DataFrame, **given: Column) -> DataFrame:
+        op = F.from_json(given.get("text", F.lit(None).cast("string")), s.OPERATION)
+        columns = [given.get(name, F.lit(None)).cast(type_).alias(name) for name, type_ in null.items()]
+        return frame.select("site", *columns[:5], F.lit(False).alias("bad"), *columns[5:8], op.alias("op"), *columns[8:])
+
+    built = operations.select("site", "norm_path", "method", build_operation().alias("text"))
+    named = number_security_schemes(schemes).select("site", "scheme_name", F.parse_json(build_security_scheme()).alias("scheme"))
+    target = F.concat(F.lit("#/components/securitySchemes/"), "scheme_name")
+    broken = F.array_compact(F.array(_violation(SCHEME_RULE, lacks_fields(F.col("scheme")), F.col("scheme_name")), _violation(TARGET, F.lit(True), target)))
+    counted = operations.select("site", "norm_path").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("paths"))
+    secured = schemes.select("site").distinct().withColumn("secured", F.lit(True))
+    heads = sites.select("site").distinct().join(counted, "site", "left").join(secured, "site", "left")
+    yes = F.lit(True)
+    return (
+        rows(heads, is_json=yes, version=F.lit(OPENAPI_VERSION), has_paths=yes, paths=F.coalesce("paths", F.lit(0)), secured=F.coalesce("secured", F.lit(False)))
+        .unionByName(rows(built, path=F.col("norm_path"), method=F.col("method"), text=F.col("text")))
+        .unionByName(rows(named, found=broken))
     )
-    of_operations = F.flatten(
-        F.transform(F.col("ops"), lambda e: _operation_violations(e["shared"], e))
+
+
+# -- reports on rows ------------------------------------------------------------------------------
+
+
+def coverage_of(rows: DataFrame, key: str = "spec_id") -> DataFrame:
+    """Operation counts, percentages (one decimal) and advice per description."""
+    op = F.col("op")
+    counts = F.coalesce(F.lower("method").isin(*schemas.SPEC_METHODS), F.lit(False))
+    flags = {
+        "parameters": _given(op, "parameters"),
+        "request_body": _given(op, "requestBody"),
+        "responses": _given(op, "responses"),
+        "examples": _has_media_example(op["requestBody"]) | _has_response_example(op),
+    }
+    names = [name for name, _, _ in COVERAGE_ADVICE]
+    flagged = rows.select(
+        key, "is_json", "secured", counts.alias("counts"),
+        (F.coalesce("bad", F.lit(False)) | counts & _malformed(op)).alias("bad"),
+        *[(counts & flags[name]).alias(name) for name in names],
+    )
+    counted = flagged.groupBy(key).agg(
+        F.bool_and(F.coalesce("is_json", F.lit(True))).alias("is_json"),
+        F.bool_or(F.coalesce("secured", F.lit(False))).alias("secured"),
+        F.bool_or("bad").alias("bad"),
+        F.count_if("counts").alias("n"),
+        *[F.count_if(name).alias(f"with_{name}") for name in names],
     )
-    ids = F.array_sort(
-        F.array_compact(
-            F.transform(F.col("ops"), lambda e: j.as_string(e["op"]["operationId"]))
-        )
+    failed, n = ~F.col("is_json") | F.col("bad"), F.col("n")
+    share = {name: F.when(n > 0, F.col(f"with_{name}") / n * 100) for name in names}
+    advice = [F.when(share[name] < low, text) for name, low, text in COVERAGE_ADVICE]
+    advice.append(F.when(~F.col("secured"), SECURITY_ADVICE))
+    return counted.select(
+        key,
+        F.when(failed, 0).otherwise(n).cast("long").alias("total_endpoints"),
+        *[F.when(~failed, F.bround(F.coalesce(share[name], F.lit(0.0)), 1)).alias(f"pct_{name}") for name in names],
+        F.when(~failed, F.array_compact(F.array(*advice))).alias("recommendations"),
+        F.when(failed, "Analysis failed").alias("error"),
     )
-    # Neighbours in sorted order: each repeated id once.
-    repeated = F.array_distinct(
-        F.array_compact(
-            F.zip_with(ids, F.slice(ids, 2, F.size(ids)), lambda a, b: F.when(a == b, a))
-        )
+
+
+def recommendations_of(rows: DataFrame, key: str = "spec_id") -> DataFrame:
+    """Advice on missing descriptions, response examples and security; none without ``paths``."""
+    op = F.col("op")
+    counts = F.coalesce(F.col("method").isin(*schemas.ADVICE_METHODS), F.lit(False))
+    flagged = rows.select(
+        key, "has_paths", "secured", counts.alias("counts"),
+        (counts & ~_given(op, "description")).alias("descriptions"),
+        (counts & ~_has_response_example(op)).alias("examples"),
+    )
+    counted = flagged.groupBy(key).agg(
+        F.bool_or(F.coalesce("has_paths", F.lit(False))).alias("has_paths"),
+        F.bool_or(F.coalesce("secured", F.lit(False))).alias("secured"),
+        F.count_if("counts").alias("n"),
+        *[F.count_if(name).alias(name) for name, _ in MISSING_ADVICE],
     )
-    of_ids = F.transform(repeated, lambda i: _violation("operation_id_unique", F.lit(True), i))
+    advice = [F.when(F.col(name) > 0, F.format_string(text, F.col(name), F.col("n"))) for name, text in MISSING_ADVICE]
+    advice.append(F.when(~F.col("secured"), SECURITY_ADVICE))
+    given = F.when(F.col("has_paths"), F.array_compact(F.array(*advice)))
+    return counted.select(key, F.coalesce(given, F.array().cast("array<string>")).alias("recommendations"))
+
+
+def violations_of(rows: DataFrame, key: str = "spec_id") -> DataFrame:
+    """One row (key, rule, location) per broken rule and place."""
     nothing = F.array().cast(f"array<{VIOLATION}>")
-    found = F.array_compact(
-        F.concat(
-            of_document,
-            F.coalesce(of_paths, nothing),
-            F.coalesce(of_operations, nothing),
-            F.coalesce(of_ids, nothing),
-        )
-    )
-    return walked.select(key, "version", "paths", found.alias("violations"))
+    counts = F.coalesce(F.col("method").isin(*schemas.HTTP_METHODS), F.lit(False))
+    slash = F.array_compact(F.array(_violation("path_starts_with_slash", ~F.col("path").startswith("/"), F.col("path"))))
+    of_operation = F.when(counts, _operation_violations(F.col("shared"), F.col("path"), F.col("method"), F.col("op"), F.col("text")))
+    found = F.concat(F.coalesce("found", nothing), slash, F.coalesce(of_operation, nothing))
+    each = rows.select(key, F.explode_outer(found).alias("v")).filter(F.col("v").isNotNull()).select(key, "v.*")
+    rule = F.when(F.col("rule") == TARGET, UNRESOLVED).otherwise(F.col("rule"))
+    met = each.groupBy(key, rule.alias("rule"), "location").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rule") == TARGET).alias("targets"))
+    repeated = (F.col("rule") != REPEATED) | (F.col("n") > 1)
+    return met.filter(repeated & (F.col("targets") == 0)).select(key, "rule", "location")
+
+
+def verdicts_of(rows: DataFrame, violations: DataFrame, key: str = "spec_id") -> DataFrame:
+    """(key, is_valid, n_errors, rules, paths_count): whether a description breaks no rule, at how many
+    places it does, which rules it breaks, and its number of paths."""
+    broken = violations.groupBy(key).agg(F.count(F.lit(1)).alias("n_errors"), F.array_sort(F.collect_set("rule")).alias("rules"))
+    judged = rows.filter("is_json IS NOT NULL").select(key, "paths").join(broken, key, "left")
+    n = F.coalesce("n_errors", F.lit(0)).cast("long")
+    rules = F.coalesce("rules", F.array().cast("array<string>"))
+    return judged.select(key, (n == 0).alias("is_valid"), n.alias("n_errors"), rules.alias("rules"), F.col("paths").cast("long").alias("paths_count"))
+
+
+def spec_coverage(specs: DataFrame, key: str = "spec_id") -> DataFrame:
+    """``coverage_of`` descriptions given as text."""
+    return coverage_of(walk(specs, key), key)
+
+
+def spec_recommendations(specs: DataFrame, key: str = "spec_id") -> DataFrame:
+    """``recommendations_of`` descriptions given as text."""
+    return recommendations_of(walk(specs, key), key)
 
 
 def spec_violations(specs: DataFrame, key: str = "spec_id") -> DataFrame:
-    """One row (key, rule, location) per broken rule of each description."""
-    return explode_rows(_with_violations(specs, key).select(key, "violations"), "violations").drop(
-        "seq"
-    )
+    """``violations_of`` descriptions given as text."""
+    return violations_of(walk(specs, key), key)
 
 
 def validate_specs(specs: DataFrame, key: str = "spec_id") -> DataFrame:
     """(key, is_valid, errors, version, paths_count) per description."""
-    errors = F.transform(
-        "violations",
-        lambda v: F.concat(
-            v["rule"], F.when(v["location"] != "", F.concat(F.lit(": "), v["location"])).otherwise("")
-        ),
+    rows = walk(specs, key)
+    # what is known of the whole goes with the violations, as a rule of its own
+    known = F.struct(F.lit(KNOWN).alias("rule"), F.to_json(F.struct("version", "paths")).alias("location")).cast(VIOLATION)
+    marked = rows.withColumn("found", F.when(F.col("is_json").isNotNull(), F.concat("found", F.array(known))))
+    found = violations_of(marked, key)
+    error = F.concat("rule", F.when(F.col("location") != "", F.concat(F.lit(": "), "location")).otherwise(""))
+    is_known = F.col("rule") == KNOWN
+    judged = found.groupBy(key).agg(
+        F.array_sort(F.collect_set(F.when(~is_known, error))).alias("errors"),
+        F.max(F.when(is_known, F.col("location"))).alias("known"),
     )
-    return _with_violations(specs, key).select(
+    facts = F.from_json("known", "version STRING, paths LONG")
+    return judged.select(
         key,
-        (F.size("violations") == 0).alias("is_valid"),
-        F.array_sort(F.array_distinct(errors)).alias("errors"),
-        F.coalesce("version", F.lit("unknown")).alias("version"),
-        F.coalesce(F.size("paths"), F.lit(0)).cast("long").alias("paths_count"),
+        (F.size("errors") == 0).alias("is_valid"),
+        "errors",
+        F.coalesce(facts["version"], F.lit("unknown")).alias("version"),
+        F.coalesce(facts["paths"], F.lit(0).cast("long")).alias("paths_count"),
     )
 
 

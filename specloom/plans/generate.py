@@ -12,7 +12,8 @@ from specloom.operators.build import (
     MAX_DOCUMENT_BYTES,
     build_filtered_specs,
     build_specs,
-    whole_documents,
+    no_schemes,
+    unique_operations,
 )
 from specloom.operators.content import extract_content, with_needs_render
 from specloom.operators.coverage import coverage_report, run_summary
@@ -20,17 +21,18 @@ from specloom.operators.discovery import discover, newest_pages, select_pages_by
 from specloom.operators.extraction import Extractor, extract_results, with_embedded_endpoints
 from specloom.operators.merge import flatten_endpoints, flatten_security_schemes
 from specloom.operators.relevance import filter_endpoints
-from specloom.operators.specs import spec_recommendations, spec_violations
+from specloom.operators.specs import operation_rows, recommendations_of, verdicts_of, violations_of
 from specloom.workspace import materialize
 
 
 @dataclass(frozen=True)
 class Generated:
-    """Tables of one run, all keyed by site."""
+    """Tables of one run, all keyed by site. Reports come from rows, never from a whole description."""
 
     specs: DataFrame
     coverage: DataFrame
     violations: DataFrame
+    verdicts: DataFrame
     recommendations: DataFrame
     summary: DataFrame
     results: DataFrame
@@ -71,18 +73,23 @@ def generate_specs(
     # Sites without a single endpoint get no description.
     sites = results.select("site").distinct()
     if query is None:
-        specs = build_specs(sites, results, endpoints, flatten_security_schemes(results), max_bytes=max_bytes)
+        schemes = flatten_security_schemes(results)
+        operations = materialize(unique_operations(endpoints), "operations")
+        specs = build_specs(sites, results, endpoints, schemes, operations, max_bytes=max_bytes)
     else:
+        schemes = no_schemes(pages.sparkSession)
         endpoints = filter_endpoints(endpoints, query, threshold)
-        specs = build_filtered_specs(sites, endpoints, max_bytes=max_bytes)
-    specs = materialize(specs, "specs")
-    whole = whole_documents(specs)
+        operations = materialize(unique_operations(endpoints), "operations")
+        specs = build_filtered_specs(sites, endpoints, operations, max_bytes=max_bytes)
+    rows = operation_rows(sites, operations, schemes)
+    violations = materialize(violations_of(rows, "site"), "violations")
     coverage = coverage_report(endpoints, sites)
     return Generated(
-        specs=specs,
+        specs=materialize(specs, "specs"),
         coverage=coverage,
-        violations=spec_violations(whole, "site"),
-        recommendations=spec_recommendations(whole, "site"),
+        violations=violations,
+        verdicts=verdicts_of(rows, violations, "site"),
+        recommendations=recommendations_of(rows, "site"),
         summary=run_summary(pages, documents, coverage),
         results=results,
         documents=documents,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from specloom.operators import discovery as d
 from specloom.operators import robots as rb
+from specloom.operators import specs
 from specloom.plans.generate import generate_specs
 from specloom.schemas import PAGES
 from specloom.sources import tables
@@ -269,12 +270,42 @@ def test_a_page_counts_once_by_its_newest_row(spark):
 def test_large_documents_have_the_same_reports(spark):
     whole, parts = generate_specs(site_pages(spark), find), generate_specs(site_pages(spark), find, max_bytes=10)
     assert parts.specs.filter("part > 0").count() > 1
-    for name in ("violations", "recommendations", "coverage"):
+    for name in ("violations", "verdicts", "recommendations", "coverage"):
         rows = [sorted(map(str, getattr(run, name).collect())) for run in (whole, parts)]
         assert rows[0] == rows[1], name
     assert parts.recommendations.count() == 1
 
 
+def test_reports_from_rows_are_those_of_the_documents(spark):
+    """Rules, advice and verdicts without assembling anything, against the assembled texts."""
+    def many(document):
+        yield from find(document)
+        site = document["url"]
+        for i in range(6):
+            record = {"path": f"/{'{id}' if i % 2 else 'x'}/{i}", "method": "get", "summary": "s", "operation_id": f"op{i % 3}"}
+            record["parameters"] = [{"name": "id", "location": "path", "type": "string", "required": True}] if i % 3 == 1 else []
+            if i == 4:
+                record["responses"] = [{"status_code": "abc", "description": site, "schema_properties": {"a": {"$ref": "#/components/schemas/A"}}}]
+            yield "record_endpoint", record
+        for path in ("/a-b", "/a_b"):  # one operation id for both
+            yield "record_endpoint", {"path": path, "method": "get", "summary": "s"}
+        yield "record_security_scheme", {"type": "oauth2"}
+        yield "record_security_scheme", {"type": "apiKey", "name": "k", "location": "header"}
+
+    run = generate_specs(site_pages(spark), many)
+    texts = run.specs.filter("part = 0").select("site", "spec_json")
+    listed = lambda frame: sorted(map(str, frame.collect()))
+    want = specs.spec_violations(texts, "site")
+    assert listed(run.violations) == listed(want)
+    rules = {r["rule"] for r in want.collect()}
+    assert {"operation_id_unique", "path_parameters_declared", "status_code", "reference_resolved", "security_scheme_fields"} <= rules
+    assert listed(run.recommendations) == listed(specs.spec_recommendations(texts, "site"))
+    rows = specs.walk(texts, "site")
+    assert listed(run.verdicts) == listed(specs.verdicts_of(rows, want, "site"))
+    verdict, judged = run.verdicts.first(), specs.validate_specs(texts, "site").first()
+    assert (verdict["is_valid"], verdict["n_errors"], verdict["paths_count"]) == (judged["is_valid"], len(judged["errors"]), judged["paths_count"])
+
+
 def test_two_sites_of_one_host_are_two_files(spark, tmp_path):
     specs = spark.createDataFrame([(f"https://a.com/v{i}", 0, "{}") for i in (1, 2)], "site STRING, part LONG, spec_json STRING")
     written = tables.write_specs(specs, str(tmp_path / "out")).collect()

@@ -18,6 +18,7 @@ def spec(paths, **more):
 
 
 OK = {"responses": {"200": {"description": "ok"}}}
+QUERY = {"name": "q", "in": "query"}
 
 
 def test_explode_order_and_fields(spark):
@@ -163,9 +164,7 @@ def test_spec_recommendations(spark):
     }
 
 
-@pytest.mark.parametrize(
-    "text,rules",
-    [
+RULES = [
         (spec({"/test": {"get": OK}}), set()),
         ("broken", {"is_json_object"}),
         ("[1]", {"is_json_object"}),
@@ -192,13 +191,59 @@ def test_spec_recommendations(spark):
             {"operation_id_unique"},
         ),
         (spec({"/a": {"get": "x"}}), {"operation_is_object"}),
-    ],
-)
-def test_validation_rules(spark, text, rules):
-    frame = table(spark, text)
-    assert {r["rule"] for r in s.spec_violations(frame).collect()} == rules
-    row = s.validate_specs(frame).first()
-    assert row["is_valid"] == (not rules) and {e.split(":")[0] for e in row["errors"]} == rules
+        (spec({"/a": {"get": {**OK, "parameters": [QUERY, QUERY]}}}), {"parameter_unique"}),
+        (spec({"/a": {"parameters": [QUERY], "get": {**OK, "parameters": [QUERY, {"name": "q", "in": "header"}]}}}), set()),
+        (spec({"/a": {"get": {"responses": {"200": {"$ref": "#/components/responses/R"}}}}}), {"reference_resolved"}),
+        (spec({"/a": {"get": {"responses": {"200": {"$ref": "#/components/responses/R~1S"}}}}}, components={"responses": {"R/S": {"description": ""}}}), set()),
+        (spec({"/a": {"get": OK}}, components={"schemas": {"A": {"$ref": "#/components/schemas/B"}, "C": {"$ref": "#/components/schemas/A/x"}}}), {"reference_resolved"}),
+        (spec({"/a": {"get": {**OK, "requestBody": {"description": "x"}}}}), {"request_body_content"}),
+        (spec({"/a": {"get": {**OK, "requestBody": {"$ref": "#/x"}}}}), set()),
+        (spec({"/a": {"get": {"responses": {"2000": {"description": ""}, "4XX": {"description": ""}, "default": {"description": ""}}}}}), {"status_code"}),
+        (spec({"/a": {"get": {**OK, "parameters": [{**QUERY, "schema": {"type": "array"}}]}}}), {"array_items"}),
+        (spec({"/a": {"get": {**OK, "parameters": [{**QUERY, "schema": {"type": "array", "items": {}}}]}}}), set()),
+        (spec({"/a": {"get": {"responses": {"200": {"description": "", "content": {"a/b": {"schema": {"type": "array"}}}}}}}}), {"array_items"}),
+        (spec({}, components={"schemas": {"L": {"type": "array"}}}), {"array_items"}),
+        *[
+            (spec({}, components={"securitySchemes": {"s": scheme}}), rules)
+            for scheme, rules in (
+                ({"type": "apiKey", "name": "k", "in": "header"}, set()),
+                ({"type": "apiKey", "name": "k"}, {"security_scheme_fields"}),
+                ({"type": "apiKey", "name": "k", "in": "path"}, {"security_scheme_fields"}),
+                ({"type": "http", "scheme": "basic"}, set()),
+                ({"type": "http"}, {"security_scheme_fields"}),
+                ({"type": "oauth2"}, {"security_scheme_fields"}),
+                ({"type": "oauth2", "flows": {}}, set()),
+                ({"type": "openIdConnect", "openIdConnectUrl": "https://x"}, set()),
+                ({"type": "other"}, {"security_scheme_fields"}),
+                ({"$ref": "#/x"}, set()),
+            )
+        ],
+        (spec({}, tags=[{"name": "a"}, {"name": "b"}, {"name": "a"}]), {"tag_unique"}),
+        (spec({}, tags=[{"name": "a"}, {"name": "b"}, {}]), set()),
+        ({"openapi": 3.0, "info": {"title": "t", "version": "1"}, "paths": {}}, {"openapi_version"}),
+        ({"openapi": "3.0", "info": {"title": "t", "version": "1"}, "paths": {}}, set()),
+]
+
+
+def test_validation_rules(spark):
+    frame = table(spark, *[text for text, _ in RULES])
+    found = {}
+    for r in s.spec_violations(frame).collect():
+        found.setdefault(r["spec_id"], set()).add(r["rule"])
+    rows = {r["spec_id"]: r for r in s.validate_specs(frame).collect()}
+    assert len(rows) == len(RULES)
+    for i, (text, rules) in enumerate(RULES):
+        assert found.get(i, set()) == rules, text
+        assert rows[i]["is_valid"] == (not rules) and {e.split(":")[0] for e in rows[i]["errors"]} == rules
+
+
+def test_verdicts(spark):
+    frame = table(spark, spec({"/a": {"get": OK}, "/b": {}}), spec({"x": {"get": {}}}), "broken")
+    rows = s.walk(frame)
+    got = s.verdicts_of(rows, s.violations_of(rows)).orderBy("spec_id").collect()
+    assert [tuple(r)[1:] for r in got] == [
+        (True, 0, [], 2), (False, 2, ["path_starts_with_slash", "responses_required"], 1), (False, 1, ["is_json_object"], 0),
+    ]
 
 
 def test_parse_specs_and_diff(spark):
