@@ -1,6 +1,7 @@
 """Discovery, robots rules and the whole pipeline."""
 
 import json
+import random
 import re
 from urllib.parse import quote
 from urllib.robotparser import RobotFileParser
@@ -181,6 +182,33 @@ def test_robots_equal_standard_library(spark):
         assert delay == parser.crawl_delay(agent)
 
 
+def test_any_robots_file_equals_standard_library(spark):
+    rng = random.Random(12)
+    lines = [
+        "", "", " ", "# note", "User-agent: *", "user-agent : Bot", "USER-AGENT: other # x", "User-agent: a*", "User-agent:", "Disallow: /a", "Disallow:",
+        "Allow: /a/b", "Disallow: *", "Disallow: /%61%zz%", "Allow: /q?", "Disallow: /x?y=1", "Crawl-delay: 7", "Crawl-delay: x", "Crawl-delay: 1.5",
+        "Request-rate: 1/5", "Sitemap: https://s/m.xml", "sitemap:https://s/%41 # c", "Unknown: 1", "no colon", "Disallow : /é", "Disallow: /a+b",
+    ]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(0, 25))) for _ in range(300)]
+    texts += [t.replace("\n", end) for t, end in zip(texts[:12], ["\r\n", "\r", "\x0b", "\x85", "\u2028", "\x1c"] * 2, strict=True)]
+    sites = [f"https://s{i}.example.com" for i in range(len(texts))]
+    robots = rb.robots_rules(pages(spark, *[(s, s + "/robots.txt", 200, t) for s, t in zip(sites, texts, strict=True)])).cache()
+    assert robots.count() == len(texts)
+    paths = ["", "/", "/a", "/a/b", "/a+b", "/q", "/q?z", "/x?y=1", "/a%zz%", "/é", "/*"]
+    frame = spark.createDataFrame([(s, s + x) for s in sites for x in paths], "site STRING, url STRING")
+    parsers = {}
+    for site, text in zip(sites, texts, strict=True):
+        parsers[site] = RobotFileParser()
+        parsers[site].parse(text.splitlines())
+    found = {r["site"]: r["sitemaps"] for r in robots.collect()}
+    assert found == {s: x.site_maps() for s, x in parsers.items()}
+    for agent in ("*", "Bot/2", "other", "ab"):
+        for r in rb.robots_allowed(frame, robots, agent).collect():
+            assert r["allowed"] == parsers[r["site"]].can_fetch(agent, r["url"]), (agent, r["url"], texts[sites.index(r["site"])])
+        for r in rb.crawl_delay(robots, agent).collect():
+            assert r["crawl_delay"] == parsers[r["site"]].crawl_delay(agent), (agent, texts[sites.index(r["site"])])
+
+
 def test_robots_status_and_sitemaps(spark):
     sites = [f"https://s{i}.example.com" for i in range(5)]
     files = [(s, s + "/robots.txt", c, "User-agent: *\nDisallow: /\n") for s, c in zip(sites, (200, 403, 404, 503))]
