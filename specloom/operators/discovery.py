@@ -11,7 +11,9 @@ from specloom import patterns as p
 from specloom.functions import urls as u
 from specloom.functions.html import with_parsed_html
 from specloom.functions.text import strip
-from specloom.workspace import broadcast_if_small, materialize
+from specloom.operators.robots import robots_allowed, robots_rules
+from specloom.operators.skew import with_positions
+from specloom.workspace import broadcast_if_small, exists, materialize, new_folder
 
 
 def _under_root(paths: Sequence[str]) -> Column:
@@ -101,6 +103,11 @@ def page_facts(pages: DataFrame, links_per_page: int | None = None) -> DataFrame
     return facts.select("site", "url", "is_doc", followed_links(F.col("links"), F.col("site"), links_per_page).alias("links"))
 
 
+#: Rows of a bucket of facts, and buckets at most.
+BUCKET_ROWS, BUCKETS = 200_000, 2_000
+KEY = ["site", "url"]
+
+
 def crawl(
     pages: DataFrame,
     sites: DataFrame,
@@ -112,27 +119,48 @@ def crawl(
     """(site, url) of documentation pages found by following links from each site's address.
 
     Without limits every page that can be reached is looked at. Markup is read once, for the facts of
-    all pages; the frontier and what was visited are rows, so no site is a heavy row. ``rounds`` and
-    ``links_per_page`` bound the depth and the width; ``batch`` and ``max_pages`` need the order of a
-    queue (``crawl_in_batches``).
+    all pages. Facts and visited urls lie in buckets by a hash of the url: a round reads the buckets of
+    its frontier and of what that links to, appends its urls to the visited ones and rewrites nothing.
+    What was found is one join at the end. ``rounds`` and ``links_per_page`` bound the depth and the
+    width; ``batch`` and ``max_pages`` need the order of a queue (``crawl_in_batches``).
     """
     if batch is not None or max_pages is not None:
         return crawl_in_batches(pages, sites, rounds, batch, max_pages, links_per_page)
-    key = ["site", "url"]
+    spark = pages.sparkSession
+    folder = new_folder(spark, "crawl")
     facts = page_facts(pages.join(sites.select("site").distinct(), "site", "left_semi"), links_per_page)
     facts = materialize(facts, "facts")
+    buckets = min(-(-facts.count() // BUCKET_ROWS) or 1, BUCKETS)
+    placed = F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int")
+    bucketed = facts.withColumn("bucket", placed).repartition(buckets, "bucket")
+    bucketed.write.partitionBy("bucket").parquet(f"{folder}/facts")
+    facts = spark.read.schema("site STRING, url STRING, is_doc BOOLEAN, links ARRAY<STRING>, bucket INT").parquet(f"{folder}/facts")
+
+    def visited(*round_: int) -> DataFrame:
+        base = spark.read.option("basePath", f"{folder}/visited").schema("site STRING, url STRING, round INT, bucket INT")
+        return base.parquet(*([f"{folder}/visited/round={r}" for r in round_] or [f"{folder}/visited"]))
+
+    def visit(frontier: DataFrame, round_: int) -> list[int]:
+        """Append a round's urls; their buckets."""
+        rows = frontier.select(*KEY, F.lit(round_).alias("round"), "bucket")
+        rows.write.mode("append").partitionBy("round", "bucket").parquet(f"{folder}/visited")
+        return used(visited(round_)) if exists(spark, f"{folder}/visited/round={round_}") else []
+
+    def used(frame: DataFrame) -> list[int]:
+        return [r["bucket"] for r in frame.select("bucket").distinct().collect()]  # BUCKETS at most
+
     start = sites.select("site", F.regexp_replace("site", r"/+\z", "").alias("url")).distinct()
-    frontier = visited = materialize(start, "frontier")
-    done = 0
-    found = []
-    while done != rounds and not frontier.isEmpty():
-        fetched = facts.join(frontier, key)
-        found.append(fetched.filter("is_doc").select(*key))
-        reached = fetched.select("site", F.explode("links").alias("url")).distinct()
-        frontier = materialize(reached.join(visited, key, "left_anti"), "frontier")
-        visited = materialize(visited.unionByName(frontier), "visited")
+    done, now = 0, visit(start.withColumn("bucket", placed), 0)
+    while now and done != rounds:
+        fetched = facts.filter(F.col("bucket").isin(now)).join(visited(done), [*KEY, "bucket"], "left_semi")
+        reached = fetched.select("site", F.explode("links").alias("url")).distinct().withColumn("bucket", placed)
+        reached = materialize(reached, "reached")
+        known = visited().filter(F.col("bucket").isin(used(reached)))
         done += 1
-    return union_discovered(*(found or [start.limit(0)]))
+        now = visit(reached.join(known, [*KEY, "bucket"], "left_anti"), done)
+    last = [] if done != rounds else [done]  # reached, but not looked at
+    seen = visited().filter(~F.col("round").isin(last)) if exists(spark, f"{folder}/visited") else start.limit(0)
+    return facts.filter("is_doc").select(*KEY).join(seen.select(*KEY), KEY, "left_semi").distinct()
 
 
 #: Stands for no limit where a number is needed.
@@ -149,61 +177,61 @@ def crawl_in_batches(
 ) -> DataFrame:
     """``crawl`` with a queue per site: ``batch`` places a round, at most ``max_pages`` pages.
 
-    All sites move one round at a time. The state of a site is one row whose queue, visited and
-    found lists are bounded by the limits (at most ``rounds * batch`` pages), so no site is heavier
-    than another; each round is written to the shared folder. Only the pages of the round are read
-    as markup. The queue keeps duplicates, and a visited url still takes up a place in its round.
+    All sites move one round at a time. The queue is rows: a url gets its place when it is appended, by
+    the number of links before it in its round, and with it the round that will take it; so a round reads
+    its own rows, and those of another never change. Of a site only numbers are kept: places waiting,
+    places given, pages visited. Only the pages of the round are read as markup. The queue keeps
+    duplicates, and a visited url still takes up a place in its round.
     """
-    rounds, batch, max_pages = (NO_LIMIT if x is None else x for x in (rounds, batch, max_pages))
-    site = F.col("site")
-    no_urls = F.array().cast("array<string>")
-    state = sites.select(
-        site, F.array(F.regexp_replace(site, r"/+\z", "")).alias("queue")
-    ).distinct()
-    state = state.withColumns({"visited": no_urls, "found": no_urls})
-    for _ in range(rounds):
-        now = F.slice("queue", 1, batch)
-        fresh = F.array_except(now, F.col("visited"))
-        budget = F.greatest(F.lit(max_pages) - F.size("visited"), F.lit(0))
-        state = materialize(
-            state.select(
-                site,
-                F.slice("queue", F.lit(min(batch, NO_LIMIT - 1) + 1), F.greatest(F.size("queue"), F.lit(1))).alias("queue"),
-                F.concat("visited", fresh).alias("visited"),
-                "found",
-                F.slice(fresh, F.lit(1), budget).alias("fetch"),
-            ),
-            "crawl",
-        )
-        frontier = state.select(site, F.posexplode("fetch").alias("pos", "url"))
-        wanted = materialize(frontier, "frontier")
-        if wanted.isEmpty():
-            break
+    spark = pages.sparkSession
+    folder = new_folder(spark, "crawl")
+    batch, max_pages = (NO_LIMIT if x is None else x for x in (batch, max_pages))
+    number = F.lit(0).cast("long")
+
+    def append(name: str, frame: DataFrame) -> None:
+        writer = frame.write.mode("append")
+        (writer.partitionBy("turn") if "turn" in frame.columns else writer).parquet(f"{folder}/{name}")
+
+    start = sites.select("site").distinct().withColumn("url", F.regexp_replace("site", r"/+\z", ""))
+    append("queue", start.select(*KEY, number.alias("place"), F.lit(0).alias("turn")))
+    state = start.select("site", (number + 1).alias("waiting"), (number + 1).alias("given"), number.alias("seen"))
+    turn = 0
+    while turn != rounds and exists(spark, f"{folder}/queue/turn={turn}"):
+        now = spark.read.schema("site STRING, url STRING, place LONG").parquet(f"{folder}/queue/turn={turn}")
+        fresh = now.groupBy(*KEY).agg(F.min("place").alias("place"))
+        if turn:
+            fresh = fresh.join(spark.read.schema("site STRING, url STRING").parquet(f"{folder}/visited"), KEY, "left_anti")
+        ranked = with_positions(materialize(fresh, "fresh"), ["site"], ["place"], "rank")
+        ranked = materialize(ranked.join(state.select("site", "seen"), "site"), "ranked")
+        append("visited", ranked.select(*KEY))
+        wanted = ranked.filter(F.col("seen") + F.col("rank") <= max_pages).select(*KEY, "place")
         fetched = pages.filter(F.col("status") == 200).select("site", "url", "html")
-        fetched = fetched.join(broadcast_if_small(wanted, "site", "url"), ["site", "url"])
+        fetched = fetched.join(broadcast_if_small(wanted, "site", "url"), KEY)
         is_doc = u.is_api_documentation(F.col("url"), F.col("html"))
         parsed = with_parsed_html(fetched.withColumn("is_doc", is_doc))
         resolved = F.transform("parsed.links", lambda href: u.resolve_url(F.col("url"), href))
-        steps = parsed.select(site, "pos", "url", "is_doc", resolved.alias("links")).select(
-            site,
-            "pos",
-            "url",
-            "is_doc",
-            followed_links(F.col("links"), site, links_per_page).alias("links"),
-        )
-        # At most `batch` rows per site.
-        per_site = steps.groupBy("site").agg(
-            F.array_sort(F.collect_list(F.struct("pos", "url", "is_doc", "links"))).alias("steps")
+        steps = parsed.select(*KEY, "place", "is_doc", resolved.alias("links")).select(
+            *KEY, "place", "is_doc", followed_links(F.col("links"), F.col("site"), links_per_page).alias("links")
         )
-        added = F.flatten(F.transform("steps", lambda s: s["links"]))
-        docs = F.transform(F.filter("steps", lambda s: s["is_doc"]), lambda s: s["url"])
-        state = state.join(per_site, "site", "left").select(
-            site,
-            F.concat("queue", F.coalesce(added, no_urls)).alias("queue"),
-            "visited",
-            F.concat("found", F.coalesce(docs, no_urls)).alias("found"),
+        steps = materialize(steps, "steps")
+        append("found", steps.filter("is_doc").select(*KEY))
+        links = steps.select("site", "place", F.posexplode("links").alias("i", "url"))
+        links = with_positions(materialize(links, "links"), ["site"], ["place", "i"], "k")
+        left = F.greatest(F.col("waiting") - batch, number)
+        taken = F.floor((F.col("left") + F.col("k") - 1) / batch).cast("int") + (turn + 1)
+        places = links.join(state.select("site", left.alias("left"), "given"), "site")
+        append("queue", places.select(*KEY, (F.col("given") + F.col("k") - 1).alias("place"), taken.alias("turn")))
+        added = links.groupBy("site").agg(F.count(F.lit(1)).alias("added"))
+        visited = ranked.groupBy("site").agg(F.count(F.lit(1)).alias("visited"))
+        state = state.join(added, "site", "left").join(visited, "site", "left").fillna(0, ["added", "visited"])
+        state = materialize(
+            state.select("site", (left + F.col("added")).alias("waiting"), (F.col("given") + F.col("added")).alias("given"), (F.col("seen") + F.col("visited")).alias("seen")),
+            "state",
         )
-    return state.select(site, F.explode("found").alias("url")).distinct()
+        turn += 1
+    if not turn:
+        return start.select(*KEY).limit(0)
+    return spark.read.schema("site STRING, url STRING").parquet(f"{folder}/found").distinct()
 
 
 def union_discovered(*found: DataFrame) -> DataFrame:
@@ -214,15 +242,24 @@ def union_discovered(*found: DataFrame) -> DataFrame:
     return first.distinct()
 
 
+def allowed_pages(pages: DataFrame, agent: str) -> DataFrame:
+    """Pages that the robots.txt of their site, if it is among them, lets the agent read."""
+    allowed = robots_allowed(pages, robots_rules(pages), agent)
+    return allowed.filter("allowed").select(pages.columns)
+
+
 def discover(
-    pages: DataFrame, sites: DataFrame | None = None, crawl_below: int | None = None, **limits
+    pages: DataFrame, sites: DataFrame | None = None, crawl_below: int | None = None, agent: str | None = None, **limits
 ) -> DataFrame:
     """(site, url) of the documentation pages of every site.
 
     Usual paths and sitemaps, and what a crawl finds. ``crawl_below``: only sites with fewer urls
-    than that from paths and sitemaps are crawled.
+    than that from paths and sitemaps are crawled. ``agent``: pages that robots.txt keeps from it are
+    as good as missing.
     """
     sites = (pages if sites is None else sites).select("site").distinct()
+    if agent is not None:
+        pages = allowed_pages(pages, agent)
     found = materialize(
         union_discovered(common_path_candidates(pages), sitemap_urls(pages)), "discovered"
     )
@@ -241,9 +278,22 @@ def listed_urls(listed: DataFrame, column: str = "urls") -> DataFrame:
 
 
 def newest_pages(pages: DataFrame) -> DataFrame:
-    """One row per (site, url): the one fetched last; of equal times the first in order of markup."""
-    rank = F.row_number().over(Window.partitionBy("site", "url").orderBy(F.desc_nulls_last("fetched_at"), "html", "status", "content_type"))
-    return pages.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    """One row per (site, url): the one fetched last; of equal times the first by a digest of its content.
+
+    The rank needs keys and digests only. Where no page was fetched twice nothing else is done; else
+    markup passes the join with the chosen rows, and none is sorted.
+    """
+    content = F.sha2(F.concat_ws("\0", F.col("status").cast("string"), "content_type", "html"), 256)
+    keyed = pages.withColumn("_digest", content)
+    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc_nulls_last("fetched_at"), "_digest"))
+    keys = keyed.select(*KEY, "fetched_at", "_digest")
+    best = materialize(keys.withColumn("_rank", rank).filter("_rank = 1").drop("_rank"), "newest")
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*KEY, "fetched_at", "_digest")]
+    met = keyed.alias("p").join(best.alias("b"), same, "left_semi")
+    # equal rows are one: they differ in nothing that a digest sees
+    if best.count() == pages.count():
+        return pages
+    return met.dropDuplicates([*KEY, "_digest"]).drop("_digest")
 
 
 def select_pages_by_url(pages: DataFrame, urls: DataFrame | Sequence[str] | str) -> DataFrame:

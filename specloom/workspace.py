@@ -1,8 +1,10 @@
-"""Session facts: where intermediate tables go, and how a size is checked before a broadcast."""
+"""Session facts: where intermediate tables go, when they are deleted, and how a size is checked before a broadcast."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +24,59 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# Folders made since each of the open blocks of ``tidy`` began.
+_blocks: list[list[str]] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    path = f"{shared_folder(spark).rstrip('/')}/specloom/{name}-{uuid.uuid4().hex}"
+    for made in _blocks:
+        made.append(path)
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def tidy(spark: SparkSession, *kept: DataFrame) -> Iterator[list[DataFrame]]:
+    """Delete the intermediate tables that are written inside the block when it ends.
+
+    Results that are read later have to be written: inside, by ``materialize``, and put in the list that
+    the block gives; or elsewhere. ::
+
+        with tidy(spark) as kept:
+            kept.append(materialize(operator(table), "result"))
+    """
+    made: list[str] = []
+    results = list(kept)
+    _blocks.append(made)
+    try:
+        yield results
+    finally:
+        _blocks[:] = [block for block in _blocks if block is not made]
+        read = {file for frame in results for file in frame.inputFiles()}
+        for path in made:
+            if not any(f"/{path.rsplit('/', 1)[1]}/" in file for file in read):
+                delete_folder(spark, path)
+
+
 def materialize(frame: DataFrame, name: str = "table") -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, keeps later column pruning and gives the planner
-    real sizes.
+    real sizes. ``tidy`` deletes it.
     """
     spark = frame.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/specloom/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
