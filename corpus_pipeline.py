@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from specloom.llm import langid, neardup, packing, quality, secretscan
 from specloom.llm.common import table, vocabulary
-from specloom.workspace import materialize
+from specloom.workspace import drop, materialize, tidy
 
 #: Least mean posterior of the language that a text is kept with.
 LEAST_SCORE = 0.4
@@ -99,10 +99,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents."""
+    """All stages over the table documents. What a stage wrote is deleted when the next one is done with it."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        with tidy(spark) as kept:
+            made = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            kept.append(made)
+        if i:
+            drop(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
