@@ -46,6 +46,14 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def drop(frame: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and read back."""
+    for file in frame.inputFiles()[:1]:
+        folder = file.rsplit("/", 1)[0]
+        if "/specloom/" in folder:
+            delete_folder(frame.sparkSession, folder)
+
+
 @contextmanager
 def tidy(spark: SparkSession, *kept: DataFrame) -> Iterator[list[DataFrame]]:
     """Delete the intermediate tables that are written inside the block when it ends.
