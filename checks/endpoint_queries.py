@@ -16,7 +16,8 @@ from specloom.functions import specs as sp
 from specloom.functions.records import parse_endpoints
 from specloom.operators import build, cache, coverage, discovery, extraction, merge, relevance
 from specloom.plans.generate import generate_specs
-from specloom.workspace import materialize
+from specloom.sources import tables
+from specloom.workspace import materialize, new_folder
 
 c = F.col
 
@@ -432,12 +433,19 @@ def schema_from_properties(spark, folder):
 @query(
     "s7_read_cache",
     "cache_rows",
-    sql="""SELECT content_hash, payload FROM (SELECT *, row_number() OVER (PARTITION BY content_hash
-  ORDER BY created_at DESC, payload DESC) AS rn FROM cache_rows WHERE kind = 'llm') r WHERE rn = 1""",
+    sql="""SELECT kind, content_hash, payload FROM (SELECT *, row_number() OVER (PARTITION BY kind, content_hash
+  ORDER BY created_at DESC, payload DESC) AS rn FROM cache_rows) r WHERE rn = 1""",
 )
 def read_cache(spark, folder):
-    newest = cache.newest_entries(view(spark, folder, "cache_rows"), "llm")
-    return newest.select("content_hash", "payload")
+    """Entries written in two runs, compacted, written to once more and read back, both kinds."""
+    rows, path = view(spark, folder, "cache_rows"), new_folder(spark, "cache")
+    for third in range(3):
+        tables.write_cache(rows.filter(c("cache_id") % 3 == third), path)
+        if third == 1:
+            tables.compact_cache(spark, path)
+    found = tables.read_cache(spark, path)
+    kinds = [cache.newest_entries(found, kind).withColumn("kind", F.lit(kind)) for kind in ("llm", "http")]
+    return kinds[0].unionByName(kinds[1]).select("kind", "content_hash", "payload")
 
 
 @query(
@@ -489,6 +497,12 @@ def one_per_page(document):
     }
 
 
+def faulty(document):
+    for path in ("/{id}", "/a-b", "/a_b"):
+        yield "record_endpoint", {"path": path, "method": "get", "summary": document["title"]}
+    yield "record_security_scheme", {"type": "oauth2"}
+
+
 @query(
     "p1_extract_with",
     "endpoints_raw",
@@ -518,6 +532,28 @@ def generate(spark, folder):
     return report(generated(spark, folder))
 
 
+@query("p2_generate_all", "crawl_pages", sql=GENERATED)
+def generate_all(spark, folder):
+    """Without any limit of the crawl; the planted sites are small enough for the limits not to matter."""
+    found = pages(spark, folder, "crawl_pages")
+    return report(generate_specs(found, one_per_page, crawl_below=p.CRAWL_IF_FEWER_THAN))
+
+
+@query(
+    "p2_verdicts",
+    "crawl_pages",
+    sql=f"""WITH {DISCOVERED} SELECT site, false AS is_valid, 2 + count(*) AS n_errors,
+  'operation_id_unique,path_parameters_declared,security_scheme_fields' AS rules, 3::BIGINT AS paths_count
+FROM discovered GROUP BY site""",
+)
+def verdicts(spark, folder):
+    """Of each site: a placeholder without parameter, an id for two paths, a scheme without flows per page."""
+    run = generate_specs(
+        pages(spark, folder, "crawl_pages"), faulty, crawl_below=p.CRAWL_IF_FEWER_THAN, **CRAWL_LIMITS
+    )
+    return run.verdicts.select("site", "is_valid", "n_errors", F.array_join("rules", ",").alias("rules"), "paths_count")
+
+
 @query("p2_generate_in_parts", "crawl_pages", sql=GENERATED)
 def generate_in_parts(spark, folder):
     """The same with every description in parts, as those are that one value should not hold."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import doc_url, is_doc, keyword_count, literal, matches_any, query, strip
 from checks.views import pages, table, view
 from specloom import patterns as p
+from specloom import schemas
 from specloom.functions import auth
 from specloom.functions import jsontext as j
 from specloom.functions import text as t
@@ -14,6 +15,8 @@ from specloom.functions import urls as u
 from specloom.functions.html import with_parsed_html
 from specloom.functions.relevance import keywords
 from specloom.operators import content, discovery, robots
+from specloom.sources import tables
+from specloom.workspace import new_folder
 
 c = F.col
 
@@ -30,14 +33,17 @@ def text_lines(spark, folder):
 @query(
     "s1_read_pages",
     "site_pages",
-    sql="""SELECT url, 'JSON API Spec' AS title, md5(html) AS text_hash, 1 AS n_samples
-FROM site_pages WHERE status BETWEEN 200 AND 299 AND contains(lower(content_type), 'application/json')""",
+    sql="""SELECT url, status, CASE WHEN status BETWEEN 200 AND 299 AND contains(lower(content_type), 'application/json')
+    THEN 'JSON API Spec' END AS title, md5(html) AS text_hash, strlen(html) AS size_bytes FROM site_pages""",
 )
 def read_pages(spark, folder):
-    documents = content.extract_content(pages(spark, folder))
-    return documents.filter(c("title") == content.JSON_TITLE).select(
-        "url", "title", F.md5("text").alias("text_hash"), F.size("code_samples").alias("n_samples")
-    )
+    """All pages through the source: written as a table of pages, read back, JSON answers told apart."""
+    path = new_folder(spark, "pages")
+    pages(spark, folder).select([f.split()[0] for f in schemas.PAGES.split(", ")]).write.parquet(path)
+    found = tables.read_pages(spark, path)
+    documents = content.extract_content(found).filter(c("title") == content.JSON_TITLE).select("url", "title")
+    read = found.select("url", "status", F.md5("html").alias("text_hash"), F.octet_length("html").cast("long").alias("size_bytes"))
+    return read.join(documents, "url", "left")
 
 
 @query(
@@ -269,6 +275,23 @@ def union_discovered(spark, folder):
     )
 
 
+@query(
+    "u1_discover_for_agent",
+    "crawl_pages",
+    sql=f"""WITH open AS ({COMMON} AND (page_id % 3 <> 0 OR place <> '/docs')) SELECT site, url FROM open""",
+)
+def discover_for_agent(spark, folder):
+    """Usual paths only, on sites of which some keep /docs from the agent by their robots.txt."""
+    found = pages(spark, folder, "crawl_pages")
+    closed = found.filter((c("place") == "/docs") & (c("page_id") % 3 == 0)).select("site").distinct()
+    files = closed.select(
+        "site", F.concat("site", F.lit("/robots.txt")).alias("url"), F.lit(200).alias("status"), F.lit("text/plain").alias("content_type"),
+        F.lit("User-agent: *\nDisallow:\n\nUser-agent: checker\nAllow: /docs/x\nDisallow: /docs\n").alias("html"), F.lit(None).cast("timestamp").alias("fetched_at"),
+    )
+    both = found.select(files.columns).unionByName(files)
+    return discovery.discover(both, crawl_below=0, agent="Checker/1.0")
+
+
 # -- robots ----------------------------------------------------------------------------------------
 
 

@@ -11,7 +11,8 @@ from specloom import schemas
 from specloom.functions import jsontext as j
 from specloom.functions import specs as sp
 from specloom.operators import build, extraction, merge, relevance, specs
-from specloom.workspace import materialize
+from specloom.sources import tables
+from specloom.workspace import materialize, new_folder
 
 c = F.col
 
@@ -38,12 +39,18 @@ def read_specs(spark, folder):
     "s6_write_specs",
     "spec_docs",
     sql="""SELECT spec_id, concat('api', spec_id, '_example_com.openapi.json') AS file_name,
-  strlen(spec_json) AS size_bytes, 'json' AS format FROM spec_docs""",
+  strlen(spec_json) AS size_bytes, 'json' AS format, md5(spec_json) AS text_hash FROM spec_docs""",
 )
 def write_specs(spark, folder):
+    """All documents written to an archive and read back."""
     site = F.concat(F.lit("https://api"), "spec_id", F.lit(".example.com/v1"))
-    facts = build.with_file_facts(spec_docs(spark, folder).withColumn("site", site))
-    return facts.select("spec_id", "file_name", "size_bytes", "format")
+    docs = spec_docs(spark, folder).select(site.alias("site"), F.lit(0).cast("long").alias("part"), "spec_json")
+    path = new_folder(spark, "archive")
+    tables.write_archive(docs, path)
+    number = F.regexp_extract("site", "api([0-9]+)", 1).cast("long")
+    return tables.read_archive(spark, path).select(
+        number.alias("spec_id"), "file_name", "size_bytes", "format", F.md5("spec_json").alias("text_hash")
+    )
 
 
 @query(
@@ -182,6 +189,35 @@ def validate_specs(spark, folder):
     return judged.select("spec_id", "is_valid", F.array_join("errors", "|").alias("errors"))
 
 
+ODD = """odd AS (SELECT seq, seq % 12 AS k, concat('{"openapi":"3.1.0","info":{"title":"T","version":"1"},"paths":{"/', seq, '":{"get":{"operationId":"o', seq,
+    '","responses":{"', CASE WHEN seq % 12 = 1 THEN '20' ELSE '200' END, '":{"description":"ok"',
+    CASE seq % 12 WHEN 2 THEN ',"content":{"a/b":{"schema":{"$ref":"#/components/schemas/B"}}}'
+      WHEN 3 THEN ',"content":{"a/b":{"schema":{"$ref":"#/components/schemas/A"}}}'
+      WHEN 4 THEN ',"content":{"a/b":{"schema":{"type":"array"}}}' ELSE '' END, '}}',
+    CASE seq % 12 WHEN 5 THEN ',"parameters":[{"name":"q","in":"query"},{"name":"q","in":"query"}]'
+      WHEN 6 THEN ',"parameters":[{"name":"q","in":"query"},{"name":"q","in":"header"}]' ELSE '' END,
+    CASE WHEN seq % 12 = 7 THEN ',"requestBody":{"description":"none"}' ELSE '' END, '}}},"tags":[{"name":"a"}',
+    CASE WHEN seq % 12 = 8 THEN ',{"name":"a"}' ELSE ',{"name":"b"}' END, '],"components":{"schemas":{"A":{"type":"object"}},"securitySchemes":{',
+    CASE seq % 12 WHEN 9 THEN '"s":{"type":"apiKey","name":"k"}' WHEN 10 THEN '"s":{"type":"oauth2"}'
+      WHEN 11 THEN '"s":{"type":"http","scheme":"basic"}' ELSE '' END, '}}}') AS spec_json FROM endpoints_raw)"""
+
+
+@query(
+    "b11_more_rules",
+    "endpoints_raw",
+    sql=f"""WITH {ODD} SELECT seq AS spec_id, CASE k WHEN 1 THEN concat('status_code: GET /', seq)
+    WHEN 2 THEN 'reference_resolved: #/components/schemas/B' WHEN 4 THEN concat('array_items: GET /', seq)
+    WHEN 5 THEN concat('parameter_unique: GET /', seq) WHEN 7 THEN concat('request_body_content: GET /', seq)
+    WHEN 8 THEN 'tag_unique' WHEN 9 THEN 'security_scheme_fields: s' WHEN 10 THEN 'security_scheme_fields: s' ELSE '' END AS errors,
+  k NOT IN (1, 2, 4, 5, 7, 8, 9, 10) AS is_valid FROM odd""",
+)
+def more_rules(spark, folder):
+    view(spark, folder, "endpoints_raw").createOrReplaceTempView("endpoints_raw")
+    odd = spark.sql(f"WITH {ODD} SELECT seq AS spec_id, spec_json FROM odd")
+    judged = specs.validate_specs(odd)
+    return judged.select("spec_id", "is_valid", F.array_join("errors", "|").alias("errors"))
+
+
 @query(
     "u3_spec_path_diff",
     "endpoints_raw",

@@ -196,18 +196,22 @@ def oracle(sql: str, *views: str) -> str:
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A derived table, spread over the cores: the test tables are one small file each, which Spark
-    reads in one task. Tables of many files need no such step."""
+    """A derived table."""
     frame = spark.sql(
         _with(f"SELECT * FROM {name}", [name], lambda t: f"parquet.`{folder}/{t}.parquet`")
     )
-    return frame.repartition(spark.sparkContext.defaultParallelism)
+    return spread(frame)
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """A table of a file or few, which Spark reads in as many tasks, spread over the cores; others as they are."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if len(frame.inputFiles()) < cores else frame
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table, spread over the cores like the derived ones."""
-    frame = spark.read.parquet(f"{folder}/{name}.parquet")
-    return frame.repartition(spark.sparkContext.defaultParallelism)
+    """A given table."""
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def endpoints(spark: SparkSession, folder: str) -> DataFrame:

@@ -41,6 +41,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def replace_file(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file and put it in the place of another in one step."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = target.getFileSystem(conf).create(fresh)
+    out.write(bytearray(text.encode()))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.getFileSystem(conf).getUri(), conf)
+    files.rename(fresh, target, how)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
