@@ -285,6 +285,41 @@ def test_a_crawl_without_limits_reaches_everything(spark):
     assert len(pairs(d.crawl(pages(spark, *rows), spark.createDataFrame([(B,)], "site STRING"), rounds=3))) < 5
 
 
+def chain(spark, n):
+    doc = "api endpoint request response json "
+    return pages(spark, *[(B, f"{B}/docs/{i}" if i else B, 200, f"{doc}<a href='/docs/{i + 1}'>x</a><a href='/docs/0'>y</a>") for i in range(n)])
+
+
+def test_a_round_costs_its_frontier_and_the_result_is_one_join(spark, monkeypatch):
+    monkeypatch.setattr(d, "BUCKET_ROWS", 4)
+    start = spark.createDataFrame([(B,)], "site STRING")
+    plans = []
+    for n in (3, 12):
+        got = d.crawl(chain(spark, n), start)
+        plans.append(got._jdf.queryExecution().optimizedPlan().toString().count("Join"))
+        assert pairs(got) == sorted([(B, B)] * 1 + [(B, f"{B}/docs/{i}") for i in range(1, n)])
+    assert plans == [1, 1]  # whatever the number of rounds
+
+
+def test_a_queue_goes_on_behind_a_round_of_visited_pages(spark):
+    doc = "api endpoint request response json "
+    links = "".join(f"<a href='/docs/{x}'>x</a>" for x in ("1", "1", "1", "2"))
+    rows = [(B, B, 200, doc + links), *[(B, f"{B}/docs/{i}", 200, doc) for i in (1, 2)]]
+    start = spark.createDataFrame([(B,)], "site STRING")
+    assert pairs(d.crawl(pages(spark, *rows), start, batch=1)) == [(B, B), (B, f"{B}/docs/1"), (B, f"{B}/docs/2")]
+    assert pairs(d.crawl(pages(spark, *rows), start, batch=1, max_pages=2)) == [(B, B), (B, f"{B}/docs/2")]
+    assert pairs(d.crawl(pages(spark, *rows), start, max_pages=2, rounds=1)) == [(B, B)]
+    assert pairs(d.crawl(pages(spark, *rows), start, batch=1, rounds=0)) == []
+
+
+def test_pages_kept_from_an_agent_are_not_read(spark):
+    doc = "api endpoint request response json "
+    rows = [(B, B, 200, doc + "<a href='/docs/a'>x</a>"), (B, f"{B}/docs/a", 200, doc + "<a href='/help/b'>x</a>"), (B, f"{B}/help/b", 200, doc)]
+    rows.append((B, f"{B}/robots.txt", 200, "User-agent: spider\nDisallow: /docs\n"))
+    assert (B, f"{B}/help/b") in pairs(d.discover(pages(spark, *rows)))
+    assert pairs(d.discover(pages(spark, *rows), agent="Spider/2")) == [(B, B)]
+
+
 def test_a_page_counts_once_by_its_newest_row(spark):
     frame = site_pages(spark)
     older = frame.withColumn("fetched_at", F.lit("2020-01-01").cast("timestamp")).withColumn("html", F.lit("<main>GET /old</main>"))
