@@ -60,33 +60,29 @@ def delete_folder(spark: SparkSession, path: str) -> None:
 
 
 def drop(frame: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote and read back."""
-    for file in frame.inputFiles()[:1]:
-        folder = file.rsplit("/", 1)[0]
-        if "/specloom/" in folder:
-            delete_folder(frame.sparkSession, folder)
+    """Delete a table that ``materialize`` gave."""
+    delete_folder(frame.sparkSession, frame._written)
 
 
 @contextmanager
-def tidy(spark: SparkSession, *kept: DataFrame) -> Iterator[list[DataFrame]]:
+def tidy(spark: SparkSession) -> Iterator[list[DataFrame]]:
     """Delete the intermediate tables that are written inside the block when it ends.
 
-    Results that are read later have to be written: inside, by ``materialize``, and put in the list that
-    the block gives; or elsewhere. ::
+    Tables of ``materialize`` that are put in the list that the block gives stay. ::
 
         with tidy(spark) as kept:
             kept.append(materialize(operator(table), "result"))
     """
     made: list[str] = []
-    results = list(kept)
+    results: list[DataFrame] = []
     _blocks.append(made)
     try:
         yield results
     finally:
         _blocks[:] = [block for block in _blocks if block is not made]
-        read = {file for frame in results for file in frame.inputFiles()}
+        read = {frame._written for frame in results}
         for path in made:
-            if not any(f"/{path.rsplit('/', 1)[1]}/" in file for file in read):
+            if path not in read:
                 delete_folder(spark, path)
 
 
@@ -99,7 +95,9 @@ def materialize(frame: DataFrame, name: str = "table") -> DataFrame:
     spark = frame.sparkSession
     path = new_folder(spark, name)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    found = spark.read.schema(frame.schema).parquet(path)
+    found._written = path
+    return found
 
 
 def broadcast_if_small(frame: DataFrame, *sized: str) -> DataFrame:
