@@ -245,12 +245,12 @@ def block_links(ids: list[int], roots: list[int], sets: list[np.ndarray], percen
     row, column = row[keep], (np.cumsum(shared) - 1)[column[keep]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    common = np.zeros((len(sets), len(sets)), np.float32)
+    common = np.zeros((len(sets), len(sets)), np.int64)
     for first in range(0, int(shared.sum()), 8192):
         lo, hi = np.searchsorted(column, [first, first + 8192])
         part = np.zeros((len(sets), 8192), np.float32)
         part[row[lo:hi], column[lo:hi] - first] = 1
-        common += part @ part.T
+        common += (part @ part.T).astype(np.int64)  # 8192 at most in a product: exact
     union = sizes[:, None] + sizes[None, :] - common
     root = np.array(roots)
     i, j = np.nonzero(np.triu(100 * common >= percent * union, 1) & (root[:, None] != root[None, :]))

@@ -109,3 +109,13 @@ def test_components(spark):
     path = [(i, i + 1) for i in range(150)]
     got = {r["root"] for r in neardup.components(spark.createDataFrame(path, "a bigint, b bigint")).collect()}
     assert got == {0}
+
+
+def test_blocks_compare_large_sets_exactly():
+    """Intersections beyond what 32 bits of floating point hold: a set short of the limit by one isn't linked."""
+    n = 4_000_000
+    one = np.arange(n, dtype=np.int64)
+    for common, linked in ((n * 8 // 9 + 1, True), (-(-n * 8 // 9) - 1, False)):  # equal sizes: 0.8 is common = 8/9 n
+        other = np.arange(n - common, 2 * n - common, dtype=np.int64)
+        assert (100 * common >= 80 * (2 * n - common)) == linked
+        assert neardup.block_links([1, 2], [1, 2], [one, other], 80) == ([(1, 2)] if linked else [])
