@@ -34,8 +34,10 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     files = tokencount.token_folder(spark)
     tokencount.write_token_files(table(spark, folder, "documents").select("doc_id", "text"), files, path, end)
     counts = tokencount.token_counts(spark, files, end, tokencount.HEADER_IDS)
+    # the number of a file stays from run to run, its name doesn't
+    file = F.coalesce(F.nullif(F.regexp_extract("file", r"^part-0*([0-9]+)", 1), F.lit("")), F.col("file"))
     return counts.select(
-        tokencount.number(F.col("header")).alias("doc_id"), "n_tokens", "file", "doc_index", "start", "closed"
+        tokencount.number(F.col("header")).alias("doc_id"), "n_tokens", file.alias("file"), "doc_index", "start", "closed"
     )
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from specloom.llm.bpe import encode_texts, small_batches
 from specloom.llm.common import ship
-from specloom.workspace import shared_folder
+from specloom.workspace import materialize, shared_folder
 
 #: Ids in a block.
 BLOCK_IDS = 4 * 1024 * 1024
@@ -99,7 +99,7 @@ def _scan(ids: np.ndarray, block: np.ndarray, first: int, separator: int, header
 
 
 def token_counts(spark: SparkSession, folder: str, separator: int, header_ids: int = 0, width: int = WIDTH, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """One row per document: file, doc_index (from 0), start (in ids), n_tokens, header, closed.
+    """One row per document: file (its name), doc_index (from 0), start (in ids), n_tokens, header, closed.
 
     ``header_ids`` ids at the start of a document aren't counted but returned. ``closed`` is false for
     tokens behind the last separator of a file. An empty document counts 0; a file without ids has
@@ -133,15 +133,18 @@ def token_counts(spark: SparkSession, folder: str, separator: int, header_ids: i
                 found = _scan(ids, ids[:block_ids], row["first"], separator, header_ids)
                 yield pa.RecordBatch.from_pylist([row | found], arrow)
 
-    scanned = blocks.mapInArrow(run, schema)
+    scanned = materialize(blocks.mapInArrow(run, schema), "blocks")
+    # the prefix scan reads a few numbers of each block; its documents stay where they are
     order = Window.partitionBy("path").orderBy("first")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    stitched = (
-        scanned.withColumn("done", F.coalesce(F.sum("n_ends").over(before), F.lit(0)))
-        .withColumn("carried", F.last("open", ignorenulls=True).over(before))
-        .withColumn("left", F.last("open", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("is_last", F.col("first") + block_ids >= F.col("size"))
+    prefix = scanned.select("path", "first", "n_ends", "open").select(
+        "path",
+        "first",
+        F.coalesce(F.sum("n_ends").over(before), F.lit(0)).alias("done"),
+        F.last("open", ignorenulls=True).over(before).alias("carried"),
+        F.last("open", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("left"),
     )
+    stitched = scanned.join(prefix, ["path", "first"]).withColumn("is_last", F.col("first") + block_ids >= F.col("size"))
     none = F.array().cast(f"array<{DOCUMENT}>")
     across = F.when(
         F.col("first_end").isNotNull(),

@@ -179,6 +179,21 @@ def test_token_counts(spark, block):
     assert all(r["closed"] for r in got)
 
 
+def test_the_prefix_scan_carries_no_documents(spark, tmp_path):
+    """One file of many blocks: the window over its blocks reads numbers, and counts all the same."""
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 50, 40_000)  # 0 ends a document
+    (tmp_path / "one").write_bytes(ids.astype("<u2").tobytes())
+    got = tokencount.token_counts(spark, str(tmp_path), 0, block_ids=16)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(plan) if "Window" in line)
+    scan = next(line for line in plan[at:] if "Relation" in line or "Project" in line)
+    assert "documents" not in scan
+    ends = [-1, *np.flatnonzero(ids == 0).tolist()]
+    want = [(b - a - 1) for a, b in zip(ends, ends[1:], strict=False)] + ([len(ids) - 1 - ends[-1]] if ends[-1] < len(ids) - 1 else [])
+    assert [r["n_tokens"] for r in got.orderBy("doc_index").collect()] == want
+
+
 def test_token_counts_of_odd_files(spark, tmp_path):
     files = {"a": [9, 9, 1, 2, 9], "b": [1, 2, 3, 4, 5, 6, 7], "c": [], "d": [9], "e": [1, 9, 2]}
     for name, ids in files.items():
