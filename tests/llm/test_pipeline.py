@@ -135,7 +135,7 @@ def test_query_equals_sql(spark, name):
 def test_every_operator_has_a_query():
     numbers = {int(m[1]) for n in entry.queries() if (m := re.match(r"op(\d+)_", n))}
     assert numbers == set(range(1, 14)) and "pipeline" in entry.queries()
-    assert {"op2_near_duplicates", "op5_top_k", "op8_urls", "op10_secrets"} == set(WITH_SQL)
+    assert {"op2_near_duplicates", "op5_top_k", "op8_urls", "op10_secrets", "op12_centroids", "op13_source_divergence"} == set(WITH_SQL)
 
 
 CONTRACT = {
@@ -148,6 +148,9 @@ CONTRACT = {
     "op8_urls": "page_id bigint, host string, path string, rule string, verdict string",
     "op9_main_text": "page_id bigint, url string, text string, n_chars bigint",
     "op10_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+    "op11_quality_score": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op12_centroids": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
+    "op13_source_divergence": "lang string, source string, part string, item string, value bigint, rank int",
 }
 
 
