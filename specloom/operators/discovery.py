@@ -185,25 +185,40 @@ def crawl_in_batches(
     """
     spark = pages.sparkSession
     folder = new_folder(spark, "crawl")
+    few = batch is not None and links_per_page is not None  # then a round has so many rows of a site at most
     batch, max_pages = (NO_LIMIT if x is None else x for x in (batch, max_pages))
     number = F.lit(0).cast("long")
-
-    def append(name: str, frame: DataFrame) -> None:
-        writer = frame.write.mode("append")
-        (writer.partitionBy("turn") if "turn" in frame.columns else writer).parquet(f"{folder}/{name}")
+    schemas = {
+        "queue": "site STRING, url STRING, place LONG",
+        "visited": "site STRING, url STRING, place LONG, seen LONG, rank LONG",
+        "steps": "site STRING, url STRING, place LONG, is_doc BOOLEAN, links ARRAY<STRING>",
+    }
+
+    def append(name: str, frame: DataFrame, turn: Column) -> None:
+        rows = frame.withColumn("turn", turn)
+        rows.write.mode("append").partitionBy("turn").parquet(f"{folder}/{name}")
+
+    def rows_of(name: str, turn: int | None = None) -> DataFrame:
+        path = f"{folder}/{name}" if turn is None else f"{folder}/{name}/turn={turn}"
+        found = spark.read.schema(schemas[name]).parquet(path) if exists(spark, path) else spark.createDataFrame([], schemas[name])
+        return found.select([x.split()[0] for x in schemas[name].split(", ")])
+
+    def numbered(frame: DataFrame, order: list[str], out: str) -> DataFrame:
+        if few:
+            return frame.withColumn(out, F.row_number().over(Window.partitionBy("site").orderBy(*order)).cast("long"))
+        return with_positions(materialize(frame, out), ["site"], order, out)
 
     start = sites.select("site").distinct().withColumn("url", F.regexp_replace("site", r"/+\z", ""))
-    append("queue", start.select(*KEY, number.alias("place"), F.lit(0).alias("turn")))
+    append("queue", start.select(*KEY, number.alias("place")), F.lit(0))
     state = start.select("site", (number + 1).alias("waiting"), (number + 1).alias("given"), number.alias("seen"))
     turn = 0
     while turn != rounds and exists(spark, f"{folder}/queue/turn={turn}"):
-        now = spark.read.schema("site STRING, url STRING, place LONG").parquet(f"{folder}/queue/turn={turn}")
-        fresh = now.groupBy(*KEY).agg(F.min("place").alias("place"))
+        fresh = rows_of("queue", turn).groupBy(*KEY).agg(F.min("place").alias("place"))
         if turn:
-            fresh = fresh.join(spark.read.schema("site STRING, url STRING").parquet(f"{folder}/visited"), KEY, "left_anti")
-        ranked = with_positions(materialize(fresh, "fresh"), ["site"], ["place"], "rank")
-        ranked = materialize(ranked.join(state.select("site", "seen"), "site"), "ranked")
-        append("visited", ranked.select(*KEY))
+            fresh = fresh.join(rows_of("visited").select(*KEY), KEY, "left_anti")
+        ranked = numbered(fresh, ["place"], "rank").join(state.select("site", "seen"), "site")
+        append("visited", ranked.select(*KEY, "place", "seen", "rank"), F.lit(turn))
+        ranked = rows_of("visited", turn)
         wanted = ranked.filter(F.col("seen") + F.col("rank") <= max_pages).select(*KEY, "place")
         fetched = pages.filter(F.col("status") == 200).select("site", "url", "html")
         fetched = fetched.join(broadcast_if_small(wanted, "site", "url"), KEY)
@@ -213,15 +228,14 @@ def crawl_in_batches(
         steps = parsed.select(*KEY, "place", "is_doc", resolved.alias("links")).select(
             *KEY, "place", "is_doc", followed_links(F.col("links"), F.col("site"), links_per_page).alias("links")
         )
-        steps = materialize(steps, "steps")
-        append("found", steps.filter("is_doc").select(*KEY))
-        links = steps.select("site", "place", F.posexplode("links").alias("i", "url"))
-        links = with_positions(materialize(links, "links"), ["site"], ["place", "i"], "k")
+        append("steps", steps, F.lit(turn))
+        steps = rows_of("steps", turn)
+        links = numbered(steps.select("site", "place", F.posexplode("links").alias("i", "url")), ["place", "i"], "k")
         left = F.greatest(F.col("waiting") - batch, number)
         taken = F.floor((F.col("left") + F.col("k") - 1) / batch).cast("int") + (turn + 1)
         places = links.join(state.select("site", left.alias("left"), "given"), "site")
-        append("queue", places.select(*KEY, (F.col("given") + F.col("k") - 1).alias("place"), taken.alias("turn")))
-        added = links.groupBy("site").agg(F.count(F.lit(1)).alias("added"))
+        append("queue", places.select(*KEY, (F.col("given") + F.col("k") - 1).alias("place"), "left", "k"), taken)
+        added = steps.groupBy("site").agg(F.sum(F.size("links")).alias("added"))
         visited = ranked.groupBy("site").agg(F.count(F.lit(1)).alias("visited"))
         state = state.join(added, "site", "left").join(visited, "site", "left").fillna(0, ["added", "visited"])
         state = materialize(
@@ -229,9 +243,7 @@ def crawl_in_batches(
             "state",
         )
         turn += 1
-    if not turn:
-        return start.select(*KEY).limit(0)
-    return spark.read.schema("site STRING, url STRING").parquet(f"{folder}/found").distinct()
+    return rows_of("steps").filter("is_doc").select(*KEY).distinct()
 
 
 def union_discovered(*found: DataFrame) -> DataFrame:
