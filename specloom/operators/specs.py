@@ -297,9 +297,8 @@ def _operation_violations(shared: Column, path: Column, method: Column, op: Colu
 def walk(specs: DataFrame, key: str = "spec_id", column: str = "spec_json") -> DataFrame:
     """(key, is_json, version, has_paths, paths, secured, bad, path, method, text, op, shared, found).
 
-    A row per operation; paths without any and descriptions without paths are rows of their own. What is
-    known of the whole description stands in its first row and is null in the others: ``paths``, their
-    number, and what it breaks (``found``). ``bad``: paths or a path item are no object. ``op``: the
+    A row per description, per path and per operation. What is known of the whole description stands in its
+    own row and is null in the others: ``paths``, their number, and what it breaks (``found``). ``bad``: paths or a path item are no object. ``op``: the
     operation's members as VARIANT, null if it is no object; ``shared``: the parameters of its path.
     """
     parsed = specs.select(key, j.canonical(F.col(column)).alias("spec"))
@@ -307,19 +306,8 @@ def walk(specs: DataFrame, key: str = "spec_id", column: str = "spec_json") -> D
     top = parsed.select(key, "spec", m.alias("m"))
     paths = F.when(F.coalesce(F.col("m")["paths"].startswith("{"), F.lit(False)), F.col("m")["paths"])
     top = top.select(key, "spec", "m", F.from_json(paths, s.TEXT_MAP).alias("items"))
-    items = top.select(key, "spec", "m", "items", F.posexplode_outer(F.map_entries("items")).alias("at", "item"))
-    is_item = F.coalesce(F.col("item.value").startswith("{"), F.lit(False))
-    members = items.select(
-        key, "spec", "m", "items", "at", F.col("item.key").alias("path"), is_item.alias("is_item"),
-        F.when(is_item, F.from_json("item.value", s.TEXT_MAP)).alias("members"),
-    )
-    methods = F.filter(F.map_entries("members"), lambda e: F.lower(e["key"]).isin(*schemas.HTTP_METHODS))
-    rows = members.select(key, "spec", "m", "items", "at", "path", "is_item", "members", F.posexplode_outer(methods).alias("number", "o"))
-    first = F.coalesce(F.col("number") == 0, F.lit(True))
-    head = first & F.coalesce(F.col("at") == 0, F.lit(True))
-    text, version = F.col("o.value"), _version(F.col("spec"), F.col("m"))
-    keys = F.map_keys("m")
-    bad = F.map_contains_key("m", "paths") & F.col("items").isNull()
+
+    keys, version = F.map_keys("m"), _version(F.col("spec"), F.col("m"))
     components = F.from_json(F.col("m")["components"], "MAP<STRING, MAP<STRING, STRING>>")
     targets = F.flatten(
         F.transform(
@@ -329,25 +317,46 @@ def walk(specs: DataFrame, key: str = "spec_id", column: str = "spec_json") -> D
     )
     inside = F.from_json(F.col("m")["components"], "MAP<STRING, STRING>")
     refers = F.flatten(F.transform(F.map_values(inside), _pointers))
-    has_refs = F.contains("spec", F.lit("$ref"))
-    decided = F.when(has_refs, F.concat(_named(TARGET, targets), _named(UNRESOLVED, refers)))
+    decided = F.when(F.contains("spec", F.lit("$ref")), F.concat(_named(TARGET, targets), _named(UNRESOLVED, refers)))
     nothing = F.array().cast(f"array<{VIOLATION}>")
-    shared = F.from_json(F.concat(F.lit('{"v":'), F.col("members")["parameters"], F.lit("}")), "v VARIANT")["v"]
+    head = {
+        "is_json": F.col("m").isNotNull(),
+        "version": version,
+        "has_paths": F.coalesce(F.map_contains_key("m", "paths"), F.lit(False)),
+        "paths": F.coalesce(F.size("items"), F.lit(0)),
+        "secured": F.coalesce(F.array_contains(keys, "security") | F.array_contains(keys, "components"), F.lit(False)),
+        "bad": F.coalesce(F.map_contains_key("m", "paths") & F.col("items").isNull(), F.lit(False)),
+        "found": F.concat(_document_violations(F.col("m"), version, F.col("items")), F.coalesce(decided, nothing)),
+    }
+    kinds = {"is_json": "boolean", "version": "string", "has_paths": "boolean", "paths": "int", "secured": "boolean", "bad": "boolean",
+             "found": f"array<{VIOLATION}>"}
+    # Every row carries what is its own and no more: the whole description's facts, a path, an operation.
+    whole = F.struct(*[v.alias(n) for n, v in head.items()], F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("item"))
+    each = F.transform(
+        F.map_entries("items"),
+        lambda e: F.struct(*[F.lit(None).cast(t).alias(n) for n, t in kinds.items()], e["key"].alias("path"), e["value"].alias("item")),
+    )
+    rows = top.select(key, F.explode(F.concat(F.array(whole), F.coalesce(each, F.slice(F.array(whole), 1, 0)))).alias("r")).select(key, "r.*")
+
+    is_item = F.coalesce(F.col("item").startswith("{"), F.lit(False))
+    rows = rows.withColumn("members", F.when(is_item, F.from_json("item", s.TEXT_MAP))).withColumn("is_item", is_item).drop("item")
+    parameters = F.col("members")["parameters"]
+    shared = F.from_json(F.concat(F.lit('{"v":'), F.when(parameters.startswith("["), parameters), F.lit("}")), "v VARIANT")["v"]
+    methods = F.filter(F.map_entries("members"), lambda e: F.lower(e["key"]).isin(*schemas.HTTP_METHODS))
+    none = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"))
+    rows = rows.withColumn("shared", shared).withColumn("methods", F.concat(F.array(none), F.coalesce(methods, F.slice(F.array(none), 1, 0))))
+    rows = rows.drop("members").select("*", F.posexplode("methods").alias("at", "o")).drop("methods")
+    first, text = F.col("at") == 0, F.col("o.value")
     return rows.select(
-        key,
-        F.when(head, F.col("m").isNotNull()).alias("is_json"),
-        F.when(head, version).alias("version"),
-        F.when(head, F.coalesce(F.map_contains_key("m", "paths"), F.lit(False))).alias("has_paths"),
-        F.when(head, F.coalesce(F.size("items"), F.lit(0))).alias("paths"),
-        F.when(head, F.coalesce(F.array_contains(keys, "security") | F.array_contains(keys, "components"), F.lit(False))).alias("secured"),
-        F.when(first, F.coalesce(bad, F.lit(False)) | (F.col("path").isNotNull() & ~F.col("is_item"))).alias("bad"),
+        key, "is_json", "version", "has_paths", "paths", "secured",
+        F.when(first, F.coalesce("bad", F.lit(False)) | (F.col("path").isNotNull() & ~F.col("is_item"))).alias("bad"),
         "path",
         F.col("o.key").alias("method"),
         text.alias("text"),
         F.when(text.startswith("{"), F.from_json(text, s.OPERATION)).alias("op"),
-        F.when(F.col("members")["parameters"].startswith("["), shared).alias("shared"),
-        F.when(head, F.concat(_document_violations(F.col("m"), version, F.col("items")), F.coalesce(decided, nothing))).alias("found"),
-    )
+        F.when(~first, F.col("shared")).alias("shared"),
+        "found",
+    )
 
 
 def operation_rows(sites: DataFrame, operations: DataFrame, schemes: DataFrame) -> DataFrame:
