@@ -1,5 +1,8 @@
 """Markup to documents."""
 
+import pyarrow as pa
+
+from specloom.functions.html import slices
 from specloom.operators.content import extract_content, with_needs_render
 from specloom.schemas import PAGES
 
@@ -95,3 +98,15 @@ def test_needs_render(spark):
     text = spark.createDataFrame([(0, "id root"), (1, "built with React")], "i INT, text STRING")
     got = {r["i"]: r["needs_render"] for r in with_needs_render(text).collect()}
     assert got == {0: False, 1: True}
+
+
+def test_pages_are_parsed_in_small_slices():
+    batches = [pa.RecordBatch.from_pydict({"n": list(range(a, b))}) for a, b in ((0, 100), (100, 100), (100, 101))]
+    got = list(slices(batches, 32))
+    assert [b.num_rows for b in got] == [32, 32, 32, 4, 1]
+    assert [n for b in got for n in b.column(0).to_pylist()] == list(range(101))
+
+
+def test_more_pages_than_a_slice(spark):
+    got = documents(spark, *[f"<title>t{i}</title><p>{i}</p>" for i in range(80)])
+    assert [d["title"] for d in got] == [f"t{i}" for i in range(80)]
