@@ -32,8 +32,9 @@ def has_paths(spec: Column) -> Column:
 
 def paths_text(spec: Column) -> Column:
     """JSON text of ``paths`` when it is an object, else null."""
+    # Bound by the filter: it is often read inside a lambda, where equal expressions are computed again.
     paths = F.from_json(spec, "paths STRING")["paths"]
-    return F.when(_is_object_text(paths), paths)
+    return F.get(F.filter(F.array(paths), _is_object_text), F.lit(0))
 
 
 # The members of an operation anything here looks at.
@@ -137,8 +138,7 @@ def _responses(text: Column) -> Column:
 def _is_usable(op: Column) -> Column:
     """Whether an operation makes an endpoint: its parts have the types they must have."""
     parameters, responses = op["parameters"], op["responses"]
-    kind = j.kind(parameters)
-    iterable = kind.startswith("ARRAY") | kind.startswith("OBJECT") | (kind == "STRING")
+    iterable = F.rlike(j.kind(parameters), F.lit(j.HOLDER))
     return (
         F.when(parameters.isNull(), True).otherwise(iterable)
         & ~j.is_other_than_object(responses)

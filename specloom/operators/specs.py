@@ -129,8 +129,7 @@ def _malformed_content(holder: Column) -> Column:
     content = j.member(holder, "content")
 
     def is_scalar(media):
-        kind = j.kind(media)
-        return ~(kind.startswith("OBJECT") | kind.startswith("ARRAY") | (kind == "STRING"))
+        return ~F.rlike(j.kind(media), F.lit(j.HOLDER))
 
     scalar = F.exists(F.map_values(j.as_map(content)), is_scalar)
     return j.is_other_than_object(content) | F.coalesce(scalar, F.lit(False))
@@ -212,13 +211,13 @@ def lacks_fields(scheme: Column) -> Column:
     return out & j.member(scheme, "$ref").isNull()
 
 
-def _document_violations(m: Column, version: Column, paths: Column) -> Column:
-    """What a description breaks above its paths; ``m``: its members as texts, null if it is no object."""
+def _document_violations(m: Column, info: Column, components: Column, version: Column, paths: Column) -> Column:
+    """What a description breaks above its paths, with nulls between; ``m``: its members as texts, null if
+    it is no object; ``info`` and ``components``: those two, read."""
     nowhere, is_json = F.lit(""), m.isNotNull()
-    info = F.from_json(m["info"], j.variants("title", "version"))
-    schemes = F.map_entries(F.from_json(F.from_json(m["components"], "securitySchemes STRING")["securitySchemes"], s.VALUE_MAP))
-    types = F.map_entries(F.from_json(F.from_json(m["components"], "schemas STRING")["schemas"], s.VALUE_MAP))
     tags = F.transform(F.from_json(m["tags"], "ARRAY<STRUCT<name: STRING>>"), lambda t: t["name"])
+    schemes = F.map_entries(F.from_json(components["securitySchemes"], s.VALUE_MAP))
+    types = F.map_entries(F.from_json(components["schemas"], s.VALUE_MAP))
 
     key = lambda entries: F.transform(entries, lambda e: e["key"])
     single = F.array(
@@ -229,34 +228,49 @@ def _document_violations(m: Column, version: Column, paths: Column) -> Column:
         _violation("paths_required", is_json & paths.isNull(), nowhere),
         _violation("tag_unique", _repeats(tags), nowhere),
     )
+    nothing = F.array().cast(f"array<{VIOLATION}>")
+    lacking = _named(SCHEME_RULE, key(F.filter(schemes, lambda e: lacks_fields(e["value"]))))
+    lists = _named("array_items", key(F.filter(types, lambda e: _array_without_items(e["value"]))))
     return F.concat(
-        F.array_compact(single),
-        _named(SCHEME_RULE, key(F.filter(schemes, lambda e: lacks_fields(e["value"])))),
-        _named("array_items", key(F.filter(types, lambda e: _array_without_items(e["value"])))),
+        single,
+        F.when(components["securitySchemes"].isNotNull(), lacking).otherwise(nothing),
+        F.when(components["schemas"].isNotNull(), lists).otherwise(nothing),
     )
 
 
-def _version(spec: Column, m: Column) -> Column:
-    """The version, if it is a string; what could be another value is read again with its type."""
-    text = m["openapi"]
-    unclear = F.rlike(text, F.lit(r"^([-+0-9.eE]*|true|false|null|[\[{].*)$"))
-    return F.when(unclear, j.as_string(F.from_json(spec, j.variants("openapi"))["openapi"])).otherwise(text)
+def _version(spec: Column, m: Column, v: Column) -> Column:
+    """The version, if it is a string; of a text that VARIANT cannot hold it is read alone."""
+    alone = F.when(v.isNull() & m.isNotNull(), F.from_json(spec, j.variants("openapi"))["openapi"])
+    return j.as_string(F.coalesce(j.member(v, "openapi"), alone))
+
 
+def _operation_violations(rows: DataFrame) -> DataFrame:
+    """Add ``of_operation``: what an operation breaks, with nulls between; null in rows without one.
 
-def _operation_violations(shared: Column, path: Column, method: Column, op: Column, text: Column) -> Column:
-    where = F.concat(F.upper(method), F.lit(" "), path)
-    responses, body = j.as_map(op["responses"]), op["requestBody"]
+    What several rules read is a column of its own, so that it is read once.
+    """
+    op, path, text, body = F.col("op"), F.col("path"), F.col("text"), F.col("op")["requestBody"]
     nothing = F.array().cast("array<variant>")
-    own = F.coalesce(j.as_array(op["parameters"]), nothing)
-    parameters = F.concat(own, F.coalesce(j.as_array(shared), nothing))
-    read = F.transform(parameters, lambda v: j.members(v, "$ref", "in", "name", "required", "schema"))
-    inline = F.filter(read, lambda v: v["$ref"].isNull())
-    has_reference = F.exists(read, lambda v: v["$ref"].isNotNull())
+    counts = F.coalesce(F.col("method").isin(*schemas.HTTP_METHODS), F.lit(False))
+    rows = rows.withColumns(
+        {
+            "_counts": counts,
+            "_responses": F.when(counts, j.as_map(op["responses"])),
+            "_own": F.when(counts, F.coalesce(j.as_array(op["parameters"]), nothing)),
+        }
+    )
+    parameters = F.concat("_own", F.coalesce(j.as_array(F.col("shared")), nothing))
+    rows = rows.withColumn("_read", F.transform(parameters, lambda v: j.members(v, "$ref", "in", "name", "required", "schema")))
+    rows = rows.withColumn("_inline", F.filter("_read", lambda v: v["$ref"].isNull()))
+    where = F.concat(F.upper("method"), F.lit(" "), path)
+    responses, own, read, inline = F.col("_responses"), F.col("_own"), F.col("_read"), F.col("_inline")
+    has_reference = F.size(inline) < F.size(read)
     declared = F.transform(
         F.filter(inline, lambda v: (j.as_string(v["in"]) == "path") & F.try_variant_get(v["required"], "$", "boolean")),
         lambda v: j.as_string(v["name"]),
     )
     placeholders = F.regexp_extract_all(path, F.lit(r"\{([^{}/]*)\}"))
+    undeclared = F.contains(path, F.lit("{")) & (F.size(F.array_except(placeholders, declared)) > 0) & ~has_reference
     bad_place = F.exists(inline, lambda v: ~F.coalesce(j.as_string(v["in"]).isin(*schemas.PARAMETER_LOCATIONS), F.lit(False)))
 
     def bad_type(v):
@@ -275,23 +289,26 @@ def _operation_violations(shared: Column, path: Column, method: Column, op: Colu
     lists = F.exists(inline, lambda v: _array_without_items(v["schema"])) | F.exists(
         media, lambda h: F.coalesce(F.exists(schemas_of(h), _array_without_items), F.lit(False))
     )
+    # A type is written out in the texts of an operation and its path's parameters, or escaped.
+    told = F.concat_ws(" ", text, F.when(F.size(own) < F.size(read), F.to_json("shared")))
+    some_list = F.contains(told, F.lit("array")) | F.contains(told, F.lit("\\u"))
+    operation_id = j.as_string(op["operationId"])
     single = F.array(
         _violation("operation_is_object", op.isNull(), where),
         _violation("responses_required", op.isNotNull() & (F.coalesce(F.size(responses), F.lit(0)) < 1), where),
         _violation("response_description", bad_description, where),
-        _violation("path_parameters_declared", (F.size(F.array_except(placeholders, declared)) > 0) & ~F.coalesce(has_reference, F.lit(False)), where),
+        _violation("path_parameters_declared", undeclared, where),
         _violation("parameter_location", bad_place, where),
         _violation("parameter_type", F.exists(inline, bad_type), where),
-        _violation("parameter_unique", _repeats(names), where),
-        _violation("request_body_content", j.is_object(body) & j.member(body, "content").isNull() & j.member(body, "$ref").isNull(), where),
+        _violation("parameter_unique", (F.size(own) > 1) & _repeats(names), where),
+        _violation("request_body_content", body.isNotNull() & j.is_object(body) & j.member(body, "content").isNull() & j.member(body, "$ref").isNull(), where),
         _violation("status_code", F.exists(F.map_keys(responses), lambda k: ~F.rlike(k, F.lit(STATUS_CODE))), where),
-        _violation("array_items", lists, where),
-    )
-    return F.concat(
-        F.array_compact(single),
-        _named(REPEATED, F.array_compact(F.array(j.as_string(op["operationId"])))),
-        _named(UNRESOLVED, _pointers(text)),
+        _violation("array_items", some_list & lists, where),
+        _violation(REPEATED, operation_id.isNotNull(), operation_id),
     )
+    refers = F.when(F.contains(text, F.lit("$ref")), _named(UNRESOLVED, _pointers(text)))
+    found = F.concat(single, F.coalesce(refers, F.array().cast(f"array<{VIOLATION}>")))
+    return rows.withColumn("of_operation", F.when(F.col("_counts"), found))
 
 
 def walk(specs: DataFrame, key: str = "spec_id", column: str = "spec_json") -> DataFrame:
@@ -301,13 +318,16 @@ def walk(specs: DataFrame, key: str = "spec_id", column: str = "spec_json") -> D
     own row and is null in the others: ``paths``, their number, and what it breaks (``found``). ``bad``: paths or a path item are no object. ``op``: the
     operation's members as VARIANT, null if it is no object; ``shared``: the parameters of its path.
     """
-    parsed = specs.select(key, j.canonical(F.col(column)).alias("spec"))
-    m = F.when(strip(F.col("spec")).startswith("{"), F.from_json("spec", s.TEXT_MAP))
-    top = parsed.select(key, "spec", m.alias("m"))
-    paths = F.when(F.coalesce(F.col("m")["paths"].startswith("{"), F.lit(False)), F.col("m")["paths"])
-    top = top.select(key, "spec", "m", F.from_json(paths, s.TEXT_MAP).alias("items"))
-
-    keys, version = F.map_keys("m"), _version(F.col("spec"), F.col("m"))
+    parsed = j.with_canonical(specs.select(key, column), column, "spec", "v")
+    # Objects come from VARIANT: the names of all paths would fill the symbol table of the text parser.
+    too_large = F.when(F.col("v").isNull() & strip(F.col("spec")).startswith("{"), F.from_json("spec", s.TEXT_MAP))
+    top = parsed.withColumn("m", F.coalesce(F.try_variant_get("v", "$", s.TEXT_MAP), too_large))
+    given = F.col("m")["paths"]
+    paths = F.when(F.coalesce(given.startswith("{"), F.lit(False)), F.from_json(given, s.TEXT_MAP))
+    top = top.withColumn("items", F.coalesce(F.try_variant_get("v", "$.paths", s.TEXT_MAP), paths))
+
+    keys, version = F.map_keys("m"), _version(F.col("spec"), F.col("m"), F.col("v"))
+    inside = F.from_json(F.col("m")["components"], s.TEXT_MAP)
     components = F.from_json(F.col("m")["components"], "MAP<STRING, MAP<STRING, STRING>>")
     targets = F.flatten(
         F.transform(
@@ -315,37 +335,43 @@ def walk(specs: DataFrame, key: str = "spec_id", column: str = "spec_json") -> D
             lambda e: F.transform(F.map_keys(e["value"]), lambda k: F.concat(F.lit("#/components/"), e["key"], F.lit("/"), k)),
         )
     )
-    inside = F.from_json(F.col("m")["components"], "MAP<STRING, STRING>")
     refers = F.flatten(F.transform(F.map_values(inside), _pointers))
     decided = F.when(F.contains("spec", F.lit("$ref")), F.concat(_named(TARGET, targets), _named(UNRESOLVED, refers)))
     nothing = F.array().cast(f"array<{VIOLATION}>")
+    given = F.col("m")["components"]
+    top = top.withColumns(
+        {
+            "version": version,
+            "info": F.from_json(F.col("m")["info"], j.variants("title", "version")),
+            "components": F.from_json(given, "securitySchemes STRING, schemas STRING"),
+        }
+    )
     head = {
         "is_json": F.col("m").isNotNull(),
-        "version": version,
+        "version": F.col("version"),
         "has_paths": F.coalesce(F.map_contains_key("m", "paths"), F.lit(False)),
         "paths": F.coalesce(F.size("items"), F.lit(0)),
         "secured": F.coalesce(F.array_contains(keys, "security") | F.array_contains(keys, "components"), F.lit(False)),
         "bad": F.coalesce(F.map_contains_key("m", "paths") & F.col("items").isNull(), F.lit(False)),
-        "found": F.concat(_document_violations(F.col("m"), version, F.col("items")), F.coalesce(decided, nothing)),
+        "found": F.concat(_document_violations(F.col("m"), F.col("info"), F.col("components"), F.col("version"), F.col("items")), F.coalesce(decided, nothing)),
     }
-    kinds = {"is_json": "boolean", "version": "string", "has_paths": "boolean", "paths": "int", "secured": "boolean", "bad": "boolean",
-             "found": f"array<{VIOLATION}>"}
     # Every row carries what is its own and no more: the whole description's facts, a path, an operation.
-    whole = F.struct(*[v.alias(n) for n, v in head.items()], F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("item"))
-    each = F.transform(
-        F.map_entries("items"),
-        lambda e: F.struct(*[F.lit(None).cast(t).alias(n) for n, t in kinds.items()], e["key"].alias("path"), e["value"].alias("item")),
-    )
-    rows = top.select(key, F.explode(F.concat(F.array(whole), F.coalesce(each, F.slice(F.array(whole), 1, 0)))).alias("r")).select(key, "r.*")
+    # The arrays are columns of their own and exploded in the outer form: they are computed once.
+    whole = F.struct(*[v.alias(n) for n, v in head.items()])
+    none = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"))
+    nobody = F.slice(F.array(none), 1, 0)
+    each = F.concat(F.array(none), F.coalesce(F.map_entries("items"), nobody))
+    rows = top.select(key, whole.alias("whole"), each.alias("each")).select(key, "whole", F.posexplode_outer("each").alias("nth", "e"))
+    of_whole = F.when(F.col("nth") == 0, F.col("whole"))
+    rows = rows.select(key, *[of_whole[n].alias(n) for n in head], F.col("e.key").alias("path"), F.col("e.value").alias("item"))
 
     is_item = F.coalesce(F.col("item").startswith("{"), F.lit(False))
     rows = rows.withColumn("members", F.when(is_item, F.from_json("item", s.TEXT_MAP))).withColumn("is_item", is_item).drop("item")
     parameters = F.col("members")["parameters"]
     shared = F.from_json(F.concat(F.lit('{"v":'), F.when(parameters.startswith("["), parameters), F.lit("}")), "v VARIANT")["v"]
     methods = F.filter(F.map_entries("members"), lambda e: F.lower(e["key"]).isin(*schemas.HTTP_METHODS))
-    none = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"))
-    rows = rows.withColumn("shared", shared).withColumn("methods", F.concat(F.array(none), F.coalesce(methods, F.slice(F.array(none), 1, 0))))
-    rows = rows.drop("members").select("*", F.posexplode("methods").alias("at", "o")).drop("methods")
+    rows = rows.withColumn("shared", shared).withColumn("methods", F.concat(F.array(none), F.coalesce(methods, nobody)))
+    rows = rows.drop("members").select("*", F.posexplode_outer("methods").alias("at", "o")).drop("methods")
     first, text = F.col("at") == 0, F.col("o.value")
     return rows.select(
         key, "is_json", "version", "has_paths", "paths", "secured",
@@ -450,11 +476,10 @@ def recommendations_of(rows: DataFrame, key: str = "spec_id") -> DataFrame:
 def violations_of(rows: DataFrame, key: str = "spec_id") -> DataFrame:
     """One row (key, rule, location) per broken rule and place."""
     nothing = F.array().cast(f"array<{VIOLATION}>")
-    counts = F.coalesce(F.col("method").isin(*schemas.HTTP_METHODS), F.lit(False))
-    slash = F.array_compact(F.array(_violation("path_starts_with_slash", ~F.col("path").startswith("/"), F.col("path"))))
-    of_operation = F.when(counts, _operation_violations(F.col("shared"), F.col("path"), F.col("method"), F.col("op"), F.col("text")))
-    found = F.concat(F.coalesce("found", nothing), slash, F.coalesce(of_operation, nothing))
-    each = rows.select(key, F.explode_outer(found).alias("v")).filter(F.col("v").isNotNull()).select(key, "v.*")
+    slash = F.array(_violation("path_starts_with_slash", ~F.col("path").startswith("/"), F.col("path")))
+    found = F.concat(F.coalesce("found", nothing), slash, F.coalesce("of_operation", nothing))
+    judged = _operation_violations(rows).select(key, found.alias("found"))
+    each = judged.select(key, F.explode_outer("found").alias("v")).filter(F.col("v").isNotNull()).select(key, "v.*")
     rule = F.when(F.col("rule") == TARGET, UNRESOLVED).otherwise(F.col("rule"))
     met = each.groupBy(key, rule.alias("rule"), "location").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rule") == TARGET).alias("targets"))
     repeated = (F.col("rule") != REPEATED) | (F.col("n") > 1)

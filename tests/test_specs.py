@@ -253,3 +253,18 @@ def test_parse_specs_and_diff(spark):
     a, b = table(spark, spec({"/a": {}, "/b": {}})), table(spark, spec({"/b": {}, "/c": {}}))
     diff = s.spec_path_diff(a, b).orderBy("path").collect()
     assert [(r["path"], r["side"]) for r in diff] == [("/a", "official"), ("/c", "generated")]
+
+
+def test_walk_computes_its_arrays_once(spark):
+    """No filter is inferred from exploding, which would compute the arrays again."""
+    frame = table(spark, spec({"/a": {"get": OK}}))
+    plan = s.validate_specs(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "Filter (size(" not in plan
+    texts = [spec({f"/p{i}": {"get": OK}}) for i in range(3)] + [
+        {"openapi": "3.0.3", "info": {"title": "T", "version": "1"}, "paths": json.dumps({"/in/text": {"get": json.dumps(OK)}})},
+        "  " + json.dumps(spec({"/a": {}})), {"openapi": 3.1, "info": "x", "paths": []}, "{} {}", "[1]", "null",
+    ]
+    rows = s.walk(table(spark, *texts)).filter("is_json IS NOT NULL").orderBy("spec_id").collect()
+    assert [(r["is_json"], r["version"], r["paths"], r["bad"]) for r in rows] == [
+        *[(True, "3.0.3", 1, False)] * 5, (True, None, 0, True), *[(False, None, 0, False)] * 3,
+    ]
