@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from checks import views
 from specloom import workspace as w
 
 
@@ -38,3 +39,17 @@ def test_a_block_that_fails_leaves_nothing(spark):
     except ValueError:
         pass
     assert tables(spark) == before
+
+
+def test_views_are_spread_by_bytes(spark, tmp_path, monkeypatch):
+    """A table of one file is read in more tasks than there are cores once it is large."""
+    path = str(tmp_path / "a table")
+    spark.range(2000).coalesce(1).write.parquet(path)
+    frame = spark.read.parquet(path)
+    size = w.total_bytes(spark, frame.inputFiles())
+    cores = spark.sparkContext.defaultParallelism
+    assert size > 0 and views.spread(frame).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(views, "BYTES_PER_TASK", size // (3 * cores))
+    spread = views.spread(frame)
+    assert spread.rdd.getNumPartitions() >= 3 * cores
+    assert sorted(r["id"] for r in spread.collect()) == list(range(2000))
