@@ -37,20 +37,36 @@ def paths_text(spec: Column) -> Column:
     return F.get(F.filter(F.array(paths), _is_object_text), F.lit(0))
 
 
+def _path_items(spec: Column) -> Column:
+    """(path, members) of the path items that are objects, in document order."""
+
+    def apart():
+        items = F.filter(_entries(paths_text(spec)), lambda e: _is_object_text(e["value"]))
+        return F.transform(
+            items,
+            lambda e: F.struct(
+                e["key"].alias("path"), F.from_json(e["value"], TEXT_MAP).alias("members")
+            ),
+        )
+
+    def at_once(given):
+        items = F.filter(F.map_entries(given["paths"]), lambda e: e["value"].isNotNull())
+        return F.transform(
+            items, lambda e: F.struct(e["key"].alias("path"), e["value"].alias("members"))
+        )
+
+    read = j.typed(spec, f"paths MAP<STRING, {TEXT_MAP}>")
+    return j.bound(read, lambda given: F.when(j.fits(given), at_once(given)).otherwise(apart()))
+
+
 # The members of an operation anything here looks at.
 OPERATION = j.variants(
     "summary", "description", "operationId", "tags", "parameters", "requestBody", "responses"
 )
 
 
-def operations(spec: Column, methods=schemas.SPEC_METHODS, any_case: bool = True) -> Column:
-    """(path, method, text, op) of every operation of a description, in document order.
-
-    ``text`` is the operation as JSON text, ``op`` the struct of its members as VARIANT. Path items
-    that are no objects and members that are no method are passed over; operations that are no
-    objects stay, with a null ``op``.
-    """
-    items = F.filter(_entries(paths_text(spec)), lambda e: _is_object_text(e["value"]))
+def _operation_texts(spec: Column, methods, any_case: bool) -> Column:
+    """(path, method, text) of every operation of a description, in document order."""
 
     def counted(e):
         name = F.lower(e["key"]) if any_case else e["key"]
@@ -58,22 +74,40 @@ def operations(spec: Column, methods=schemas.SPEC_METHODS, any_case: bool = True
 
     return F.flatten(
         F.transform(
-            items,
+            _path_items(spec),
             lambda item: F.transform(
-                F.filter(_entries(item["value"]), counted),
+                F.filter(F.map_entries(item["members"]), counted),
                 lambda e: F.struct(
-                    item["key"].alias("path"),
+                    item["path"].alias("path"),
                     e["key"].alias("method"),
                     e["value"].alias("text"),
-                    F.when(_is_object_text(e["value"]), F.from_json(e["value"], OPERATION)).alias(
-                        "op"
-                    ),
                 ),
             ),
         )
     )
 
 
+def _read_operation(text: Column) -> Column:
+    """The struct of an operation's members as VARIANT; null if it is no object."""
+    return F.when(_is_object_text(text), F.from_json(text, OPERATION))
+
+
+def operations(spec: Column, methods=schemas.SPEC_METHODS, any_case: bool = True) -> Column:
+    """(path, method, text, op) of every operation of a description, in document order.
+
+    ``text`` is the operation as JSON text, ``op`` the struct of its members as VARIANT. Path items
+    that are no objects and members that are no method are passed over; operations that are no
+    objects stay, with a null ``op``.
+    """
+    return F.transform(
+        _operation_texts(spec, methods, any_case),
+        lambda e: F.struct(
+            *[e[name].alias(name) for name in ("path", "method", "text")],
+            _read_operation(e["text"]).alias("op"),
+        ),
+    )
+
+
 def _null(type_: str) -> Column:
     return F.lit(None).cast(type_)
 
@@ -102,8 +136,12 @@ def _parameters(given: Column) -> Column:
             j.is_optional_string(q["description"]).alias("ok"),
         )
 
+    return _valid_parameters(F.transform(members, read))
+
+
+def _valid_parameters(read: Column) -> Column:
     valid = F.filter(
-        F.transform(members, read),
+        read,
         lambda e: e["ok"]
         & e["name"].isNotNull()
         & e["required"].isNotNull()
@@ -176,41 +214,129 @@ def _as_body(op: Column) -> Column:
     return F.when(j.is_object(body), struct.cast(schemas.REQUEST_BODY))
 
 
+# An operation of which every member has the type that is expected of it.
+PLAIN_OPERATION = (
+    "summary STRING, description STRING, tags ARRAY<STRING>, parameters ARRAY<STRUCT<name: STRING, `in`: STRING, "
+    "description: STRING, required: BOOLEAN, schema: STRUCT<type: STRING>, type: STRING>>, "
+    "responses MAP<STRING, STRUCT<description: STRING>>"
+)
+
+
+def _is_plain(op: Column, text: Column) -> Column:
+    """Whether an operation read as PLAIN_OPERATION is what a read as VARIANT would give."""
+
+    def some(array, doubt):
+        return F.coalesce(F.exists(array, doubt), F.lit(False))
+
+    doubt = (
+        j.in_doubt(op["summary"])
+        | j.in_doubt(op["description"])
+        | some(op["tags"], j.in_doubt)
+        | some(op["parameters"], lambda q: j.in_doubt(q["name"]) | j.in_doubt(q["description"]))
+        | some(F.map_values(op["responses"]), lambda r: j.in_doubt(r["description"]))
+    )
+    return j.fits(op) & ~j.has_null(text) & ~doubt
+
+
+def _plain_parameters(given: Column) -> Column:
+    """``_parameters`` of a plain operation."""
+
+    def read(q):
+        declared = F.when(q["schema"].isNotNull(), q["schema"]["type"]).otherwise(q["type"])
+        return F.struct(
+            F.coalesce(q["name"], F.lit("unknown")).alias("name"),
+            F.coalesce(q["in"], F.lit("query")).alias("location"),
+            q["description"].alias("description"),
+            F.coalesce(q["required"], F.lit(False)).alias("required"),
+            F.coalesce(declared, F.lit("string")).alias("type"),
+            _null("string").alias("example"),
+            _null("string").alias("schema"),
+            F.lit(True).alias("ok"),
+        )
+
+    return _valid_parameters(F.transform(given, read))
+
+
+def _plain_responses(given: Column) -> Column:
+    """``_responses`` of a plain operation."""
+    return F.transform(
+        F.map_entries(given),
+        lambda e: F.struct(
+            e["key"].alias("status_code"),
+            F.coalesce(e["value"]["description"], F.lit("")).alias("description"),
+            F.lit("application/json").alias("content_type"),
+            _null(schemas.SCHEMA).alias("schema"),
+            _null("string").alias("example"),
+        ),
+    )
+
+
 def spec_endpoints(spec: Column, source_url: Column, carry_body: bool = False) -> Column:
     """Endpoints of a description (canonical JSON text), in document order, confidence high.
 
     By default request bodies are left behind, as a pipeline run does; ``carry_body`` keeps them.
-    Null when ``paths`` is no object.
+    Null when ``paths`` is no object. An operation with nothing unexpected is read in one pass, any other
+    as VARIANT.
     """
-    usable = F.filter(operations(spec), lambda e: e["op"].isNotNull() & _is_usable(e["op"]))
-
     no_list = F.array().cast("array<string>")
     no_parameters = F.array().cast(f"array<{schemas.PARAMETER}>")
     no_responses = F.array().cast(f"array<{schemas.RESPONSE}>")
 
-    def read(e):
-        op = e["op"]
-        body = _as_body(op) if carry_body else _null(schemas.REQUEST_BODY)
-        tags, summary, responses = op["tags"], op["summary"], op["responses"]
+    def endpoint(e, body, summary, description, tags, parameters, responses):
         values = {
             "path": e["path"],
             "method": F.lower(e["method"]),
-            "summary": F.when(summary.isNull(), "").otherwise(j.text(summary)),
-            "description": j.text(op["description"]),
+            "summary": summary,
+            "description": description,
             "operation_id": _null("string"),
-            "tags": F.when(tags.isNull(), no_list).otherwise(j.as_string_list(tags)),
-            "parameters": F.when(
-                op["parameters"].isNotNull(),
-                F.coalesce(_parameters(op["parameters"]), no_parameters),
-            ).otherwise(no_parameters),
+            "tags": tags,
+            "parameters": F.coalesce(parameters, no_parameters),
             "request_body": body,
-            "responses": F.when(
-                responses.isNotNull(), F.coalesce(_responses(e["text"]), no_responses)
-            ).otherwise(no_responses),
+            "responses": F.coalesce(responses, no_responses),
             "deprecated": F.lit(False),
             "confidence": F.lit("high"),
             "source_url": source_url,
         }
         return F.struct(*[v.alias(name) for name, v in values.items()])
 
-    return F.transform(usable, read)
+    def body(op):
+        return _as_body(op) if carry_body else _null(schemas.REQUEST_BODY)
+
+    def plain(e, op):
+        return endpoint(
+            e,
+            body(op),
+            F.coalesce(op["summary"], F.lit("")),
+            op["description"],
+            F.coalesce(op["tags"], no_list),
+            _plain_parameters(op["parameters"]),
+            _plain_responses(op["responses"]),
+        )
+
+    def other(e, op):
+        tags, summary = op["tags"], op["summary"]
+        found = endpoint(
+            e,
+            body(op),
+            F.when(summary.isNull(), "").otherwise(j.text(summary)),
+            j.text(op["description"]),
+            F.when(tags.isNull(), no_list).otherwise(j.as_string_list(tags)),
+            F.when(op["parameters"].isNotNull(), _parameters(op["parameters"])),
+            F.when(op["responses"].isNotNull(), _responses(e["text"])),
+        )
+        return F.when(_is_usable(op), found)
+
+    given = f"{PLAIN_OPERATION}, requestBody VARIANT" if carry_body else PLAIN_OPERATION
+
+    def read(e):
+        text = e["text"]
+        found = j.bound(
+            j.typed(text, given),
+            lambda op: F.when(_is_plain(op, text), plain(e, op)).otherwise(
+                j.bound(F.from_json(text, OPERATION), lambda op: other(e, op))
+            ),
+        )
+        return F.when(_is_object_text(text), found)
+
+    texts = _operation_texts(spec, schemas.SPEC_METHODS, True)
+    return F.filter(F.transform(texts, read), lambda e: e.isNotNull())

@@ -269,3 +269,52 @@ def test_a_text_counts_to_its_end(spark):
     got = {r["url"]: r for r in results.collect()}
     assert {u: [e["path"] for e in r["endpoints"]] for u, r in got.items()} == {"u0": ["/a"], "u1": ["/b"]}
     assert [s["scheme"] for s in got["u0"]["security_schemes"]] == ["bearer"]
+
+
+def test_plain_records_are_not_read_as_variant(spark, monkeypatch):
+    """Every member has its type: one typed pass is enough."""
+    from specloom.functions import records as f
+
+    broken = lambda *values: F.raise_error(F.lit("read as VARIANT")).cast("boolean")
+    monkeypatch.setattr(f.j, "is_string_list", broken)
+    monkeypatch.setattr(f.j, "is_optional_string", broken)
+    row = parsed(
+        spark,
+        point(
+            summary="1-URGENT list",
+            parameters=[{"name": "q", "location": "query", "type": "integer", "example": 0},
+                        {"name": "p", "location": "path", "required": True, "example": "x"}],
+            request_body={"description": "d", "schema_properties": {"b": 1}, "example": {"z": 1}},
+            responses=[{"status_code": "200", "description": "ok", "content_type": "a/b"}],
+            tags=["t"], confidence="high",
+        ),
+        point(),
+        ("record_security_scheme", {"type": "apiKey", "name": "K", "location": "header"}),
+        ("record_api_metadata", {"title": "T", "base_url": "B"}),
+    )
+    first, second = row["endpoints"]
+    assert (first["summary"], first["tags"], first["confidence"]) == ("1-URGENT list", ["t"], "high")
+    assert [tuple(p)[:6] for p in first["parameters"]] == [
+        ("q", "query", None, False, "integer", "0"), ("p", "path", None, True, "string", '"x"'),
+    ]
+    body = first["request_body"]
+    assert (body["description"], body["required"], body["content_type"], body["example"]) == ("d", False, "application/json", '{"z":1}')
+    assert (body["schema"]["description"], body["schema"]["properties"]) == ("d", '{"b":1}')
+    assert tuple(first["responses"][0]) == ("200", "ok", "a/b", None, None)
+    assert (second["parameters"], second["request_body"], second["responses"], second["confidence"]) == ([], None, [], "medium")
+    assert [(x["type"], x["name"], x["location"]) for x in row["security_schemes"]] == [("apiKey", "K", "header")]
+    assert (row["api_title"], row["api_description"], row["base_url"]) == ("T", None, "B")
+
+
+def test_records_in_doubt(spark):
+    """Strings that look like other values stay strings; repeated keys and empty bodies as VARIANT has them."""
+    for text in ("200", "-1.5e3", "true", "null", "{}", "[1]", '"q"', "NaN", "a, null", ""):
+        row = parsed(spark, point(path=text, summary=text, tags=[text], request_body={"description": text}), ("record_api_metadata", {"title": text}))
+        (found,) = row["endpoints"]
+        assert (found["path"], found["summary"], found["tags"], found["request_body"]["description"]) == (text, text, [text], text)
+        assert row["api_title"] == text
+    twice = '{"path":"/a","method":"get","parameters":[{"name":"a","name":"b","location":"query"}]}'
+    assert parsed(spark, ("record_endpoint", twice))["endpoints"][0]["parameters"] == []
+    assert parsed(spark, ("record_endpoint", twice.replace(',"location"', ',"x"').replace('"name":"b"', '"y":1')))["endpoints"] == []
+    assert parsed(spark, point(request_body={}))["endpoints"][0]["request_body"] is None
+    assert parsed(spark, point(request_body={"x": 1}))["endpoints"][0]["request_body"]["content_type"] == "application/json"

@@ -268,3 +268,42 @@ def test_walk_computes_its_arrays_once(spark):
     assert [(r["is_json"], r["version"], r["paths"], r["bad"]) for r in rows] == [
         *[(True, "3.0.3", 1, False)] * 5, (True, None, 0, True), *[(False, None, 0, False)] * 3,
     ]
+
+
+def test_plain_operations_are_not_read_as_variant(spark, monkeypatch):
+    """Every member has its type: one typed pass is enough."""
+    from specloom.functions import specs as f
+
+    monkeypatch.setattr(f, "_is_usable", lambda op: F.raise_error(F.lit("read as VARIANT")).cast("boolean"))
+    post = {
+        "summary": "1-URGENT list", "description": "nullable", "tags": ["t"],
+        "parameters": [
+            {"name": "id", "in": "path", "required": True, "schema": {"type": "integer"}},
+            {"$ref": "#/x"}, {"name": "no", "in": "moon"}, {"name": "old", "type": "number", "schema": {}},
+        ],
+        "responses": {"404": {"description": "no"}, "200": {"content": {"a/b": {"schema": {"nullable": True}}}}},
+    }
+    text = spec({"/b": {"parameters": [], "post": post, "GET": {}}, "/none": None})
+    rows = s.explode_spec(table(spark, text, spec({}), "{broken")).orderBy("seq").collect()
+    assert [(r["path"], r["method"], r["summary"], r["description"], r["tags"]) for r in rows] == [
+        ("/b", "post", "1-URGENT list", "nullable", ["t"]), ("/b", "get", "", None, []),
+    ]
+    assert [tuple(p)[:5] for p in rows[0]["parameters"]] == [
+        ("id", "path", None, True, "integer"), ("unknown", "query", None, False, "string"), ("old", "query", None, False, "string"),
+    ]
+    assert [tuple(r)[:3] for r in rows[0]["responses"]] == [
+        ("404", "no", "application/json"), ("200", "", "application/json"),
+    ]
+
+
+def test_strings_that_look_like_other_values(spark):
+    looks = ["200", "-1.5e3", "true", "null", "{}", "[1]", '"q"', "NaN", "a, null", ""]
+    strings = spec({f"/{i}": {"get": {"summary": x, "tags": [x], "responses": {"200": {"description": x}}}} for i, x in enumerate(looks)})
+    rows = s.explode_spec(table(spark, strings)).orderBy("seq").collect()
+    assert [(r["summary"], r["tags"], r["responses"][0]["description"]) for r in rows] == [(x, [x], x) for x in looks]
+    others = [200, -1.5, True, {}, [1]]
+    values = spec({f"/{i}": {"get": {"summary": x}, "put": {"responses": {"200": {"description": x}, "404": {}}}} for i, x in enumerate(others)})
+    rows = s.explode_spec(table(spark, values)).orderBy("seq").collect()
+    assert [(r["method"], [x["status_code"] for x in r["responses"]]) for r in rows] == [("put", ["404"])] * len(others)
+    text = spec({"/a": json.dumps({"get": {"summary": "in a string"}}), "/b": {"get": json.dumps({"summary": "here, too"})}})
+    assert [r["summary"] for r in s.explode_spec(table(spark, text)).orderBy("seq").collect()] == ["in a string", "here, too"]

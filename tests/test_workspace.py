@@ -53,3 +53,16 @@ def test_views_are_spread_by_bytes(spark, tmp_path, monkeypatch):
     spread = views.spread(frame)
     assert spread.rdd.getNumPartitions() >= 3 * cores
     assert sorted(r["id"] for r in spread.collect()) == list(range(2000))
+
+
+def test_given_tables_are_spread_before_texts_are_planted(spark, tmp_path):
+    """The rows of a view are far wider than those it is made of."""
+    rows = [(i, i % 5, "O", "1-URGENT") for i in range(200)]
+    columns = "o_orderkey LONG, o_custkey LONG, o_orderstatus STRING, o_orderpriority STRING"
+    spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    frame = views.view(spark, str(tmp_path), "spec_docs")
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Repartition", 1)
+    assert "openapi" in above and "openapi" not in below
+    assert frame.count() == 200 and frame.filter("spec_json LIKE '{\"openapi\"%'").count() == 200 - 16
+    assert not spark.catalog.listTables()
