@@ -60,7 +60,7 @@ def test_given_tables_are_spread_before_texts_are_planted(spark, tmp_path):
     rows = [(i, i % 5, "O", "1-URGENT") for i in range(200)]
     columns = "o_orderkey LONG, o_custkey LONG, o_orderstatus STRING, o_orderpriority STRING"
     spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
-    frame = views.view(spark, str(tmp_path), "spec_docs")
+    frame = views.view(spark, str(tmp_path), "spec_docs", early=True)
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Repartition", 1)
     assert "openapi" in above and "openapi" not in below
