@@ -30,8 +30,9 @@ from specloom.llm.common import ship
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 
-#: Fragments that a worker keeps; beyond, the memo starts anew. It bounds memory, not the work.
-MEMO_ENTRIES = 1_000_000
+#: Fragments that a worker learns before it forgets those not met since it last forgot, and bytes of the
+#: longest that it keeps. It bounds memory, not the work: at most twice as many short fragments are held.
+MEMO_ENTRIES, MEMO_BYTES = 200_000, 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -42,7 +43,10 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Memo(dict):
-    """Ids of fragments (str, or bytes in UTF-8) as bytes, encoded by the library when first seen."""
+    """Ids of fragments (str, or bytes in UTF-8) as bytes, encoded by the library when first seen.
+
+    It has two generations: a fragment of the older one comes back when it is met, the rest is forgotten.
+    """
 
     def __init__(self, path: str, special_as_text: bool = False, dtype: str = "<u4", entries: int = MEMO_ENTRIES):
         super().__init__()
@@ -53,17 +57,27 @@ class Memo(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = special_as_text
-        self.dtype, self.entries = np.dtype(dtype), entries
+        self.dtype, self.entries, self.older = np.dtype(dtype), entries, {}
 
-    def __missing__(self, fragment):
+    def written(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def look_up(self, fragment) -> bytes:
         text = fragment.decode() if isinstance(fragment, bytes) else fragment
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        self[fragment] = found = np.array(ids, self.dtype).tobytes()
+        return self.written(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def __missing__(self, fragment):
+        found = self.older.get(fragment)
+        if found is None:
+            found = self.look_up(fragment)
+        if len(fragment) <= MEMO_BYTES:
+            self[fragment] = found
         return found
 
     def encode(self, fragments: list) -> bytes:
         """The ids of a text given as its fragments."""
         if len(self) > self.entries:
+            self.older = self.copy()
             self.clear()
         return b"".join(map(self.__getitem__, fragments))
 

@@ -19,6 +19,7 @@ rule. Only the histogram and the rules meet the driver: their size is bounded by
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from specloom.llm.bpe import Memo, small_batches
+from specloom.llm.bpe import Memo, byte_alphabet, small_batches
 from specloom.llm.common import boxed, partitions, ship
 from specloom.workspace import materialize
 
@@ -41,18 +42,32 @@ RANK_ROWS = 20_000
 _memos: dict[str, WordMemo] = {}
 
 
+#: A word of lower-case letters up to U+00FF (none of them changes under NFC), then ASCII symbols that
+#: begin no contraction.
+PLAIN = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
 class WordMemo(Memo):
-    """Memo of words that may end in a comma or full stop.
+    """Memo of words that may end in symbols.
 
-    The vocabulary keeps letters and other symbols apart, so a word of letters and the one symbol
-    behind it are encoded alone; only the letters are looked for in the library.
+    The vocabulary keeps letters and other symbols apart, so the letters of a plain word and the symbols
+    behind them are encoded alone. Letters need no normalization and no split: the library's model gets
+    them as they are, its bytes written in the alphabet of byte-level vocabularies.
     """
 
-    def __missing__(self, word: bytes) -> bytes:
-        if word[-1:] in (b",", b".") and word[-2:-1].isalpha():
-            self[word] = found = self[word[:-1]] + self[word[-1:]]
-            return found
-        return super().__missing__(word)
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.model = self.tokenizer.model
+        self.alphabet = {b: ord(c) for c, b in byte_alphabet().items()}
+
+    def look_up(self, word: bytes) -> bytes:
+        found = PLAIN.fullmatch(word.decode())
+        if not found:
+            return super().look_up(word)
+        letters, symbols = (x.encode() for x in found.groups())
+        if symbols:
+            return self[letters] + self[symbols]
+        return self.written([t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.alphabet))])
 
 
 def word_ids(texts: list[bytes | None], path: str) -> list[bytes]:

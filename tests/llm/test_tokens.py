@@ -64,6 +64,25 @@ def test_a_full_memo_starts_anew():
     assert len(memo) == 4 and memo.encode(["a", " b", " c", " d"]) == first
 
 
+def test_a_memo_keeps_what_is_met_again_and_no_long_fragments():
+    memo = bpe.Memo(BYTE, entries=4)
+    long = "long" * bpe.MEMO_BYTES
+    wanted = memo.encode([" often", long])
+    for i in range(50):
+        memo.encode([" often", f" {i}", f" x{i}"])
+        assert " often" in memo and len(memo) + len(memo.older) <= 2 * (4 + 3)
+    assert memo.encode([" often", long]) == wanted and long not in memo
+
+
+def test_plain_words_are_the_librarys():
+    words = "größe größe, naïve.%%% ñandú### çà^` a's don't!! x'' ªb µm xé́ œuvre a<b>c 9a a9, --a ÿß$$$ ÉTÉ. a·b ÷a Straße:".split()
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing.word_ids([w.encode() for w in words], WORD)]
+    assert got == plain(WORD, words)
+    memo = packing.WordMemo(WORD)
+    memo.tokenizer = None  # letters go to the model alone
+    assert memo.encode(["größe".encode()]) == np.array(got[0], "<u4").tobytes()
+
+
 def test_pieces(spark):
     rows = list(enumerate(texts())) + [(5, "twice"), (5, "twice"), (None, "no id")]
     got = packing.token_pieces(table(spark, rows), WORD).collect()
