@@ -16,8 +16,8 @@ only the joint table: how many words have one level here and the other there.
 3. Each tile prices its tables and returns one sum for a pair of groups; words of the block that occur
    in neither block of groups are added by their number afterwards.
 
-No group of a shuffle is larger than a block of words times two blocks of groups. All numbers are
-integers.
+No tile is larger than a block of words times two blocks of groups; of one word, a task that adds up gets
+a row per group from each of the tasks before. All numbers are integers.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from specloom.llm.bpe import small_batches
 from specloom.llm.common import ship
 from specloom.operators.skew import salted_join
-from specloom.workspace import materialize
+from specloom.workspace import broadcast_if_small, materialize
 
 #: Documents of its language that a word is kept from, and ranks of the words listed for a group.
 LEAST_DOCUMENTS, RANKS = 10, 10
@@ -101,7 +101,8 @@ def counts(docs: DataFrame) -> DataFrame:
 
     schema = "lang string, source string, term string, n bigint, docs bigint"
     each = docs.select(*GROUP, "text").mapInArrow(lambda b: run(ordered(b)), schema)
-    return each.groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # a task's rows differ, so adding up before the shuffle would shorten nothing; all groups of a word meet
+    return each.repartition("lang", "term").groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _price(count: Column, total: Column, kept: Column) -> Column:
@@ -229,16 +230,15 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     ship(docs.sparkSession)
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     docs = docs.select(empty(lang).alias("lang"), empty(source).alias("source"), empty(text).alias("text"))
-    counted = materialize(counts(docs), "counts")
-    of_lang = counted.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
     blocks = lambda n, per: F.greatest(F.ceil(F.col(n) / per), F.lit(1)).cast("int")
-    of_lang = of_lang.filter(F.col("docs") >= least).drop("docs").withColumn("digits", F.length(F.bin("lang_n")))
-    terms = materialize(of_lang, "terms")
+    word = Window.partitionBy("lang", "term")
+    of_lang = {"lang_n": F.sum("n").over(word), "docs": F.sum("docs").over(word), "first": F.min("source").over(word)}
+    found = counts(docs).withColumns(of_lang).filter(F.col("docs") >= least).drop("docs")
+    found = found.withColumns({"first": F.col("first") == F.col("source"), "digits": F.length(F.bin("lang_n"))})
+    found = materialize(found, "kept")
+    terms = found.filter("first")  # one row of each
     alike = terms.groupBy("lang", "digits").agg(F.count(F.lit(1)).alias("n"))
     alike = materialize(alike.select("lang", "digits", blocks("n", WORDS).alias("word_blocks")), "alike")
-    dealt = salted_join(terms, alike, ["lang", "digits"], ["term"], how="inner")
-    dealt = dealt.withColumn("words", F.pmod(F.xxhash64("term"), F.col("word_blocks")).cast("int")).drop("word_blocks")
-    found = materialize(counted.drop("docs").join(dealt, ["lang", "term"]), "kept")
 
     sizes = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("lang_n").alias("lang_total"))
     totals = found.groupBy(*GROUP).agg(F.sum("n").alias("total"))
@@ -250,8 +250,10 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     groups = materialize(groups, "groups")
 
     priced = salted_join(found, groups, GROUP, ["term"], how="inner")
+    priced = priced.join(broadcast_if_small(alike, "lang"), ["lang", "digits"])
     priced = materialize(
-        priced.withColumn("p", _price(F.col("n"), F.col("total"), F.col("kept")))
+        priced.withColumn("words", F.pmod(F.xxhash64("term"), F.col("word_blocks")).cast("int"))
+        .withColumn("p", _price(F.col("n"), F.col("total"), F.col("kept")))
         .withColumn("lang_p", _price(F.col("lang_n"), F.col("lang_total"), F.col("kept")))
         .select(*GROUP, "term", "p", "lang_p", "p0", "sources", "blocks", "digits", "words"),
         "priced",

@@ -69,6 +69,14 @@ def test_every_price(spark, monkeypatch, words, groups, columns):
     assert {r[2] for r in got} == {"pair", "term"} and any(r[4] > 0 for r in got)
 
 
+def test_groups_of_a_word_meet_in_one_shuffle(spark, capsys):
+    frame = spark.createDataFrame(corpus(3), "text string, lang string, source string")
+    divergence.counts(frame).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning(") == 1 and "Exchange hashpartitioning(lang" in plan
+    assert plan.index("HashAggregate(") < plan.rindex("HashAggregate(") < plan.index("Exchange hashpartitioning(")
+
+
 def test_words_in_pieces(monkeypatch):
     text = " ".join(f"Wör{i % 7}d{'x' * (i % 5)}" for i in range(500)).encode()
     want = [w.lower() for w in re.findall(rb"[A-Za-z\x80-\xff]+", text)]
